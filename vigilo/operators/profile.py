@@ -16,8 +16,12 @@ from ..functions.features import flag
 
 
 def r6(c) -> Column:
-    """Round float outputs so engines that sum in a different order agree."""
-    return F.round(c if isinstance(c, Column) else F.col(c), 6)
+    """Round a float output to 6 decimals as ``round(x * 1e6) / 1e6`` in
+    double arithmetic — the same rounding SQL engines apply to doubles, so
+    results agree bit-for-bit with an external oracle (Spark's decimal
+    ``round`` resolves near-half values differently)."""
+    x = c if isinstance(c, Column) else F.col(c)
+    return F.round(x * F.lit(1e6)) / F.lit(1e6)
 
 
 def _unpivot_cats(df: DataFrame, cols: list[str], label: str) -> DataFrame:
