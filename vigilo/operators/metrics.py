@@ -212,3 +212,63 @@ def blocks_report(df: DataFrame, score: str = "score", label: str = "is_fraud",
     return j.select(block, r6("base_rate").alias("fraud_rate"), r6("ap").alias("ap"),
                     "p_at_1", "p_at_5", "r_at_1", "r_at_5", r6(rng).alias("ap_range"),
                     (rng < stable_range).cast("int").alias("stable"))
+
+
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Spearman correlation with average ranks on ties, from grouped counts:
+    (x, y) pairs are counted, each distinct value gets its average rank from
+    a prefix over the distinct values (score-curve machinery), and the
+    Pearson correlation of the ranks is a weighted one-row aggregate."""
+    g = df.groupBy(x, y).agg(F.count(F.lit(1)).alias("w"))
+
+    def avg_rank(col):
+        c = score_curve(df.select(F.col(col).alias("_s"), F.lit(0).alias("_l")), "_s", "_l")
+        # cum_n counts rows >= value; rows below = total - cum_n
+        return c.select(F.col("_s").alias(col), (F.col("total_n") - F.col("cum_n") + (F.col("n") + 1) / 2.0)
+                        .alias(f"_r_{col}"))
+
+    j = g.join(avg_rank(x), x).join(avg_rank(y), y)
+    w, a, b = F.col("w"), F.col(f"_r_{x}"), F.col(f"_r_{y}")
+    s = j.agg(F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"),
+              F.sum(w * a * a).alias("saa"), F.sum(w * b * b).alias("sbb"), F.sum(w * a * b).alias("sab"))
+    n = F.col("n")
+    cov = F.col("sab") - F.col("sa") * F.col("sb") / n
+    va = F.col("saa") - F.col("sa") * F.col("sa") / n
+    vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
+    return s.select((cov / F.sqrt(va * vb)).alias("spearman"))
+
+
+def feature_diagnostics(df: DataFrame, features: list[str], label: str = "is_fraud",
+                        keep_lift: float = 1.02) -> DataFrame:
+    """Per feature (unpivoted, one grouped pass): null / zero rates, label
+    rate at zero / non-zero, AP in both directions (null → 0), relative lift
+    and the keep flag."""
+    u = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("raw"))
+                                     for c in features])), label)
+    u = u.withColumn("x", F.coalesce("raw", F.lit(0.0))).withColumn("nx", -F.col("x"))
+    st = u.groupBy("feature").agg(
+        F.avg(F.col("raw").isNull().cast("double")).alias("null_rate"),
+        F.avg((F.col("x") == 0).cast("double")).alias("zero_rate"),
+        F.avg(F.when(F.col("x") == 0, F.col(label))).alias("rate_zero"),
+        F.avg(F.when(F.col("x") != 0, F.col(label))).alias("rate_nonzero"),
+        F.avg(label).alias("base"))
+    ap_p = ap_auc(score_curve(u, "x", label, by=["feature"]), by=["feature"]).select("feature", F.col("ap").alias("ap_p"))
+    ap_n = ap_auc(score_curve(u, "nx", label, by=["feature"]), by=["feature"]).select("feature", F.col("ap").alias("ap_n"))
+    j = st.join(ap_p, "feature").join(ap_n, "feature")   # one row per feature each
+    best = F.greatest("ap_p", "ap_n")
+    return j.select("feature", r6("null_rate").alias("null_rate"), r6("zero_rate").alias("zero_rate"),
+                    r6("rate_zero").alias("rate_zero"), r6("rate_nonzero").alias("rate_nonzero"),
+                    r6(best).alias("best_ap"),
+                    F.when(F.col("ap_p") >= F.col("ap_n"), "higher").otherwise("lower").alias("direction"),
+                    r6(best / F.col("base")).alias("rel_lift"),
+                    (best / F.col("base") > keep_lift).cast("int").alias("keep"))
+
+
+def history_diagnostics(df: DataFrame, features: list[str], label: str = "is_fraud") -> DataFrame:
+    u = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v"))
+                                     for c in features])), label)
+    return u.groupBy("feature").agg(
+        r6(F.avg((F.col("v") == 0).cast("double"))).alias("zero_rate"), r6(F.avg("v")).alias("mean"),
+        r6(F.median("v")).alias("median"), r6(F.percentile("v", 0.99)).alias("p99"),
+        F.max("v").alias("max"), r6(F.avg(F.when(F.col("v") == 0, F.col(label)))).alias("rate_zero"),
+        r6(F.avg(F.when(F.col("v") > 0, F.col(label)))).alias("rate_positive"))
