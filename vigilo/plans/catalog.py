@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_clean", "q_profile", "q_past", "q_metrics", "q_ops", "q_ml"]
+MODULES = ["q_clean", "q_profile", "q_past", "q_metrics", "q_ops", "q_ml", "q_stream", "q_flagship"]
 
 
 def load() -> dict:
