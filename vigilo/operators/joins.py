@@ -128,10 +128,12 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l
         B = max(1, math.ceil(n_corpus / block_rows))
         n_q = qd.count()
         Q = max(1, math.ceil(n_q / query_chunk_rows))
-        cb = cd.withColumn("_blk", F.pmod(F.xxhash64("match_id"), F.lit(B))).withColumn(
-            "_qc", F.explode(F.sequence(F.lit(0), F.lit(Q - 1))))
-        qb = qd.withColumn("_qc", F.pmod(F.xxhash64("query_id"), F.lit(Q))).withColumn(
-            "_blk", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
+        # both sides' group keys must have the same type (long), or the
+        # co-grouping hashes them differently
+        cb = cd.withColumn("_blk", F.pmod(F.xxhash64("match_id"), F.lit(B)).cast("long")).withColumn(
+            "_qc", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(Q - 1).cast("long"))))
+        qb = qd.withColumn("_qc", F.pmod(F.xxhash64("query_id"), F.lit(Q)).cast("long")).withColumn(
+            "_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(B - 1).cast("long"))))
 
         def score_group(qpdf, cpdf):
             if len(qpdf) == 0 or len(cpdf) == 0:

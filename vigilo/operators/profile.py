@@ -44,7 +44,7 @@ def lift_table(df: DataFrame, cols: list[str], label: str = "is_fraud",
     out = g.where(F.col("value").isNotNull() & (F.col("tx_count") >= min_support))
     return out.select("feature", "value", "tx_count", "fraud_count",
                       r6(rate * 100).alias("fraud_rate"),
-                      r6(rate / F.col("_global")).alias("lift"))
+                      r6(F.try_divide(rate, F.col("_global"))).alias("lift"))
 
 
 def lift_pairs(df: DataFrame, pairs: list[tuple[str, str]], label: str = "is_fraud",
@@ -62,7 +62,7 @@ def lift_pairs(df: DataFrame, pairs: list[tuple[str, str]], label: str = "is_fra
     rate = F.col("fraud_count") / F.col("tx_count")
     g = (g.where(F.col("v1").isNotNull() & F.col("v2").isNotNull()
                  & (F.col("tx_count") >= min_support))
-          .withColumn("lift", rate / F.col("_global")))
+          .withColumn("lift", F.try_divide(rate, F.col("_global"))))
     rk = F.row_number().over(Window.partitionBy("pair").orderBy(
         F.desc("lift"), F.asc("v1"), F.asc("v2")))
     return (g.withColumn("rnk", rk).where(F.col("rnk") <= top)
@@ -169,7 +169,7 @@ def lift_by_flag(df: DataFrame, flag_col: str, amount: str = "amount",
     glob = F.sum("fraud_count").over(w) / F.sum("tx_count").over(w)
     rate = F.col("fraud_count") / F.col("tx_count")
     return g.select(flag_col, "tx_count", "fraud_count", "median_amount",
-                    r6(rate * 100).alias("fraud_rate"), r6(rate / glob).alias("lift"))
+                    r6(rate * 100).alias("fraud_rate"), r6(F.try_divide(rate, glob)).alias("lift"))
 
 
 def quantile_edges(df: DataFrame, col: str, q: int, accuracy: int | None = None) -> Column:
@@ -205,7 +205,7 @@ def lift_buckets(df: DataFrame, col: str, q: int, label: str = "is_fraud") -> Da
                     r6(edges[F.col("bucket")]).alias("lower"),
                     r6(edges[F.col("bucket") + 1]).alias("upper"),
                     "tx_count", "fraud_count", r6(rate * 100).alias("fraud_rate"),
-                    r6(rate / glob).alias("lift"))
+                    r6(F.try_divide(rate, glob)).alias("lift"))
 
 
 def rate_minmax(df: DataFrame, cols: list[str], label: str = "is_fraud") -> DataFrame:

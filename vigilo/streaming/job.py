@@ -68,10 +68,16 @@ def _update(key, pdfs, state):
 def replay_source(spark: SparkSession, events: DataFrame, files: int = 8) -> tuple[str, DataFrame]:
     """Write ``events`` as ``files`` time-ordered parquet files (one per
     trigger) and open them as a file stream — the replay feed."""
+    from ..operators.order import global_index, time_blocks
     path = scratch_path(spark, "stream-src")
     n = max(1, files)
-    (events.repartitionByRange(n, "ts", "transaction_id").sortWithinPartitions("ts", "transaction_id")
-           .write.mode("overwrite").parquet(path))
+    # the file source orders files by modification time, so the time blocks
+    # are appended one after another (block i strictly before block i+1)
+    g = global_index(events, ["ts", "transaction_id"], out="_i")
+    g = g.withColumn("_blk", time_blocks(F.col("_i"), F.col("_total"), n)).drop("_i", "_total")
+    for i in range(n):
+        (g.where(F.col("_blk") == i).drop("_blk").coalesce(1)
+          .sortWithinPartitions("ts", "transaction_id").write.mode("append").parquet(path))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return path, stream
 
