@@ -30,3 +30,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(table(spark, sf_dir, "documents"), shared_dir(spark, "token-files"),
                                  tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return read_token_files(manifest)
+
+
+@query("op7_simhash_near_dup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .simhash import near_duplicates
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4, seed=42)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
