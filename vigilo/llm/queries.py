@@ -49,3 +49,33 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def with_crc32(df: DataFrame, ids: str = "ids", name: str = "ids_crc32") -> DataFrame:
+    """``df`` with the CRC-32 of the id lists in place of the lists."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+    kept = [c for c in df.columns if c != ids]
+
+    def task(batches):
+        for b in batches:
+            lists = b.column(len(kept))
+            at, flat = lists.offsets.to_numpy(), memoryview(np.ascontiguousarray(lists.values.to_numpy(), "<u4")).cast("B")
+            crc = [zlib.crc32(flat[4 * x:4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.record_batch([*b.columns[:-1], pa.array(crc, pa.int64())], names=[*kept, name])
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return df.select(*kept, ids).mapInArrow(task, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], f"{name} long"]))
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    from .packing import pack
+    found = with_crc32(pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048))
+    return found.selectExpr("doc_id", "piece", "start", "cast(length as long) as length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op5_best_fit_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
