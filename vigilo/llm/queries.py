@@ -79,3 +79,9 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_embedding_near_dup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dups import near_duplicate_vectors
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
