@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches to and from Python workers of at most 8 MB or 4000 rows (a longer row is alone)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder."""
     return scratch_path(spark, name)
@@ -82,3 +88,9 @@ def byte_rows(array: pa.Array) -> Iterator[memoryview]:
 def crc32_u32(ids: np.ndarray) -> int:
     """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
+
+
+def crc32_ids(ids: pa.Array, length: pa.Array) -> pa.Array:
+    """``crc32_u32`` of ids packed in as many bytes as there are to ``length`` of them."""
+    size = length.to_numpy(zero_copy_only=False).tolist()
+    return pa.array([crc32_u32(np.frombuffer(x, f"<u{len(x) // n}")) for x, n in zip(byte_rows(ids), size)], pa.int64())

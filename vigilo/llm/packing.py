@@ -186,7 +186,7 @@ def look_up(slots: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray)
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, blank: bool, carry: tuple) -> DataFrame:
     """Encoded documents cut to the capacity, written to the shared folder: the ``carry`` columns, ``piece``,
-    ``start``, ``length``, ``ids``, and the piece's number among those of its length in its ``part``."""
+    ``start``, ``length``, ``ids`` (little-endian, 2 bytes each, or 4 for more than 65,536 different ids), and the piece's number among those of its length in its ``part``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc, seen = TaskContext.get().partitionId(), encoder(tokenizer, blank), np.zeros(capacity + 1, np.int64)
@@ -194,14 +194,14 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, blank: b
             row, piece, start, size, number, ids, waiting = [], [], [], [], [], [], 0
 
             def made():
-                at = np.cumsum([0, *size])
-                flat = pa.array(np.concatenate(ids).astype(np.int32))
+                at = (np.cumsum([0, *size]) * enc.dtype.itemsize).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(at), pa.py_buffer(np.concatenate(ids).astype(enc.dtype.newbyteorder("<")))])
                 return pa.record_batch([*b.take(pa.array(row)).columns[1:], pa.array([part] * len(row), pa.int32()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                                        pa.array(size, pa.int32()), pa.array(number, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)],
+                                        pa.array(size, pa.int32()), pa.array(number, pa.int64()), data],
                                        names=[*b.schema.names[1:], "part", "piece", "start", "length", "number", "ids"])
 
-            for i, data in enumerate(byte_rows(b.column(0))):
-                whole = np.append(enc.encode(bytes(data)), enc.dtype.type(end_id))
+            for i, own in enumerate(enc.encode_all(map(bytes, byte_rows(b.column(0))))):
+                whole = np.append(own, enc.dtype.type(end_id))
                 for k, lo in enumerate(range(0, len(whole), capacity)):
                     own = whole[lo:lo + capacity]
                     row.append(i)
@@ -220,7 +220,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, blank: b
 
     rows = docs.select(text_of(docs).alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(carry)])
     kinds = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
-    return materialise(rows.mapInArrow(task, ", ".join([*kinds, "part int, piece int, start long, length int, number long, ids array<int>"])), "pieces")
+    return materialise(rows.mapInArrow(task, ", ".join([*kinds, "part int, piece int, start long, length int, number long, ids binary"])), "pieces")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, blank: bool = False, carry: tuple = ("doc_id",)) -> DataFrame:
@@ -235,21 +235,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = cut.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("number"))
-    kept = [f"c{i}" for i in range(len(carry))] + ["piece", "start", "length", "ids"]
+    found = F.arrow_udf(lambda length, rank: _places(slots, length, rank), "sequence_id long, offset long")("length", "rank")
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(carry)] + ["piece", "start", "length", "ids"]
+    return ranked.withColumn("found", found).select(*kept, "found.sequence_id", "found.offset")
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            length, rank = (b.column(n).to_numpy().astype(np.int64) for n in ("length", "rank"))
-            sequence, offset = look_up(slots, length, rank) if len(length) else (length, length)
-            yield pa.record_batch([*[b.column(n) for n in kept], pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
-    types = {f.name: f.dataType.simpleString() for f in ranked.schema}
-    out = ranked.select(*kept, "rank").mapInArrow(task, ", ".join([*[f"{n} {types[n]}" for n in kept], "sequence_id long, offset long"]))
-    return out.toDF(*carry, "piece", "start", "length", "ids", "sequence_id", "offset")
+def _places(slots: dict[str, np.ndarray], length: pa.Array, rank: pa.Array) -> pa.Array:
+    if not len(length):
+        return pa.array([], pa.struct([("sequence_id", pa.int64()), ("offset", pa.int64())]))
+    found = look_up(slots, *(x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (length, rank)))
+    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found], ["sequence_id", "offset"])
 
 
 def sequences(packed: DataFrame) -> DataFrame:
     """The packed sequences: ``sequence_id``, their ``ids``, and the ``lengths`` of their pieces in order.  A sequence
     has at most the capacity's pieces."""
     parts = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "ids"))).alias("p"))
-    return parts.select("sequence_id", F.flatten(F.col("p.ids")).alias("ids"), F.col("p.length").alias("lengths"))
+    return parts.select("sequence_id", F.aggregate(F.col("p.ids"), F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"), F.col("p.length").alias("lengths"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import shared_dir, table
+from .common import bound_batches, shared_dir, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -12,7 +12,10 @@ ORACLE_SQL: dict = {}
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bound_batches(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql:
             ORACLE_SQL[name] = sql
         return fn
@@ -51,29 +54,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-def with_crc32(df: DataFrame, ids: str = "ids", name: str = "ids_crc32") -> DataFrame:
-    """``df`` with the CRC-32 of the id lists in place of the lists."""
-    import zlib
-
-    import numpy as np
-    import pyarrow as pa
-    kept = [c for c in df.columns if c != ids]
-
-    def task(batches):
-        for b in batches:
-            lists = b.column(len(kept))
-            at, flat = lists.offsets.to_numpy(), memoryview(np.ascontiguousarray(lists.values.to_numpy(), "<u4")).cast("B")
-            crc = [zlib.crc32(flat[4 * x:4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.record_batch([*b.columns[:-1], pa.array(crc, pa.int64())], names=[*kept, name])
+def ids_crc32(ids, length):
+    """CRC-32 of each list of ids, as unsigned 32-bit integers."""
+    from pyspark.sql import functions as F
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(*kept, ids).mapInArrow(task, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], f"{name} long"]))
+    from .common import crc32_ids
+    return F.arrow_udf(crc32_ids, "long")(ids, length)
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
     from .packing import pack
-    found = with_crc32(pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048))
-    return found.selectExpr("doc_id", "piece", "start", "cast(length as long) as length", "ids_crc32", "sequence_id", "offset")
+    found = pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
+    return found.select("doc_id", "piece", "start", found.length.cast("long").alias("length"), ids_crc32("ids", "length").alias("ids_crc32"), "sequence_id", "offset")
 
 
 @query("op5_best_fit_packing")
@@ -85,3 +77,74 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_dups import near_duplicate_vectors
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .secrets import scan, written
+    found = scan(table(spark, sf_dir, "documents"))
+    count = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as long)").alias(f"n_{name}") for k, name in enumerate(("assign", "access", "hex"))]
+    return found.select("doc_id", *count, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+#: Rules of the URL query, and the words that put a host on its block list.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+LISTED_HOSTS = "(casino|bets|pills|poker|lottery|xxx)"
+
+OP2_SQL = r"""
+with u as (select page_id, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as h,
+                  regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') as p from pages),
+v as (select page_id, coalesce(h, '') as host, coalesce(p, '') as path from u),
+r(rule_host, rule_path, what) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m as (select host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule, arg_max(what, length(rule_host || rule_path)) as what
+      from (select distinct host, path from v) d, r where (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by host, path)
+select page_id, v.host, v.path, rule, coalesce(what, case when regexp_matches(v.host, '(casino|bets|pills|poker|lottery|xxx)') then 'block' else 'allow' end) as verdict
+from v left join m on v.host = m.host and v.path = m.path
+"""
+
+
+@query("op2_url_filter", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+    return judge(table(spark, sf_dir, "pages"), URL_RULES, lambda host: host.rlike(LISTED_HOSTS))
+
+
+OP3_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, sha256(html) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, d.payload_digest, case when first is null or page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from d left join f on d.payload_digest = f.payload_digest
+"""
+
+
+@query("op3_warc_records", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+    manifest = write_archives(table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
+    return read_archives(manifest, data=False).where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_quality_resampling")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is text labelled good; the sample is as large as the share of such labels."""
+    from pyspark.sql import functions as F
+
+    from .resample import resample
+    labels = table(spark, sf_dir, "labels")
+    share = labels.agg(F.avg("quality")).first()[0] or 0.0
+    return resample(table(spark, sf_dir, "documents"), labels.where("quality = 1").select("doc_id"), share)
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .toxicity import fit, fold, score
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = score(docs, fit(docs, labels))
+    held_out = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -125,8 +125,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
             def rows(b):
                 place, size = [], []
-                for data in byte_rows(b.column(1)):
-                    ids = enc.encode(bytes(data))
+                for ids in enc.encode_all(map(bytes, byte_rows(b.column(1)))):
                     place.append(out.add(ids))
                     out.add(end)
                     size.append(len(ids) + 1)
