@@ -100,8 +100,10 @@ class Reduction:
     def best_pair(self, room: int, x: int) -> int:
         """Largest sum of two items that fit together."""
         best = 0
-        for a in range(min(room - 1, self.capacity), room // 2 - 1, -1):
-            if a > 0 and self.left[a] > (a == x):
+        for a in range(min(room - 1, self.capacity), 0, -1):
+            if 2 * a <= best:
+                break
+            if self.left[a] > (a == x):
                 b = self.fitting(min(room - a, a), (x, a))
                 best = max(best, a + b if b else 0)
         return best
