@@ -11,7 +11,6 @@ ROWS = [(1, "a", dt.datetime(2024, 1, 1, 0), 1.0), (2, "a", dt.datetime(2024, 1,
         (3, "a", dt.datetime(2024, 1, 1, 12), 3.0), (4, "a", dt.datetime(2024, 1, 2, 0), 4.0),
         (5, "a", dt.datetime(2024, 1, 2, 0), 5.0)]
 
-FORCE_HOT = P.Skew(threshold=1, sample_fraction=1.0, max_hot=10, chunk_us=P.DAY_US // 2)
 
 
 @pytest.fixture
@@ -23,27 +22,27 @@ def col(df, c):
     return [r[c] for r in df.orderBy("transaction_id").collect()]
 
 
-@pytest.mark.parametrize("skew", [None, FORCE_HOT])
-def test_counts(f7, skew):
-    d = P.running(f7, ["k"], {"pos": ("count", None)}, ties="positional", skew=skew)
+@pytest.mark.parametrize("chunks", [1, 2, 7])
+def test_counts(f7, chunks):
+    d = P.running(f7, ["k"], {"pos": ("count", None)}, ties="positional", chunks=chunks)
     assert col(d, "pos") == [0, 1, 2, 3, 4]
-    d = P.running(f7, ["k"], {"st": ("count", None)}, ties="strict", skew=skew)
+    d = P.running(f7, ["k"], {"st": ("count", None)}, ties="strict", chunks=chunks)
     assert col(d, "st") == [0, 1, 1, 3, 3]
 
 
-@pytest.mark.parametrize("skew", [None, FORCE_HOT])
-def test_rolling(f7, skew):
+@pytest.mark.parametrize("chunks", [1, 2, 7])
+def test_rolling(f7, chunks):
     m = {"n": ("count", None), "s": ("sum", F.col("x"))}
-    d = P.rolling(f7, ["k"], "24h", m, ties="positional", skew=skew)
+    d = P.rolling(f7, ["k"], "24h", m, ties="positional", chunks=chunks)
     assert col(d, "n") == [0, 1, 2, 2, 3]
     assert col(d, "s") == [0, 1, 3, 5, 9]
-    d = P.rolling(f7, ["k"], "24h", {"n": ("count", None)}, ties="strict", skew=skew)
+    d = P.rolling(f7, ["k"], "24h", {"n": ("count", None)}, ties="strict", chunks=chunks)
     assert col(d, "n") == [0, 1, 1, 2, 2]
 
 
-@pytest.mark.parametrize("skew", [None, FORCE_HOT])
-def test_expanding(f7, skew):
-    d = P.expanding(f7, "k", "x", "e", skew=skew)
+@pytest.mark.parametrize("chunks", [1, 2, 7])
+def test_expanding(f7, chunks):
+    d = P.expanding(f7, "k", "x", "e", chunks=chunks)
     assert col(d, "e_sum") == [None, 1, 3, 6, 10]
     assert col(d, "e_count") == [0, 1, 2, 3, 4]
     std = col(d, "e_std")
@@ -53,18 +52,31 @@ def test_expanding(f7, skew):
     assert col(d, "med") == [None, 1, 1.5, 2, 2.5]
 
 
-def test_skew_path_matches_plain(spark):
+def test_results_do_not_depend_on_chunks(spark):
     from vigilo.sources import txn_events
     df = txn_events(spark, "/root/testdata/sf0.001")
-    hot = P.Skew(threshold=30, sample_fraction=1.0, max_hot=5, chunk_us=2 * P.DAY_US)
-
-    def feats(skew):
-        d = P.unique_so_far(df, "sender_account", "location", "u", ties="strict", skew=skew)
-        d = P.expanding(d, "sender_account", "amount", "amt", skew=skew)
-        d = P.rolling(d, ["sender_account"], "7d", {"r": ("count", None)}, skew=skew)
-        d = P.past_label_neighbors(d, "sender_account", "receiver_account", "pln", skew=skew)
+    df = df.withColumn("sender_account", F.when(F.col("transaction_id") % 3 == 0, F.lit(-1)).when(F.col("transaction_id") % 5 == 1, F.lit(None)).otherwise(F.col("sender_account")))
+
+    def feats(chunks):
+        d = P.unique_so_far(df, "sender_account", "location", "u", ties="strict", chunks=chunks)
+        d = P.expanding(d, "sender_account", "amount", "amt", chunks=chunks)
+        d = P.rolling_many(d, ["sender_account"], {"7d": {"r": ("count", None)}, "24h": {"s": ("sum", F.col("amount"))}}, chunks=chunks)
+        d = P.rolling(d, ["sender_account"], "24h", {"q": ("count", None)}, ties="strict", chunks=chunks)
+        d = P.past_label_neighbors(d, "sender_account", "receiver_account", "pln", chunks=chunks)
         return {r["transaction_id"]: (r["u"], r["amt_sum"] and round(r["amt_sum"], 6),
-                                      r["amt_std"] and round(r["amt_std"], 6), r["r"], r["pln"])
+                                      r["amt_std"] and round(r["amt_std"], 6), r["amt_max"], r["r"], round(r["s"], 6), r["q"], r["pln"])
                 for r in d.collect()}
 
-    assert feats(None) == feats(hot)
+    want = feats(1)
+    assert len(want) == df.count()
+    assert feats(5) == want and feats(40) == want
+
+
+def test_std_of_a_large_offset(spark):
+    df = spark.range(200).selectExpr("id as transaction_id", "'k' as k", "timestamp_seconds(id) as ts", "1e9 + id % 3 as x")
+    for chunks in (1, 9):
+        d = P.expanding(df, "k", "x", "e", chunks=chunks)
+        last = d.where("transaction_id = 199").first()
+        assert abs(last["e_std"] - 0.8175) < 1e-3
+    a, b = (col(P.expanding(df, "k", "x", "e", chunks=c), "e_std") for c in (1, 9))
+    assert all((x is None and y is None) or abs(x - y) < 1e-6 for x, y in zip(a, b))

@@ -5,30 +5,30 @@ Two notions of "the past" of a row within its entity:
 * ``positional`` — rows before it in the (ts, tie-break) order;
 * ``strict``     — rows with a strictly smaller timestamp (tie peers excluded).
 
-Every feature is a window partitioned by the entity key(s): one shuffle per
-key set, all measures over the same key set share it (Catalyst merges
-windows with the same spec).
-
-Skew.  A key that holds a large share of all rows would put its whole history
-in one task.  ``Skew`` finds such keys from a sample (the sample only decides
-the physical layout; results are exact either way) and splits each hot key's
-history into time chunks ``_c``.  Windows are partitioned by (keys, _c); each
-hot chunk receives one *carry* row holding the aggregate of all earlier
-chunks (a prefix over the small chunk table), placed before the chunk's
-first row, so running sums / counts / max / min / variance continue across
-chunks.  Rolling windows instead copy a hot row into the next chunk when it
-is younger than the window length there (at most one copy per row).  Cold
-keys keep ``_c = 0`` and run exactly as a plain entity window.
+Every feature is a window partitioned by the entity key(s).
+
+Large keys.  ``placed`` range-partitions the rows by (entity, time) and stores
+them, so every partition (chunk ``_c``) has about the same number of rows and
+an entity with very many rows, or a null entity, covers several chunks.
+Windows are partitioned by (keys, _c).  At most one entity goes on from a
+chunk to the next, so the entities that cover several chunks are known from the
+chunks' first and last keys; only those get *carry* rows, which hold the
+aggregate of all earlier chunks and stand before the chunk's first row.  Counts,
+sums, maxima, minima and variances (as count, mean and second moment) continue
+across chunks, and results don't depend on where chunks end.
+
+A rolling window is a running sum too: each row enters at its time and leaves
+at its time plus the window's length, so it needs no frame of bounded time and
+is split like any other running sum.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import flag
+from ..session import stored
 
 DAY_US = 86_400_000_000
 DURATIONS = {"24h": DAY_US, "1d": DAY_US, "7d": 7 * DAY_US, "30d": 30 * DAY_US}
@@ -38,48 +38,27 @@ def duration_us(w: str | int) -> int:
     return w if isinstance(w, int) else DURATIONS[w]
 
 
-@dataclass(frozen=True)
-class Skew:
-    threshold: int = 1_000_000      # rows per key that make a key "hot"
-    sample_fraction: float = 0.01   # detection sample (layout only)
-    max_hot: int = 1_000            # hot keys handled by chunking (bounded table)
-    chunk_us: int = 7 * DAY_US      # time-chunk width for hot keys
-    seed: int = 17
-
-
-DEFAULT_SKEW: Skew | None = Skew()
-
-
-def hot_keys(df: DataFrame, keys: list[str], skew: Skew) -> DataFrame:
-    """At most ``max_hot`` keys whose estimated row count ≥ ``threshold``."""
-    s = df.select(*keys) if skew.sample_fraction >= 1 else \
-        df.select(*keys).sample(fraction=skew.sample_fraction, seed=skew.seed)
-    min_sampled = max(1.0, skew.threshold * min(skew.sample_fraction, 1.0))
-    return (s.where(F.coalesce(*[F.col(k).isNotNull() for k in keys]))
-             .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-             .where(F.col("_n") >= min_sampled)
-             .orderBy(F.desc("_n"), *keys).limit(skew.max_hot)
-             .select(*keys, F.lit(1).alias("_hot")))
+def placed(df: DataFrame, keys: list[str], ts: str = "ts", chunks: int | None = None) -> DataFrame:
+    """``df`` stored in ranges of (keys, time), with ``_t`` (microseconds), ``_c`` (the range's number) and ``_span``
+    (whether the row's entity covers several ranges).  Rows of one entity and time share a range.
 
-
-def collect_hot(df: DataFrame, keys: list[str], skew: Skew | None) -> list[tuple]:
-    """The hot keys as a bounded driver list (≤ ``max_hot`` tuples)."""
-    if skew is None:
-        return []
-    return [tuple(r[k] for k in keys) for r in hot_keys(df, keys, skew).collect()]
+    Pass the result to several functions of the same entity to place the rows once; ``unplaced`` drops the
+    columns."""
+    keys = list(keys)
+    n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    d = df.withColumn("_t", F.unix_micros(F.col(ts)))
+    d = stored(d.repartitionByRange(n, *keys, "_t").withColumn("_c", F.spark_partition_id().cast("long")), "placed")
+    k = F.struct(*keys)
+    ends = d.groupBy("_c").agg(F.min(k).alias("first"), F.max(k).alias("last"))  # a row per range
+    a = ends.select(F.col("_c").alias("a"), F.col("last").alias("_k"))
+    b = ends.select(F.col("_c").alias("b"), F.col("first").alias("_k2"))
+    span = a.join(b, (F.col("a") < F.col("b")) & F.col("_k").eqNullSafe(F.col("_k2"))).select("_k").distinct()
+    flag_ = F.broadcast(span.withColumn("_span", F.lit(True)))  # fewer rows than ranges
+    return d.join(flag_, k.eqNullSafe(F.col("_k")), "left").drop("_k").withColumn("_span", F.coalesce("_span", F.lit(False)))
 
 
-def with_chunks(df: DataFrame, keys: list[str], hot: list[tuple], width_us: int,
-                t: str = "_t") -> DataFrame:
-    """Add ``_c``: 0 for cold keys, 1 + time-chunk number for hot keys."""
-    if not hot:
-        return df.withColumn("_c", F.lit(0).cast("long"))
-    spark = df.sparkSession
-    schema = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
-    hot_df = spark.createDataFrame(hot, schema).withColumn("_hot", F.lit(1))
-    d = df.join(F.broadcast(hot_df), keys, "left")   # ≤ max_hot rows
-    c = F.when(F.col("_hot") == 1, F.floor(F.col(t) / F.lit(width_us)) + 1).otherwise(F.lit(0))
-    return d.withColumn("_c", c.cast("long")).drop("_hot")
+def unplaced(df: DataFrame) -> DataFrame:
+    return df.drop("_t", "_c", "_span")
 
 
 _KINDS = ("count", "sum", "max", "min", "var")
@@ -88,152 +67,123 @@ _KINDS = ("count", "sum", "max", "min", "var")
 def running(df: DataFrame, keys: list[str], measures: dict[str, tuple[str, Column | None]],
             ts: str = "ts", order: list[str] = ("transaction_id",), ties: str = "positional",
             include_current: bool = False, chunk_keys: list[str] | None = None,
-            skew: Skew | None = DEFAULT_SKEW) -> DataFrame:
+            chunks: int | None = None) -> DataFrame:
     """Running aggregates over each row's past within ``keys``.
 
     ``measures`` maps output name → (kind, value column); kinds are
     count / sum / max / min / var (population variance).  Frame: positional
     ``ROWS UNBOUNDED PRECEDING .. -1`` or strict ``RANGE .. -1 µs``
     (``include_current`` ends the positional frame at the current row).
-    Empty past: count 0, others null.
+    Empty past: count 0, others null.  ``chunk_keys``, a subset of the keys,
+    places the rows if they aren't placed yet.
     """
     keys = list(keys)
-    order = list(order)
-    d = df.withColumn("_t", F.unix_micros(F.col(ts)))
-    hot = collect_hot(df, chunk_keys or keys, skew)
-    d = with_chunks(d, chunk_keys or keys, hot, skew.chunk_us if hot else 0)
-    if not hot:
-        skew = None  # no hot key: the plain entity window, input referenced once
-    vcols = {}
-    for out, (kind, expr) in measures.items():
-        if kind not in _KINDS:
-            raise ValueError(kind)
-        vcols[f"_v_{out}"] = (F.lit(1).cast("long") if kind == "count" else expr.cast("double")
-                              if kind == "var" else expr)
+    if ties not in ("positional", "strict"):
+        raise ValueError(ties)
+    if bad := [kind for kind, _ in measures.values() if kind not in _KINDS]:
+        raise ValueError(bad[0])
+    ours = "_c" not in df.columns
+    d = placed(df, chunk_keys or keys, ts, chunks) if ours else df
+    vcols = {f"_v_{out}": F.lit(1).cast("long") if kind == "count" else expr.cast("double") if kind == "var" else expr
+             for out, (kind, expr) in measures.items()}
     d = d.withColumns(vcols).withColumn("_carry", F.lit(0))
-    part = [*keys, "_c"]
-    if skew is not None:
-        d = d.unionByName(_carry_rows(d, keys, measures, skew.chunk_us), allowMissingColumns=True)
-    end = 0 if include_current else -1
+    d = d.unionByName(_carry_rows(d, keys, measures), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_c")
     if ties == "positional":
-        w = Window.partitionBy(*part).orderBy("_t", "_carry", *order).rowsBetween(
-            Window.unboundedPreceding, end)
-    elif ties == "strict":
-        w = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+        w = w.orderBy("_t", F.desc("_carry"), *order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     else:
-        raise ValueError(ties)
+        w = w.orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
     outs = {}
     native = F.col("_carry") == 0
     for out, (kind, _) in measures.items():
         v = F.col(f"_v_{out}")
         if kind == "count":
             outs[out] = F.coalesce(F.sum(v).over(w), F.lit(0)).cast("long")
-        elif kind == "sum":
-            outs[out] = F.sum(v).over(w)
-        elif kind == "max":
-            outs[out] = F.max(v).over(w)
-        elif kind == "min":
-            outs[out] = F.min(v).over(w)
-        else:  # variance: stable var_pop over native rows, Chan-merged with the carry
+        elif kind in ("sum", "max", "min"):
+            outs[out] = getattr(F, kind)(v).over(w)
+        else:  # variance: the chunk's own rows, merged with the carry
             vn = F.when(native, v)
             n_b, m_b = F.count(vn).over(w), F.avg(vn).over(w)
             m2_b = F.var_pop(vn).over(w) * n_b
-            if skew is None:
-                outs[out] = F.var_pop(vn).over(w)
-            else:
-                cn = F.max(F.when(~native, F.col(f"_cn_{out}"))).over(w)
-                cs = F.max(F.when(~native, F.col(f"_cs_{out}"))).over(w)
-                cq = F.max(F.when(~native, F.col(f"_cq_{out}"))).over(w)
-                n_a = F.coalesce(cn, F.lit(0))
-                m_a = cs / cn
-                m2_a = cq - cs * cs / cn
-                n = n_a + n_b
-                merged = (F.coalesce(m2_a, F.lit(0.0)) + F.coalesce(m2_b, F.lit(0.0))
-                          + F.coalesce((m_b - m_a) * (m_b - m_a) * n_a * n_b / n, F.lit(0.0)))
-                outs[out] = F.when(n > 0, F.greatest(merged / n, F.lit(0.0)))
+            cn, cm, cq = (F.max(F.col(f"_{p}_{out}")).over(w) for p in ("cn", "cm", "cq"))
+            n_a = F.coalesce(cn, F.lit(0))
+            n = n_a + n_b
+            merged = (F.coalesce(cq, F.lit(0.0)) + F.coalesce(m2_b, F.lit(0.0))
+                      + F.coalesce((m_b - cm) * (m_b - cm) * n_a * n_b / n, F.lit(0.0)))
+            outs[out] = F.when(n > 0, F.greatest(merged / n, F.lit(0.0)))
     d = d.withColumns(outs).where(native)
-    return d.drop("_t", "_c", "_carry", *vcols.keys(),
-                  *[f"_{p}_{o}" for o in measures for p in ("cn", "cs", "cq")])
+    d = d.drop("_carry", *vcols.keys(), *[f"_{p}_{o}" for o, (k, _) in measures.items() if k == "var" for p in ("cn", "cm", "cq")])
+    return unplaced(d) if ours else d
 
 
-def _carry_rows(d: DataFrame, keys: list[str], measures, chunk_us: int) -> DataFrame:
-    """One row per hot (keys, chunk) carrying the aggregate of all earlier
-    chunks of the same key; hot keys only, so the table is bounded by
-    max_hot × chunks."""
-    hot = d.where(F.col("_c") > 0)
-    aggs = []
+def _carry_rows(d: DataFrame, keys: list[str], measures) -> DataFrame:
+    """A row for each (keys, chunk) of an entity that covers several chunks, with the aggregate of its
+    earlier chunks.  The prefix over a key has at most a row per chunk."""
+    aggs = [F.min("_t").alias("_least")]
     for out, (kind, _) in measures.items():
         v = F.col(f"_v_{out}")
-        if kind in ("count", "sum"):
-            aggs.append(F.sum(v).alias(f"_a_{out}"))
-        elif kind == "max":
-            aggs.append(F.max(v).alias(f"_a_{out}"))
-        elif kind == "min":
-            aggs.append(F.min(v).alias(f"_a_{out}"))
+        if kind == "var":
+            aggs += [F.count(v).alias(f"_an_{out}"), F.avg(v).alias(f"_am_{out}"), (F.var_pop(v) * F.count(v)).alias(f"_aq_{out}")]
         else:
-            aggs += [F.count(v).alias(f"_an_{out}"), F.sum(v).alias(f"_as_{out}"),
-                     F.sum(v * v).alias(f"_aq_{out}")]
-    ct = hot.groupBy(*keys, "_c").agg(*aggs)
-    wc = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    cols = [*[F.col(k) for k in keys], F.col("_c"),
-            ((F.col("_c") - 1) * F.lit(chunk_us) - 1).alias("_t"), F.lit(1).alias("_carry")]
+            aggs.append((F.sum(v) if kind in ("count", "sum") else getattr(F, kind)(v)).alias(f"_a_{out}"))
+    ct = d.where("_span").groupBy(*keys, "_c").agg(*aggs)
+    all_ = Window.partitionBy(*keys).orderBy("_c")
+    before = all_.rowsBetween(Window.unboundedPreceding, -1)
+    cols = [*[F.col(k) for k in keys], F.col("_c"), (F.col("_least") - 1).alias("_t"), F.lit(1).alias("_carry"), F.count(F.lit(1)).over(before).alias("_before")]
     for out, (kind, _) in measures.items():
-        if kind in ("count", "sum"):
-            cols.append(F.sum(f"_a_{out}").over(wc).alias(f"_v_{out}"))
-        elif kind == "max":
-            cols.append(F.max(f"_a_{out}").over(wc).alias(f"_v_{out}"))
-        elif kind == "min":
-            cols.append(F.min(f"_a_{out}").over(wc).alias(f"_v_{out}"))
+        if kind == "var":
+            # moments about the first chunk's mean, so that a large common offset doesn't cancel digits
+            n, m, q = (F.col(f"_{p}_{out}") for p in ("an", "am", "aq"))
+            ref = F.first(m, ignorenulls=True).over(all_.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+            shift = F.coalesce(m - ref, F.lit(0.0))
+            total, s = F.sum(n).over(before), F.sum(n * shift).over(before)
+            cols += [F.lit(None).cast("double").alias(f"_v_{out}"), total.alias(f"_cn_{out}"), (ref + s / total).alias(f"_cm_{out}"),
+                     (F.sum(F.coalesce(q, F.lit(0.0)) + n * shift * shift).over(before) - s * s / total).alias(f"_cq_{out}")]
         else:
-            cols += [F.lit(None).cast("double").alias(f"_v_{out}"),
-                     F.sum(f"_an_{out}").over(wc).alias(f"_cn_{out}"),
-                     F.sum(f"_as_{out}").over(wc).alias(f"_cs_{out}"),
-                     F.sum(f"_aq_{out}").over(wc).alias(f"_cq_{out}")]
-    return ct.select(*cols)
+            a = F.col(f"_a_{out}")
+            cols.append((F.sum(a) if kind in ("count", "sum") else getattr(F, kind)(a)).over(before).alias(f"_v_{out}"))
+    return ct.select(*cols).where("_before > 0").drop("_before")
 
 
 # ---------------------------------------------------------------------------
 # rolling time windows (t - W, t], current row excluded
 
-def rolling(df: DataFrame, keys: list[str], window: str | int,
-            measures: dict[str, tuple[str, Column | None]], ts: str = "ts",
-            order: list[str] = ("transaction_id",), ties: str = "positional",
-            skew: Skew | None = DEFAULT_SKEW) -> DataFrame:
-    """Count / sum over the entity's earlier rows in ``(t - W, t]``.
-
-    Strict part: ``RANGE BETWEEN W-1 µs PRECEDING AND 1 µs PRECEDING`` on the
-    µs timestamp.  ``positional`` adds the rows at the same timestamp that
-    come earlier in the tie-break order (a ROWS prefix inside (keys, ts)),
-    which is what a pandas time-based rolling window does.
-    Kinds: count, sum (an empty sum is 0, as rolling-sum minus self).
-    """
-    keys = list(keys)
-    order = list(order)
-    W = duration_us(window)
-    d = df.withColumn("_t", F.unix_micros(F.col(ts)))
-    hot = collect_hot(df, keys, skew)
-    width = max(skew.chunk_us, W) if hot else 0
-    d = with_chunks(d, keys, hot, width).withColumn("_native", F.lit(1))
-    if not hot:
-        skew = None
-    vcols = {f"_v_{o}": (F.lit(1).cast("long") if k == "count" else e) for o, (k, e) in measures.items()}
-    d = d.withColumns(vcols)
-    if skew is not None:
-        nxt = F.col("_c") * F.lit(width)
-        copies = (d.where((F.col("_c") > 0) & (F.col("_t") + F.lit(W) > nxt))
-                   .withColumn("_c", F.col("_c") + 1).withColumn("_native", F.lit(0)))
-        d = d.unionByName(copies)
-    wr = Window.partitionBy(*keys, "_c").orderBy("_t").rangeBetween(-(W - 1), -1)
-    wt = Window.partitionBy(*keys, "_c", "_t").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1)
+def rolling_many(df: DataFrame, keys: list[str], windows: dict[str | int, dict[str, tuple[str, Column | None]]],
+                 ts: str = "ts", order: list[str] = ("transaction_id",), ties: str = "positional",
+                 chunks: int | None = None) -> DataFrame:
+    """Count / sum over the entity's earlier rows in ``(t - W, t]``, for several windows at once.
+
+    Every row enters at its time and leaves W later: the running sum of what has
+    entered less what has left is the window's.  ``positional`` counts the rows of
+    the same time that come earlier in the tie-break order; ``strict`` none.
+    Kinds: count, sum (an empty sum is 0)."""
+    keys, order = list(keys), list(order)
+    strict = ties == "strict"
+    measures = [(w, o, k, e) for w, m in windows.items() for o, (k, e) in m.items()]
+    vals = {f"_w{i}": F.lit(1).cast("long") if k == "count" else e for i, (_, _, k, e) in enumerate(measures)}
+    ones = {f"_n{i}": F.lit(1).cast("long") for i, m in enumerate(measures) if m[2] == "sum"}
+    # a nullable value doesn't count in an empty sum's test
+    ones = {n: F.when(vals[f"_w{n[2:]}"].isNotNull(), v).otherwise(F.lit(0).cast("long")) for n, v in ones.items()}
+    rows = df.withColumns(vals | ones).withColumns({"_at": F.col(ts), "_enters": F.lit(1)})
+    events = rows
+    for w in windows:
+        own = {i for i, m in enumerate(measures) if m[0] == w}
+        leave = F.timestamp_micros(F.unix_micros(F.col(ts)) + F.lit(duration_us(w) - int(strict)))
+        sign = {c: -F.col(c) if int(c[2:]) in own else (F.col(c) * 0) for c in (*vals, *ones)}
+        gone = rows.select(*keys, *order, *[v.alias(c) for c, v in sign.items()], leave.alias("_at"), F.lit(0).alias("_enters"))
+        events = events.unionByName(gone, allowMissingColumns=True)
+    run = {f"_r{c}": ("sum", F.col(c)) for c in (*vals, *ones)}
+    d = running(events, keys, run, ts="_at", order=["_enters", *order], ties=ties, chunks=chunks).where("_enters = 1")
     outs = {}
-    for out, (kind, _) in measures.items():
-        v = F.col(f"_v_{out}")
-        strict = F.coalesce(F.sum(v).over(wr), F.lit(0))
-        tie = F.coalesce(F.sum(v).over(wt), F.lit(0)) if ties == "positional" else F.lit(0)
-        outs[out] = strict + tie
-    d = d.withColumns(outs).where(F.col("_native") == 1)
-    return d.drop("_t", "_c", "_native", *vcols.keys())
+    for i, (_, out, kind, _) in enumerate(measures):
+        total = F.coalesce(F.col(f"_r_w{i}"), F.lit(0))
+        outs[out] = total if kind == "count" else F.when(F.coalesce(F.col(f"_r_n{i}"), F.lit(0)) == 0, F.lit(0)).otherwise(total)
+    return d.withColumns(outs).drop("_at", "_enters", *vals, *ones, *run)
+
+
+def rolling(df: DataFrame, keys: list[str], window: str | int, measures: dict[str, tuple[str, Column | None]], **kw) -> DataFrame:
+    """``rolling_many`` of one window."""
+    return rolling_many(df, keys, {window: measures}, **kw)
 
 
 # ---------------------------------------------------------------------------
@@ -269,11 +219,13 @@ def unique_so_far(df: DataFrame, entity: str, value: str, out: str,
     sum of the flag — positional ROWS frame, or strict RANGE frame so a
     value first seen at a tie peer is not counted.
     """
-    d = running(df, [entity, value], {"_seen": ("count", None)}, ties="positional",
-                chunk_keys=[entity], **kw)
+    ours = "_c" not in df.columns
+    d = placed(df, [entity], kw.get("ts", "ts"), kw.get("chunks")) if ours else df
+    d = running(d, [entity, value], {"_seen": ("count", None)}, ties="positional", **kw)
     d = d.withColumn("_first", (F.col("_seen") == 0).cast("long"))
     d = running(d, [entity], {out: ("sum", F.col("_first"))}, ties=ties, **kw)
-    return d.withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("long")).drop("_seen", "_first")
+    d = d.withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("long")).drop("_seen", "_first")
+    return unplaced(d) if ours else d
 
 
 def expanding(df: DataFrame, entity: str, value: str, prefix: str,
@@ -340,12 +292,12 @@ def past_label_neighbors(df: DataFrame, entity: str, counterparty: str, out: str
     before this row."""
     d = running(df, [counterparty], {"_cp_pos": ("sum", F.col(label))}, ties="strict", **kw)
     d = d.withColumn("_cp_bad", flag(F.col("_cp_pos") > 0))
-    d = running(d, [entity, counterparty], {"_met": ("count", None)}, ties="positional",
-                chunk_keys=[entity], **kw)
+    d = placed(d, [entity], kw.get("ts", "ts"), kw.get("chunks"))
+    d = running(d, [entity, counterparty], {"_met": ("count", None)}, ties="positional", **kw)
     d = d.withColumn("_new_bad", ((F.col("_met") == 0) & (F.col("_cp_bad") == 1)).cast("long"))
     d = running(d, [entity], {out: ("sum", F.col("_new_bad"))}, ties="strict", **kw)
-    return (d.withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("long"))
-             .drop("_cp_pos", "_cp_bad", "_met", "_new_bad"))
+    return unplaced(d.withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("long"))
+                    .drop("_cp_pos", "_cp_bad", "_met", "_new_bad"))
 
 
 def target_encode(df: DataFrame, entity: str, window: str, out_prefix: str,

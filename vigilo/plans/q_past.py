@@ -168,9 +168,9 @@ def q_w_rolling(spark, sf):
     d = _ev(spark, sf, S, R, "device_hash", "ip_address", "amount")
     by_key = {}
     for e, w, k, o in ROLL:
-        by_key.setdefault((e, w), {})[o] = (k, F.col("amount") if k == "sum" else None)
-    for (e, w), m in by_key.items():
-        d = P.rolling(d, [e], w, m)
+        by_key.setdefault(e, {}).setdefault(w, {})[o] = (k, F.col("amount") if k == "sum" else None)
+    for e, windows in by_key.items():
+        d = P.rolling_many(d, [e], windows)
     return d.select("transaction_id", *[r6(o).alias(o) if k == "sum" else o for e, w, k, o in ROLL])
 
 
@@ -179,8 +179,7 @@ def q_w_rolling(spark, sf):
     [("24h", "count", "c24"), ("7d", "count", "c7d"), ("7d", "sum", "s7d")]) + " FROM txn_lineitem"))
 def q_w_rolling_ties(spark, sf):
     d = _li(spark, sf, S, "amount")
-    d = P.rolling(d, [S], "24h", {"c24": ("count", None)})
-    d = P.rolling(d, [S], "7d", {"c7d": ("count", None), "s7d": ("sum", F.col("amount"))})
+    d = P.rolling_many(d, [S], {"24h": {"c24": ("count", None)}, "7d": {"c7d": ("count", None), "s7d": ("sum", F.col("amount"))}})
     return d.select("transaction_id", "c24", "c7d", r6("s7d").alias("s7d"))
 
 

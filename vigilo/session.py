@@ -72,6 +72,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/vigilo-tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df, name: str):
+    """``df`` written once as Parquet below the shared folder and read back: the lineage ends here, and all
+    later branches see the same rows even if an executor is lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def env_cpus(default: int = 8) -> int:
     try:
         return int(os.environ.get("BENCH_CPUS", default))
