@@ -79,10 +79,9 @@ def feat_crosses(df: DataFrame, pairs=CROSSES, null_token: str = "None") -> Data
     return df.withColumns({f"{a}__{b}": F.concat_ws("_", s(a), s(b)) for a, b in pairs})
 
 
-def feat_high_amount(df: DataFrame, fit: DataFrame, col: str = "amount") -> DataFrame:
-    """≥ p95 / ≥ p99 flags with the percentiles fitted on ``fit`` (the train
-    prefix); the two cut points travel as one scalar subquery."""
-    cuts = fit.agg(F.percentile(col, F.array(F.lit(0.95), F.lit(0.99)))).scalar()
+def feat_high_amount(df: DataFrame, cuts: Column, col: str = "amount") -> DataFrame:
+    """≥ p95 / ≥ p99 flags; ``cuts`` holds the two percentiles (an array, fitted
+    on the train prefix)."""
     return df.withColumns({
         "is_high_amount_p95": flag(F.col(col) >= cuts[0]),
         "is_high_amount_p99": flag(F.col(col) >= cuts[1]),

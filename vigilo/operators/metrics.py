@@ -1,55 +1,39 @@
 """Rank metrics of scores without a single-partition sort.
 
 ``score_curve`` is the shared primitive: one row per (group, distinct score)
-with the cumulative true/false positives at threshold ``score >= s``.
-Rows are first grouped by score (a hot score value is one row), the distinct
-scores are cut into quantile buckets (cut points from ``percentile_approx``,
-a bounded list, applied by the JVM ``Bucketizer`` binary search), per-bucket
-totals get a prefix sum over at most ``buckets`` rows per group, and a window
-inside each bucket finishes the cumulative sums.  AP, ROC AUC, PR curve and
-best-F1 are aggregates over this curve; top-K uses the distributed global
-index over (score desc, id) so ties break deterministically by id.
+with the cumulative true/false positives at threshold ``score >= s``.  Rows are
+first grouped by score (a hot score value is one row) and distinct scores get
+their running sums from ``ranks.prefix``.  AP, ROC AUC, PR curve and best-F1 are
+aggregates over this curve; top-K takes its cut-off score from it and ranks
+only the rows tied at the cut-off, by id.
+
+Null and NaN scores rank below all others and count in every total; an empty
+table gives an empty curve.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import global_index
 from .profile import r6
+from .ranks import prefix, quantiles
 
 
-def _cuts(g: DataFrame, score: str, buckets: int) -> list[float]:
-    probs = [i / buckets for i in range(1, buckets)]
-    row = g.agg(F.percentile_approx(score, probs, 10000).alias("c")).first()
-    cuts = sorted(set(x for x in (row["c"] or []) if x is not None))
-    return [float("-inf"), *cuts, float("inf")]
+def ranked_score(score: str) -> Column:
+    """A score for ranking: null and NaN are lowest."""
+    c = F.col(score).cast("double")
+    return F.when(c.isNull() | F.isnan(c), F.lit(float("-inf"))).otherwise(c)
 
 
 def score_curve(df: DataFrame, score: str = "score", label: str = "is_fraud",
-                by: list[str] | None = None, buckets: int = 256) -> DataFrame:
+                by: list[str] | None = None) -> DataFrame:
     """Columns: by…, score, n, pos, cum_n, cum_pos, total_n, total_pos."""
     by = list(by or [])
-    g = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    splits = _cuts(g, score, buckets)
-    g = Bucketizer(splits=splits, inputCol=score, outputCol="_b").transform(
-        g.withColumn(score, F.col(score).cast("double")))
-    bt = g.groupBy(*by, "_b").agg(F.sum("n").alias("_bn"), F.sum("pos").alias("_bp"))
-    above = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    bt = bt.select(*by, "_b",
-                   F.coalesce(F.sum("_bn").over(above), F.lit(0)).alias("_na"),
-                   F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_pa"),
-                   F.sum("_bn").over(whole).alias("total_n"), F.sum("_bp").over(whole).alias("total_pos"))
-    j = g.join(F.broadcast(bt), [*by, "_b"])   # ≤ groups × buckets rows
-    w = Window.partitionBy(*by, "_b").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return j.select(*by, score, "n", "pos",
-                    (F.col("_na") + F.sum("n").over(w)).alias("cum_n"),
-                    (F.col("_pa") + F.sum("pos").over(w)).alias("cum_pos"),
-                    "total_n", "total_pos")
+    g = df.select(*by, ranked_score(score).alias(score), F.col(label).cast("long").alias("_y")).groupBy(*by, score).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("pos"))
+    c = prefix(g, by, [F.desc(score)], {"n": "n", "pos": "pos"})
+    return c.select(*by, score, "n", "pos", "cum_n", "cum_pos", "total_n", "total_pos")
 
 
 def ap_auc(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -118,32 +102,25 @@ def topk(df: DataFrame, pcts: list[float], score: str = "score", label: str = "i
     """Precision / recall / captured for the top ``max(1, int(n * pct))`` rows by
     score (desc), ties broken by id (asc); per ``by`` group if given."""
     keys = [by] if by else []
-    d = df.select(*keys, F.col(score).alias("_s"), F.col(label).alias("_y"), F.col(id_col).alias("_id"))
-    gi = global_index(d, [*keys, F.desc("_s"), "_id"], out="_i", total=None)
-    if by:
-        start = gi.groupBy(by).agg(F.min("_i").alias("_start"), F.count(F.lit(1)).alias("_gn"),
-                                   F.sum("_y").alias("_gp"))
-        gi = gi.join(F.broadcast(start), by).withColumn("_i", F.col("_i") - F.col("_start"))
-    else:
-        tot = gi.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("p"))).scalar()
-        gi = gi.withColumn("_gn", tot["n"]).withColumn("_gp", tot["p"])
-    rows = []
-    for p in pcts:
-        k = F.floor(F.col("_gn") * F.lit(p))
-        if min_one:
-            k = F.greatest(k, F.lit(1))
-        rows.append(F.struct(F.lit(float(p)).alias("pct"), k.cast("long").alias("k"),
-                             (F.col("_i") < k).cast("int").alias("_in")))
-    x = gi.select(*keys, "_y", "_s", "_gn", "_gp", F.inline(F.array(*rows)))
-    g = x.groupBy(*keys, "pct").agg(
-        F.first("k").alias("k"), F.sum(F.when(F.col("_in") == 1, F.col("_y"))).alias("captured"),
-        F.min(F.when(F.col("_in") == 1, F.col("_s"))).alias("min_score"),
-        F.first("_gp").alias("_gp"))
-    cap = F.coalesce(F.col("captured"), F.lit(0)).cast("long")
+    d = df.select(*keys, ranked_score(score).alias("_s"), F.col(label).alias("_y"), F.col(id_col).alias("_id"))
+    k = F.floor(F.col("total_n") * F.col("pct"))
+    k = (F.greatest(k, F.lit(1)) if min_one else k).cast("long")
+    c = score_curve(d, "_s", "_y", keys).withColumn("pct", F.explode(F.array(*[F.lit(float(p)) for p in pcts]))).withColumn("k", k)
+    above = F.col("cum_n") < F.col("k")
+    cut = c.groupBy(*keys, "pct").agg(
+        F.first("k").alias("k"), F.first("total_pos").alias("_gp"),
+        F.max(F.when(F.col("k") > 0, F.when(~above, F.col("_s")))).alias("_cut"),
+        F.coalesce(F.max(F.when(above, F.col("cum_n"))), F.lit(0)).alias("_n_above"),
+        F.coalesce(F.max(F.when(above, F.col("cum_pos"))), F.lit(0)).alias("_pos_above"))
+    tied = d.join(cut.select(*keys, "pct", F.col("_cut").alias("_s"), (F.col("k") - F.col("_n_above")).alias("_need")), [*keys, "_s"])
+    tied = prefix(tied, [*keys, "pct"], ["_id"], {"n": F.lit(1).cast("long")})
+    tied = tied.where(F.col("cum_n") <= F.col("_need")).groupBy(*keys, "pct").agg(F.sum("_y").alias("_pos_tied"))
+    g = cut.join(tied, [*keys, "pct"], "left")
+    cap = (F.when(F.col("k") > 0, F.col("_pos_above")).otherwise(0) + F.coalesce("_pos_tied", F.lit(0))).cast("long")
     return g.select(*keys, "pct", "k", cap.alias("captured"),
                     r6(F.when(F.col("k") > 0, cap / F.col("k")).otherwise(0.0)).alias("precision"),
                     r6(F.when(F.col("_gp") > 0, cap / F.col("_gp")).otherwise(0.0)).alias("recall"),
-                    "min_score")
+                    F.col("_cut").cast(df.schema[score].dataType).alias("min_score"))
 
 
 def confusion(df: DataFrame, pred: Column, label: str = "is_fraud") -> DataFrame:
@@ -169,10 +146,9 @@ def score_describe(df: DataFrame, score: str = "score", label: str = "is_fraud")
     """count / mean / std / min / 9 percentiles / max for all rows and each
     label, one pass (each row counted under 'all' and its label)."""
     x = df.select(F.explode(F.array(F.lit("all"), F.col(label).cast("string"))).alias("subset"), score)
-    arr = F.array(*[F.lit(p) for p in SCORE_PCTS])
     g = x.groupBy("subset").agg(F.count(score).alias("count"), r6(F.avg(score)).alias("mean"),
-                                r6(F.stddev_samp(score)).alias("std"), F.min(score).alias("min"),
-                                F.percentile(score, arr).alias("_p"), F.max(score).alias("max"))
+                                r6(F.stddev_samp(score)).alias("std"), F.min(score).alias("min"), F.max(score).alias("max"))
+    g = g.join(quantiles(x, [score], SCORE_PCTS, ["subset"]).withColumnRenamed("q", "_p"), "subset", "left")
     return g.select("subset", "count", "mean", "std", "min",
                     *[r6(F.col("_p")[i]).alias(f"p{int(round(p * 100))}") for i, p in enumerate(SCORE_PCTS)],
                     "max")
@@ -267,8 +243,10 @@ def feature_diagnostics(df: DataFrame, features: list[str], label: str = "is_fra
 def history_diagnostics(df: DataFrame, features: list[str], label: str = "is_fraud") -> DataFrame:
     u = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v"))
                                      for c in features])), label)
-    return u.groupBy("feature").agg(
+    g = u.groupBy("feature").agg(
         r6(F.avg((F.col("v") == 0).cast("double"))).alias("zero_rate"), r6(F.avg("v")).alias("mean"),
-        r6(F.median("v")).alias("median"), r6(F.percentile("v", 0.99)).alias("p99"),
         F.max("v").alias("max"), r6(F.avg(F.when(F.col("v") == 0, F.col(label)))).alias("rate_zero"),
         r6(F.avg(F.when(F.col("v") > 0, F.col(label)))).alias("rate_positive"))
+    q = quantiles(u, ["v"], [0.5, 0.99], ["feature"])
+    return g.join(q, "feature", "left").select("feature", "zero_rate", "mean", r6(F.col("q")[0]).alias("median"), r6(F.col("q")[1]).alias("p99"),
+                                               "max", "rate_zero", "rate_positive")

@@ -15,11 +15,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import quantile_list
+
 
 def impute_median(df: DataFrame, fit: DataFrame, cols: list[str]) -> DataFrame:
-    """Null → exact median fitted on ``fit`` (one scalar subquery)."""
-    med = fit.agg(F.struct(*[F.median(c).alias(c) for c in cols])).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), med[c]) for c in cols})
+    """Null → exact median fitted on ``fit``."""
+    return df.withColumns({c: F.coalesce(F.col(c), quantile_list(fit, c, [0.5])[0]) for c in cols})
 
 
 def impute_mode(df: DataFrame, fit: DataFrame, cols: list[str]) -> DataFrame:

@@ -86,14 +86,22 @@ def lehmer_hash(col: Column | str, seed: int = 42) -> Column:
     return ((F.pmod(c, m) * F.lit(48271) + F.lit(seed)) % m)
 
 
+SALTS = 64
+
+
 def sample_stratified(df: DataFrame, label: str, n_per_label: int, id_col: str,
                       seed: int = 42) -> DataFrame:
     """Exactly ``n_per_label`` rows per label value in seeded hash order.
-    The rank filter becomes a WindowGroupLimit below the shuffle (partial
-    top-n per task), so only n × tasks rows per label are exchanged."""
+
+    Rows are ranked in ``SALTS`` parts of a label first, so the part that ranks
+    the winners of a label gets at most n × SALTS rows, whatever the label's
+    share of the table."""
     h = lehmer_hash(id_col, seed)
+    part = Window.partitionBy(label, "_salt").orderBy(h, F.col(id_col))
     w = Window.partitionBy(label).orderBy(h, F.col(id_col))
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n_per_label).drop("_rn")
+    d = df.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
+    d = d.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= n_per_label)
+    return d.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n_per_label).drop("_rn", "_salt")
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:

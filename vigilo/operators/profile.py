@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import flag
+from .ranks import quantile_list, quantiles
 
 
 def r6(c) -> Column:
@@ -81,24 +82,18 @@ def summary(df: DataFrame, ts: str = "ts", label: str = "is_fraud") -> DataFrame
                   r6(pos / n * 100).alias("fraud_rate"))
 
 
-def schema_audit(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Per column: dtype, nulls, null %, distinct (nulls excluded), role —
-    all columns in ONE aggregation, then unpivoted.  ``exact=False`` swaps
-    in HyperLogLog++ for the distinct counts at scale."""
+def schema_audit(df: DataFrame) -> DataFrame:
+    """Per column: dtype, nulls, null %, distinct (nulls excluded), role.
+
+    Columns are unpivoted to (column, value), equal pairs are counted, and the
+    counts are summed by column, so no row is copied whole."""
     from ..functions.features import column_role_expr
-    cols = df.columns
-    dcount = F.count_distinct if exact else F.approx_count_distinct
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(cols):
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"_m{i}"))
-        aggs.append(dcount(F.col(c)).alias(f"_d{i}"))
-    wide = df.agg(*aggs)
     types = dict(df.dtypes)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"),
-                              F.col(f"_m{i}").cast("bigint").alias("missing"),
-                              F.col(f"_d{i}").cast("bigint").alias("unique_count"))
-                     for i, c in enumerate(cols)])
-    long = wide.select(F.col("_n"), F.inline(rows))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns])
+    seen = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    names = F.create_map(*[F.lit(x) for c in df.columns for x in (c, types[c])])
+    long = seen.groupBy("column").agg(F.sum("n").alias("_n"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+                                      F.count("value").alias("unique_count")).withColumn("dtype", names[F.col("column")])
     return long.select("column", "dtype", "missing",
                        r6(F.col("missing") / F.col("_n") * 100).alias("missing_pct"),
                        "unique_count",
@@ -122,37 +117,33 @@ DESCRIBE_PCTS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
 
 def describe_by(df: DataFrame, col: str, by: str = "is_fraud",
-                pcts: list[float] = DESCRIBE_PCTS, accuracy: int | None = None) -> DataFrame:
+                pcts: list[float] = DESCRIBE_PCTS) -> DataFrame:
     """pandas ``describe`` per group: count, mean, sample std, min, the given
-    percentiles (linear interpolation, exact) and max.  ``accuracy`` switches
-    to ``percentile_approx`` for very many distinct values."""
-    arr = F.array(*[F.lit(p) for p in pcts])
-    pc = (F.percentile(col, arr) if accuracy is None
-          else F.percentile_approx(col, arr, accuracy))
+    percentiles (linear interpolation, exact) and max."""
     g = df.groupBy(by).agg(F.count(col).alias("count"), r6(F.avg(col)).alias("mean"),
-                           r6(F.stddev_samp(col)).alias("std"), F.min(col).alias("min"),
-                           pc.alias("_p"), F.max(col).alias("max"))
+                           r6(F.stddev_samp(col)).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"))
+    g = g.join(quantiles(df, [col], pcts, [by]).withColumnRenamed("q", "_p"), by, "left")
     return g.select(by, "count", "mean", "std", "min",
                     *[r6(F.col("_p")[i]).alias(f"p{int(round(p * 100))}") for i, p in enumerate(pcts)],
                     "max")
 
 
 def median_by(df: DataFrame, cols: list[str], by: str = "is_fraud") -> DataFrame:
-    return df.groupBy(by).agg(*[r6(F.median(c)).alias(f"median_{c}") for c in cols])
+    q = quantiles(df, cols, [0.5], [by])
+    return q.groupBy(by).agg(*[r6(F.max(F.when(F.col("column") == c, F.col("q")[0]))).alias(f"median_{c}") for c in cols])
 
 
 def sign_audit(df: DataFrame, col: str, label: str = "is_fraud") -> DataFrame:
     """Null / negative / zero / positive counts, range, mean, median, seven
     percentiles, and the negative share per label (nulls in the denominator)."""
     c = F.col(col)
-    arr = F.array(*[F.lit(p) for p in DESCRIBE_PCTS])
     neg_rate = lambda v: r6(F.count_if((c < 0) & (F.col(label) == v)) /
                             F.count_if(F.col(label) == v) * 100)
     g = df.agg(F.count_if(c.isNull()).alias("null_count"), F.count_if(c < 0).alias("negative_count"),
                F.count_if(c == 0).alias("zero_count"), F.count_if(c > 0).alias("positive_count"),
                F.min(c).alias("min"), F.max(c).alias("max"), r6(F.avg(c)).alias("mean"),
-               r6(F.median(c)).alias("median"), F.percentile(c, arr).alias("_p"),
                neg_rate(1).alias("neg_rate_fraud"), neg_rate(0).alias("neg_rate_legit"))
+    g = g.withColumn("_p", quantile_list(df, col, DESCRIBE_PCTS)).withColumn("median", r6(F.col("_p")[DESCRIBE_PCTS.index(0.5)]))
     return g.select(*[F.col(x).cast("bigint").alias(x) for x in
                       ("null_count", "negative_count", "zero_count", "positive_count")],
                     "min", "max", "mean", "median",
@@ -163,8 +154,9 @@ def sign_audit(df: DataFrame, col: str, label: str = "is_fraud") -> DataFrame:
 def lift_by_flag(df: DataFrame, flag_col: str, amount: str = "amount",
                  label: str = "is_fraud") -> DataFrame:
     g = df.groupBy(flag_col).agg(F.count(F.lit(1)).alias("tx_count"),
-                                 F.sum(label).cast("bigint").alias("fraud_count"),
-                                 r6(F.median(amount)).alias("median_amount"))
+                                 F.sum(label).cast("bigint").alias("fraud_count"))
+    med = quantiles(df, [amount], [0.5], [flag_col])
+    g = g.join(med.select(flag_col, r6(F.col("q")[0]).alias("median_amount")), flag_col, "left")
     w = Window.partitionBy()  # over the ≤ 3 grouped rows only
     glob = F.sum("fraud_count").over(w) / F.sum("tx_count").over(w)
     rate = F.col("fraud_count") / F.col("tx_count")
@@ -172,13 +164,11 @@ def lift_by_flag(df: DataFrame, flag_col: str, amount: str = "amount",
                     r6(rate * 100).alias("fraud_rate"), r6(F.try_divide(rate, glob)).alias("lift"))
 
 
-def quantile_edges(df: DataFrame, col: str, q: int, accuracy: int | None = None) -> Column:
+def quantile_edges(df: DataFrame, col: str, q: int) -> Column:
     """Scalar subquery with the distinct quantile edges of ``col`` (pandas
     ``qcut(q, duplicates='drop')`` edges: linear interpolation).  Evaluated
     once and shipped to the tasks as a constant — no join."""
-    probs = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    pc = F.percentile(col, probs) if accuracy is None else F.percentile_approx(col, probs, accuracy)
-    return df.agg(F.array_sort(F.array_distinct(pc))).scalar()
+    return quantiles(df, [col], [i / q for i in range(q + 1)]).agg(F.array_sort(F.array_distinct(F.first("q")))).scalar()
 
 
 def bucket_index(x: Column, edges: Column, q: int) -> Column:
@@ -259,17 +249,14 @@ def consistency(df: DataFrame, type_col: str = "fraud_type", label: str = "is_fr
         F.count(F.lit(1)).alias("value_count"),
         F.count_if((F.col(label) == 1) & F.col(type_col).isNull()).alias("_a"),
         F.count_if((F.col(label) == 0) & F.col(type_col).isNotNull()).alias("_b"))
-    w = Window.partitionBy()  # over the few distinct values
-    return g.select("value", "value_count",
-                    F.sum("_a").over(w).cast("bigint").alias("missing_in_positive"),
-                    F.sum("_b").over(w).cast("bigint").alias("present_in_negative"))
+    whole = g.agg(F.struct(F.sum("_a").cast("bigint").alias("a"), F.sum("_b").cast("bigint").alias("b"))).scalar()
+    return g.select("value", "value_count", whole["a"].alias("missing_in_positive"), whole["b"].alias("present_in_negative"))
 
 
 def value_counts(df: DataFrame, col: str, normalize: bool = False) -> DataFrame:
     g = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("value_count"))
     if normalize:
-        w = Window.partitionBy()
-        g = g.withColumn("share", r6(F.col("value_count") / F.sum("value_count").over(w)))
+        g = g.withColumn("share", r6(F.col("value_count") / g.agg(F.sum("value_count")).scalar()))
     return g
 
 
@@ -278,19 +265,18 @@ def graph_stats(df: DataFrame, src: str = "sender_account", dst: str = "receiver
     """Edge / node counts, sender out-degree distribution, device sharing and
     pair repetition — nested aggregates combined as scalar subqueries."""
     deg = df.groupBy(src).agg(F.count(F.lit(1)).alias("deg"))
-    dstats = deg.agg(F.struct(r6(F.avg("deg")).alias("degree_avg"),
-                              r6(F.median("deg")).alias("degree_p50"),
-                              r6(F.percentile("deg", 0.99)).alias("degree_p99"),
-                              F.max("deg").cast("bigint").alias("degree_max"))).scalar()
+    q = quantile_list(deg, "deg", [0.5, 0.99])
+    dstats = deg.agg(F.struct(r6(F.avg("deg")).alias("degree_avg"), F.max("deg").cast("bigint").alias("degree_max"))).scalar()
     dev = df.groupBy(device).agg(F.count_distinct(src).alias("ns"))
     dshare = dev.agg(r6(F.avg((F.col("ns") > 1).cast("double")) * 100)).scalar()
     pairs = df.groupBy(src, dst).agg(F.count(F.lit(1)).alias("c"))
     prep = pairs.agg(r6(F.avg((F.col("c") > 1).cast("double")) * 100)).scalar()
     base = df.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct(src).alias("senders"),
                   F.count_distinct(dst).alias("receivers"), F.count_distinct(device).alias("devices"))
-    out = base.select("*", dstats.alias("_d"), dshare.alias("pct_devices_shared"),
+    out = base.select("*", dstats.alias("_d"), q.alias("_q"), dshare.alias("pct_devices_shared"),
                       prep.alias("pct_pairs_repeated")).select(
-        "edges", "senders", "receivers", "devices", "_d.*", "pct_devices_shared",
+        "edges", "senders", "receivers", "devices", "_d.degree_avg", r6(F.col("_q")[0]).alias("degree_p50"),
+        r6(F.col("_q")[1]).alias("degree_p99"), "_d.degree_max", "pct_devices_shared",
         "pct_pairs_repeated")
     return out.withColumn(
         "density", F.when((F.col("pct_devices_shared") < 5) & (F.col("pct_pairs_repeated") < 5),

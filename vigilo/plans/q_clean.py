@@ -8,6 +8,7 @@ from ..functions import clean as C
 from ..functions import features as FT
 from ..operators.order import global_index, split_flag, trailing
 from ..operators.profile import r6
+from ..operators.ranks import quantile_list
 from ..sources.adapters import txn_events
 from .registry import ev_sql, register
 
@@ -138,7 +139,7 @@ def q_feat_high_amount(spark, sf):
     df = txn_events(spark, sf)
     gi = global_index(df.select("ts", "transaction_id", "amount"), ["ts", "transaction_id"])
     fit = gi.where(split_flag(F.col("global_index"), F.col("_total")) == 1)
-    return FT.feat_high_amount(df, fit).select("transaction_id", "is_high_amount_p95",
+    return FT.feat_high_amount(df, quantile_list(fit, "amount", [0.95, 0.99])).select("transaction_id", "is_high_amount_p95",
                                                "is_high_amount_p99")
 
 

@@ -15,6 +15,7 @@ from ..operators import profile as PR
 from ..operators import queue as QU
 from ..operators.order import global_index, sample_stratified, split_flag
 from ..operators.profile import r6
+from ..operators.ranks import quantile_list
 from ..sources.adapters import txn_events
 from ..sources.tables import read_table
 from .q_metrics import SCORED_SQL, scored
@@ -476,7 +477,7 @@ SELECT band, COUNT(*) AS n FROM (SELECT CASE WHEN score_fine >= p999 THEN 'High'
                        quantile_cont(score_fine, 0.95) AS p95 FROM scored)) GROUP BY band""", SCORED_SQL))
 def q_band_percentile(spark, sf):
     d = scored(spark, sf)
-    p = d.agg(F.percentile("score_fine", F.array(F.lit(0.999), F.lit(0.99), F.lit(0.95)))).scalar()
+    p = quantile_list(d, "score_fine", [0.999, 0.99, 0.95])
     b = BD.band_percentile(F.col("score_fine"), p[0], p[1], p[2])
     return d.groupBy(b.alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -490,7 +491,7 @@ SELECT band, transaction_id FROM (
                          quantile_cont(score_fine, 0.95) AS p95 FROM scored))) WHERE rn <= 2""", SCORED_SQL))
 def q_filter_band(spark, sf):
     d = scored(spark, sf)
-    p = d.agg(F.percentile("score_fine", F.array(F.lit(0.999), F.lit(0.99), F.lit(0.95)))).scalar()
+    p = quantile_list(d, "score_fine", [0.999, 0.99, 0.95])
     d = d.withColumn("band", BD.band_percentile(F.col("score_fine"), p[0], p[1], p[2]))
     w = Window.partitionBy("band").orderBy("transaction_id")
     return d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 2).select("band", "transaction_id")
@@ -518,7 +519,7 @@ SELECT transaction_id, round(CASE WHEN score >= p80 THEN score_fine ELSE score -
 FROM scored, (SELECT quantile_cont(score, 0.8) AS p80 FROM scored)""", SCORED_SQL))
 def q_cascade_d(spark, sf):
     d = scored(spark, sf)
-    p80 = d.agg(F.percentile("score", 0.8)).scalar()
+    p80 = quantile_list(d, "score", [0.8])[0]
     return d.select("transaction_id", r6(BD.cascade_d(F.col("score"), F.col("score_fine"), p80)).alias("cascade_score"))
 
 
