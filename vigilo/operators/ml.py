@@ -151,3 +151,30 @@ def feature_importance(model, df: DataFrame, top: int = 20) -> DataFrame:
     rows = sorted(((names.get(i, f"f{i}"), float(v)) for i, v in enumerate(imp)), key=lambda x: -x[1])[:top]
     out = df.sparkSession.createDataFrame(rows, "feature string, importance double")  # ≤ top rows
     return out.withColumn("family", feature_family_expr(F.col("feature")))
+
+
+def stream_model(spark, sf: str):
+    """A logistic regression with balanced weights on the stream's features, fitted on their batch twins,
+    saved to the shared folder and loaded from there."""
+    from pyspark.ml import PipelineModel
+
+    from ..functions.features import feat_time_ext
+    from ..plans.q_metrics import scored
+    from ..session import scratch_path
+    from ..streaming.job import MODEL_COLUMNS, VALUES
+    from . import past as P
+    d = scored(spark, sf)
+    for v in VALUES:
+        d = P.novelty(d, "sender_account", v, f"is_new_{v}_for_sender", ties="positional")
+    d = P.running(d, ["sender_account"], {"_last": ("max", F.col("ts"))})
+    gap = (F.unix_micros("ts") - F.unix_micros("_last")) / 1e6
+    d = d.withColumn("t", F.when(F.col("_last").isNull(), F.col("time_since_last_transaction")).otherwise(gap))
+    d = feat_time_ext(d, "ts").withColumns({"log_amount": F.log1p("amount"), "tslt_abs": F.coalesce(F.abs("t"), F.lit(0.0)), "tslt_is_negative": F.coalesce(F.col("t") < 0, F.lit(False)).cast("int")})
+    d = d.fillna(0.0, MODEL_COLUMNS)
+    rate = d.agg(F.avg("is_fraud")).first()[0] or 0.5
+    d = d.withColumn("w", F.when(F.col("is_fraud") == 1, F.lit(0.5 / max(rate, 1e-9))).otherwise(F.lit(0.5 / max(1 - rate, 1e-9))))
+    fit = Pipeline(stages=[VectorAssembler(inputCols=MODEL_COLUMNS, outputCol="features"),
+                           LogisticRegression(labelCol="is_fraud", weightCol="w", maxIter=100)]).fit(d.select(*MODEL_COLUMNS, "is_fraud", "w"))
+    path = scratch_path(spark, "stream-model")
+    fit.write().save(path)
+    return PipelineModel.load(path)

@@ -17,8 +17,8 @@ FINE = "((transaction_id * 7919) % 10007) / 10007.0"
 SCORED_SQL = f"""scored AS (SELECT *, {SCORE} AS score, {FINE} AS score_fine FROM txn_events)"""
 
 
-def scored(spark, sf):
-    d = txn_events(spark, sf)
+def scored(spark, sf, events=None):
+    d = txn_events(spark, sf, events)
     return d.withColumns({"score": (F.col("k") * 37 % 101) / F.lit(101.0),
                           "score_fine": (F.col("transaction_id") * 7919 % 10007) / F.lit(10007.0)})
 

@@ -1,95 +1,140 @@
-"""Registered queries: streaming operators (§2.12), rows-only checks, plus
-their SQL-checkable batch twins."""
+"""Registered queries: streaming operators (§2.12), with their batch twins as SQL
+where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ml as ML
 from ..streaming import job as SJ
-from .q_metrics import scored
-from .registry import register
+from .q_metrics import SCORED_SQL, scored
+from .registry import ev_sql, register
 
-COLS = ["transaction_id", "ts", "sender_account", "amount", "time_since_last_transaction",
-        "location", "payment_channel", "device_used", "transaction_type", "is_fraud", "score"]
+S = "sender_account"
+PAST = f"OVER (PARTITION BY {S} ORDER BY ts, transaction_id)"
 
 
-def _run(spark, sf):
-    ev = scored(spark, sf).select(*COLS)
-    return SJ.stream_scoring(spark, ev, "score")
+def _stream(spark, sf):
+    return scored(spark, sf, SJ.event_stream(spark, sf))
 
 
-@register("stream_features")
+def _features(spark, sf, history=None, since_us=None, *cols):
+    src = _stream(spark, sf)
+    if since_us is not None:
+        src = src.where(F.unix_micros("ts") >= since_us)
+    tables, _ = SJ.run_to_end(SJ.stateful_features(src, history), "features", {"features": lambda b: b})
+    return tables["features"].drop("epoch")
+
+
+@register("src_stream", ev_sql("""
+SELECT transaction_id, sender_account, epoch_us(ts) AS ts_us, amount, is_fraud FROM txn_events"""))
+def q_src_stream(spark, sf):
+    cols = ["transaction_id", S, F.unix_micros("ts").alias("ts_us"), "amount", "is_fraud"]
+    tables, _ = SJ.run_to_end(_stream(spark, sf).select(*cols), "source", {"rows": lambda b: b})
+    return tables["rows"].drop("epoch")
+
+
+TSLT_SQL = f"""CASE WHEN row_number() {PAST} = 1 THEN time_since_last_transaction
+            ELSE (epoch_us(ts) - lag(epoch_us(ts)) {PAST}) / 1e6 END"""
+NEW_SQL = ", ".join(f"CAST(row_number() OVER (PARTITION BY {S}, {v} ORDER BY ts, transaction_id) = 1 AS INTEGER) AS is_new_{v}_for_sender" for v in SJ.VALUES)
+
+
+@register("stream_features", ev_sql(f"""
+SELECT transaction_id, round(t, 6) AS stream_tslt, CAST(coalesce(t < 0, false) AS INTEGER) AS tslt_is_negative, history_len,
+       hour(ts) AS hour, (dayofweek(ts) + 6) % 7 AS day_of_week, month(ts) AS month, {", ".join(f"is_new_{v}_for_sender" for v in SJ.VALUES)}
+FROM (SELECT *, {TSLT_SQL} AS t, CAST(least(row_number() {PAST} - 1, 50) AS INTEGER) AS history_len, {NEW_SQL} FROM txn_events)"""))
 def q_stream_features(spark, sf):
-    return spark.read.parquet(_run(spark, sf)["features"])
+    f = _features(spark, sf)
+    return f.select("transaction_id", F.round("stream_tslt", 6).alias("stream_tslt"), "tslt_is_negative", "history_len", "hour",
+                    F.col("day_of_week").cast("long").alias("day_of_week"), "month", *[f"is_new_{v}_for_sender" for v in SJ.VALUES])
 
 
-@register("stream_tslt")
+@register("stream_tslt", ev_sql(f"""
+SELECT transaction_id, round(t, 6) AS stream_tslt, CAST(coalesce(t < 0, false) AS INTEGER) AS tslt_is_negative
+FROM (SELECT *, {TSLT_SQL} AS t FROM txn_events)"""))
 def q_stream_tslt(spark, sf):
-    return spark.read.parquet(_run(spark, sf)["features"]).select(
-        "transaction_id", "stream_tslt", "tslt_is_negative")
+    return _features(spark, sf).select("transaction_id", F.round("stream_tslt", 6).alias("stream_tslt"), "tslt_is_negative")
 
 
-@register("stream_history")
+@register("stream_history", ev_sql(f"""
+SELECT transaction_id, CAST(least(row_number() {PAST} - 1, 50) AS INTEGER) AS history_len FROM txn_events"""))
 def q_stream_history(spark, sf):
-    return spark.read.parquet(_run(spark, sf)["features"]).select("transaction_id", "history_len")
+    return _features(spark, sf).select("transaction_id", "history_len")
 
 
-@register("stream_novelty")
+# the stream starts after two thirds of the time; the rows before are its history
+CUT_SQL = "cut AS (SELECT min(epoch_us(ts)) + (max(epoch_us(ts)) - min(epoch_us(ts))) // 3 * 2 AS c FROM txn_events)"
+
+
+@register("stream_novelty", ev_sql(f"""
+SELECT transaction_id, {", ".join(f"is_new_{v}_for_sender" for v in SJ.VALUES)}
+FROM (SELECT *, {NEW_SQL} FROM txn_events), cut WHERE epoch_us(ts) >= c""", CUT_SQL))
 def q_stream_novelty(spark, sf):
-    f = spark.read.parquet(_run(spark, sf)["features"])
-    return f.select("transaction_id", *[c for c in f.columns if c.startswith("is_new_")])
+    events = scored(spark, sf)
+    r = events.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+    cut = None if r.a is None else r.a + (r.b - r.a) // 3 * 2
+    f = _features(spark, sf, events.where(F.unix_micros("ts") < F.lit(cut)), cut)
+    return f.select("transaction_id", *[f"is_new_{v}_for_sender" for v in SJ.VALUES])
+
+
+ROUTE_SQL = """CASE WHEN score >= 0.80 THEN 'AUTO_BLOCKED' WHEN score >= 0.02 THEN 'REVIEW_QUEUED' ELSE 'PASSED' END"""
 
 
-@register("stream_route")
+@register("stream_route", ev_sql(f"SELECT transaction_id, {ROUTE_SQL} AS route FROM scored", SCORED_SQL))
 def q_stream_route(spark, sf):
-    return spark.read.parquet(_run(spark, sf)["decisions"]).select("transaction_id", "route")
+    tables, _ = SJ.decisions(_stream(spark, sf), "score")
+    return tables["decisions"].select("transaction_id", "route")
 
 
 @register("stream_score")
 def q_stream_score(spark, sf):
-    return spark.read.parquet(_run(spark, sf)["decisions"]).select("transaction_id", "score")
+    """A pipeline fitted on the batch features is saved, loaded and applied inside the stream."""
+    model = ML.stream_model(spark, sf)
+    tables, _ = SJ.decisions(SJ.model_score(SJ.stateful_features(_stream(spark, sf)), model))
+    return tables["decisions"].select("transaction_id", "risk_score", "risk_band", "route")
 
 
-@register("agg_route_stats")
+@register("agg_route_stats", ev_sql(f"SELECT {ROUTE_SQL} AS route, COUNT(*) AS n FROM scored GROUP BY 1", SCORED_SQL))
 def q_agg_route_stats(spark, sf):
-    d = spark.read.parquet(_run(spark, sf)["decisions"])
-    return d.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+    tables, _ = SJ.decisions(_stream(spark, sf), "score")
+    return tables["decisions"].groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("stream_metrics")
 def q_stream_metrics(spark, sf):
-    p = _run(spark, sf)
-    d = spark.read.parquet(p["decisions"])
-    return d.groupBy("epoch").agg(F.count(F.lit(1)).alias("processed"),
-                                  F.count_if(F.col("route") == "AUTO_BLOCKED").alias("blocked"),
-                                  F.count_if(F.col("route") == "REVIEW_QUEUED").alias("queued"),
-                                  F.count_if(F.col("route") == "PASSED").alias("passed"))
-
-
-@register("src_stream")
-def q_src_stream(spark, sf):
-    return spark.read.parquet(_run(spark, sf)["queue"])
+    tables, progress = SJ.decisions(_stream(spark, sf), "score")
+    return SJ.batch_metrics(tables["decisions"], progress)
 
 
-@register("stream_window_tumbling")
+@register("stream_window_tumbling", ev_sql("""
+SELECT epoch_us(ts) // 3600000000 * 3600000000 AS start_us, COUNT(*) AS n, CAST(SUM(is_fraud) AS BIGINT) AS frauds
+FROM txn_events GROUP BY 1"""))
 def q_stream_window_tumbling(spark, sf):
-    w = SJ.stream_windows(spark, scored(spark, sf).select(*COLS), "tumbling")
+    w = SJ.stream_windows(_stream(spark, sf), "tumbling")
     return w.select(F.unix_micros("window.start").alias("start_us"), "n", "frauds")
 
 
-@register("stream_window_sliding")
+@register("stream_window_sliding", ev_sql("""
+SELECT sender_account, (epoch_us(ts) // 3600000000 - i) * 3600000000 AS start_us, COUNT(*) AS n, round(SUM(amount), 6) AS amount_sum
+FROM txn_events, range(24) r(i) GROUP BY 1, 2"""))
 def q_stream_window_sliding(spark, sf):
-    w = SJ.stream_windows(spark, scored(spark, sf).select(*COLS), "sliding")
-    return w.select("sender_account", F.unix_micros("window.start").alias("start_us"), "n", "amount_sum")
+    w = SJ.stream_windows(_stream(spark, sf), "sliding")
+    return w.select(S, F.unix_micros("window.start").alias("start_us"), "n", F.round("amount_sum", 6).alias("amount_sum"))
 
 
-@register("stream_session")
+@register("stream_session", ev_sql(f"""
+SELECT sender_account, min(t) AS start_us, COUNT(*) AS n
+FROM (SELECT *, SUM(new) OVER (PARTITION BY {S} ORDER BY t ROWS UNBOUNDED PRECEDING) AS session
+      FROM (SELECT {S}, epoch_us(ts) AS t,
+                   CAST(coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY {S} ORDER BY ts) > 1800000000, true) AS INTEGER) AS new
+            FROM txn_events))
+GROUP BY sender_account, session"""))
 def q_stream_session(spark, sf):
-    w = SJ.stream_windows(spark, scored(spark, sf).select(*COLS), "session")
-    return w.select("sender_account", F.unix_micros("session_window.start").alias("start_us"), "n")
+    w = SJ.stream_windows(_stream(spark, sf), "session")
+    return w.select(S, F.unix_micros("session_window.start").alias("start_us"), "n")
 
 
-@register("stream_dedup")
+@register("stream_dedup", ev_sql("SELECT DISTINCT transaction_id FROM txn_events"))
 def q_stream_dedup(spark, sf):
-    ev = scored(spark, sf).select(*COLS)
-    return SJ.stream_windows(spark, ev.unionByName(ev), "dedup").select("transaction_id")
+    twice = _stream(spark, sf).unionByName(_stream(spark, sf))
+    return SJ.stream_windows(twice, "dedup").select("transaction_id")

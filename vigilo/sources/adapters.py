@@ -30,9 +30,10 @@ def _pick(values: list[str], idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), idx + F.lit(1))
 
 
-def txn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` re-read as a transactions table (one row per event)."""
-    ev = read_table(spark, sf_dir, "events")
+def txn_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """``events`` re-read as a transactions table (one row per event); ``events`` may
+    be a stream of the table."""
+    ev = read_table(spark, sf_dir, "events") if events is None else events
     k = F.get_json_object("props", "$.k").cast("int")
     eid, uid = F.col("event_id"), F.col("user_id")
     is_fraud = (F.col("event_type") == "error").cast("int")

@@ -1,3 +1 @@
-from .job import replay_source, stream_scoring, stream_windows
-
-__all__ = ["replay_source", "stream_scoring", "stream_windows"]
+"""Structured Streaming jobs."""

@@ -1,31 +1,51 @@
 """Structured Streaming: per-sender stateful features, scoring, routing.
 
-The stream is keyed by sender (``groupBy(sender)`` = one shuffle); each
-sender's state keeps its last arrival time, its last 50 (ts, amount) and the
-values it has used for location / channel / device / type.  The state
-function sorts each key's micro-batch by (ts, id), so results do not depend
-on arrival order inside a batch; the batch twins are the positional window
-features (lag for time-since-last, pair count = 0 for novelty).
-Routing and the review-queue log are written by ``foreachBatch`` into
-append-only parquet tables; the query checkpoints into the session's shared
-checkpoint folder, so a restarted job resumes with its state.
+The given events table is read as a file stream.  The stream is keyed by sender (one
+shuffle); each sender's state keeps its last arrival time, its last 50 (ts, amount)
+and the values it has used for location / channel / device / type, and is dropped
+after a time without events.  Values seen before the stream started come from a
+history table by a stream-static join.  The state function sorts each key's
+micro-batch by (ts, id); the batch twins are the positional window features.
+
+Every sink writes a folder per epoch and overwrites it, so a batch that is run again
+after a failure leaves its rows once.  The query checkpoints into the session's
+shared checkpoint folder, so a restarted job resumes with its state.
+
+Event-time windows are written in append mode when the watermark passes them.  A
+finite replay ends with one closing event far behind the watermark, so the
+last windows are written too; a running stream needs none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import bands as BD
+from ..functions.features import feat_time_ext
 from ..session import scratch_path
+from ..sources.tables import read_table
 
 HISTORY = 50
+LATEST = "30 days"  # how far an event may lag behind the newest
+IDLE_MS = 90 * 86_400_000  # a sender's state goes after so long without events
 VALUES = ["location", "payment_channel", "device_used", "transaction_type"]
+BASE = ["merchant_category", "spending_deviation_score", "velocity_score", "geo_anomaly_score", "is_fraud", "score"]
+#: Numeric inputs of the stream's model, in order.
+MODEL_COLUMNS = ["amount", "log_amount", "spending_deviation_score", "velocity_score", "geo_anomaly_score", "hour", "day_of_week", "month", "is_weekend",
+                 "is_night", "tslt_abs", "tslt_is_negative", *[f"is_new_{v}_for_sender" for v in VALUES]]
+MISSING_TSLT_SCORE = 1e-6
 
 OUT_SCHEMA = ("transaction_id long, sender_account long, ts timestamp, amount double, "
+              + ", ".join(f"{v} string" for v in VALUES)
+              + ", merchant_category string, spending_deviation_score double, velocity_score double, geo_anomaly_score double, is_fraud int, score double, "
               "stream_tslt double, tslt_is_negative int, history_len int, "
               + ", ".join(f"is_new_{v}_for_sender int" for v in VALUES))
 STATE_SCHEMA = ("last_ts long, hist_ts array<long>, hist_amt array<double>, "
@@ -33,6 +53,9 @@ STATE_SCHEMA = ("last_ts long, hist_ts array<long>, hist_amt array<double>, "
 
 
 def _update(key, pdfs, state):
+    if state.hasTimedOut:
+        state.remove()
+        return
     pdf = pd.concat(list(pdfs), ignore_index=True)
     pdf["_t"] = pdf["ts"].astype("datetime64[us]").astype("int64")
     pdf = pdf.sort_values(["_t", "transaction_id"], kind="stable").reset_index(drop=True)
@@ -42,103 +65,136 @@ def _update(key, pdfs, state):
         seen = {v: set(st[3 + i]) for i, v in enumerate(VALUES)}
     else:
         last_ts, hist_ts, hist_amt = None, [], []
-        seen = {v: set() for v in VALUES}
+        before = pdf.iloc[0]
+        seen = {v: set(before[f"seen_{v}"]) if before[f"seen_{v}"] is not None else set() for v in VALUES}
     t = pdf["_t"].to_numpy(np.int64)
     prev = np.concatenate([[last_ts if last_ts is not None else -1], t[:-1]])
     tslt = (t - prev) / 1e6
-    first_payload = pdf["time_since_last_transaction"].to_numpy(dtype=float)
     if last_ts is None:   # first event ever: fall back to the payload's own value
-        tslt[0] = first_payload[0]
-    out = pd.DataFrame({"transaction_id": pdf["transaction_id"], "sender_account": pdf["sender_account"],
-                        "ts": pdf["ts"], "amount": pdf["amount"], "stream_tslt": tslt})
+        tslt[0] = pdf["time_since_last_transaction"].to_numpy(dtype=float)[0]
+    out = pdf[["transaction_id", "sender_account", "ts", "amount", *VALUES, *BASE]].copy()
+    out["stream_tslt"] = pd.Series([None if np.isnan(x) else x for x in tslt], dtype=object)
     out["tslt_is_negative"] = (np.nan_to_num(tslt, nan=0.0) < 0).astype("int32")
-    n_before = len(hist_ts)
-    out["history_len"] = np.minimum(n_before + np.arange(len(pdf)), HISTORY).astype("int32")
+    out["history_len"] = np.minimum(len(hist_ts) + np.arange(len(pdf)), HISTORY).astype("int32")
     for v in VALUES:
         col = pdf[v].astype(str)
-        new = (~col.isin(seen[v]) & ~col.duplicated()).astype("int32")
-        out[f"is_new_{v}_for_sender"] = new.to_numpy()
+        out[f"is_new_{v}_for_sender"] = (~col.isin(seen[v]) & ~col.duplicated()).astype("int32").to_numpy()
         seen[v].update(col.unique().tolist())
     hist_ts = (hist_ts + t.tolist())[-HISTORY:]
     hist_amt = (hist_amt + pdf["amount"].astype(float).tolist())[-HISTORY:]
     state.update((int(t[-1]), hist_ts, hist_amt, *[sorted(seen[v]) for v in VALUES]))
+    state.setTimeoutTimestamp(int(t[-1]) // 1000 + IDLE_MS)
     yield out
 
 
-def replay_source(spark: SparkSession, events: DataFrame, files: int = 8) -> tuple[str, DataFrame]:
-    """Write ``events`` as ``files`` time-ordered parquet files (one per
-    trigger) and open them as a file stream — the replay feed."""
-    from ..operators.order import global_index, time_blocks
-    path = scratch_path(spark, "stream-src")
-    n = max(1, files)
-    # the file source orders files by modification time, so the time blocks
-    # are appended one after another (block i strictly before block i+1)
-    g = global_index(events, ["ts", "transaction_id"], out="_i")
-    g = g.withColumn("_blk", time_blocks(F.col("_i"), F.col("_total"), n)).drop("_i", "_total")
-    for i in range(n):
-        (g.where(F.col("_blk") == i).drop("_blk").coalesce(1)
-          .sortWithinPartitions("ts", "transaction_id").write.mode("append").parquet(path))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return path, stream
-
-
-def stream_scoring(spark: SparkSession, events: DataFrame, score_col: str = "score",
-                   files: int = 8) -> dict[str, str]:
-    """Run the stateful scoring stream to completion over a replay of
-    ``events``; returns the paths of the features, decisions and queue tables."""
-    _, src = replay_source(spark, events, files)
-    feats = (src.groupBy("sender_account")
-                .applyInPandasWithState(_update, OUT_SCHEMA, STATE_SCHEMA, "append",
-                                        GroupStateTimeout.NoTimeout))
-    scores = src.select("transaction_id", score_col)
-    out_feat = scratch_path(spark, "stream-features")
-    out_dec = scratch_path(spark, "stream-decisions")
-    out_q = scratch_path(spark, "stream-queue")
-    ck = scratch_path(spark, "stream-ckpt")
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").parquet(out_feat)
-
-    q1 = (feats.writeStream.foreachBatch(sink).option("checkpointLocation", ck + "/feat")
-          .trigger(availableNow=True).start())
-    q1.awaitTermination()
-
-    def route(batch: DataFrame, epoch: int) -> None:
-        d = batch.withColumn("route", BD.band(F.col(score_col), BD.ROUTES)).withColumn("epoch", F.lit(epoch))
-        d.write.mode("append").parquet(out_dec)
-        (d.where(F.col("route") == "REVIEW_QUEUED")
-          .select("transaction_id", F.col(score_col).alias("risk_score"),
-                  BD.band(F.col(score_col), BD.BANDS_STREAM).alias("risk_band"), "epoch")
-          .write.mode("append").parquet(out_q))
-
-    q2 = (scores.writeStream.foreachBatch(route).option("checkpointLocation", ck + "/route")
-          .trigger(availableNow=True).start())
-    q2.awaitTermination()
-    return {"features": out_feat, "decisions": out_dec, "queue": out_q}
-
-
-def stream_windows(spark: SparkSession, events: DataFrame, kind: str, files: int = 8) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The events table as a stream of its files."""
+    schema = read_table(spark, sf_dir, "events").schema
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    # a pattern, since the file source takes a plain path for a folder and the table may be a file
+    return reader.parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
+
+
+def seen_values(history: DataFrame) -> DataFrame:
+    """A row per sender with the distinct values it has used: the state to start from."""
+    return history.groupBy("sender_account").agg(*[F.collect_set(v).alias(f"seen_{v}") for v in VALUES])
+
+
+def stateful_features(events: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """The stream with its per-sender state columns and the base features."""
+    if history is not None:
+        events = events.join(seen_values(history), "sender_account", "left")
+    else:
+        events = events.withColumns({f"seen_{v}": F.lit(None).cast("array<string>") for v in VALUES})
+    events = events.select("transaction_id", "sender_account", "ts", "amount", "time_since_last_transaction", *VALUES, *BASE, *[f"seen_{v}" for v in VALUES])
+    out = events.withWatermark("ts", LATEST).groupBy("sender_account").applyInPandasWithState(_update, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    return feat_time_ext(out, "ts").withColumns({"log_amount": F.log1p("amount"), "tslt_abs": F.coalesce(F.abs("stream_tslt"), F.lit(0.0))})
+
+
+def model_score(features: DataFrame, model: PipelineModel) -> DataFrame:
+    """``features`` with ``risk_score`` from a fitted pipeline; without a time since the last transaction the
+    score is the fixed low one, as in batch scoring."""
+    filled = features.fillna(0.0, MODEL_COLUMNS)
+    p = vector_to_array("probability")[1]
+    scored = model.transform(filled).withColumn("risk_score", F.when(F.col("stream_tslt").isNull(), F.lit(MISSING_TSLT_SCORE)).otherwise(p))
+    return scored.drop("features", "rawPrediction", "probability", "prediction")
+
+
+def routed(df: DataFrame, score: str | Column = "risk_score") -> DataFrame:
+    c = F.col(score) if isinstance(score, str) else score
+    return df.withColumns({"route": BD.band(c, BD.ROUTES), "risk_band": BD.band(c, BD.BANDS_STREAM)})
+
+
+def run_to_end(stream: DataFrame, name: str, sinks: dict[str, Callable[[DataFrame], DataFrame]], checkpoint: str | None = None, out: dict[str, str] | None = None):
+    """Run over all that is there now; the written tables and the query's progress reports.
+
+    A batch is kept while its sinks are written, and each sink overwrites the batch's own folder."""
+    spark = stream.sparkSession
+    out = out or {k: scratch_path(spark, f"stream-{name}-{k}") for k in sinks}
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        try:
+            for k, part in sinks.items():
+                part(batch).write.mode("overwrite").parquet(f"{out[k]}/epoch={epoch}")
+        finally:
+            batch.unpersist()
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or scratch_path(spark, f"stream-{name}-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return {k: spark.read.parquet(v) for k, v in out.items()}, q.recentProgress
+
+
+def decisions(stream: DataFrame, score: str = "risk_score"):
+    """Routing with its two sinks, all decisions and the review queue, and the progress reports."""
+    cols = ["transaction_id", F.col(score).alias("risk_score"), "risk_band"]
+    return run_to_end(routed(stream, score), "decisions", {
+        "decisions": lambda b: b.select(*cols, "route"),
+        "queue": lambda b: b.where("route = 'REVIEW_QUEUED'").select(*cols)})
+
+
+def batch_metrics(decided: DataFrame, progress: list) -> DataFrame:
+    """Counters for each epoch with its latency per event (ms) and throughput (events a second)."""
+    spark = decided.sparkSession
+    times = [(int(p["batchId"]), float(p["batchDuration"]), float(p["numInputRows"])) for p in progress]
+    t = spark.createDataFrame(times, "epoch int, ms double, rows double")
+    g = decided.groupBy("epoch").agg(F.count(F.lit(1)).alias("processed"), *[F.count_if(F.col("route") == r).alias(n) for r, n in (("AUTO_BLOCKED", "blocked"), ("REVIEW_QUEUED", "queued"), ("PASSED", "passed"))])
+    return g.join(F.broadcast(t), "epoch").select("epoch", "processed", "blocked", "queued", "passed", (F.col("ms") / F.greatest("rows", F.lit(1.0))).alias("latency_ms"),
+                                                  (F.col("rows") * 1000 / F.greatest("ms", F.lit(1.0))).alias("events_per_second"))
+
+
+def with_closing_event(events: DataFrame, columns: list[str], far: str = "2200-01-01") -> DataFrame:
+    """The stream and, behind it, one event (all null but its time) that moves the watermark past all windows."""
+    spark = events.sparkSession
+    path = scratch_path(spark, "stream-close")
+    schema = events.select(*columns).schema
+    one = spark.range(1).select(*[F.lit(far).cast("timestamp").alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+    one.write.parquet(path)
+    return events.select(*columns).unionByName(spark.readStream.schema(one.schema).parquet(path))
+
+
+def stream_windows(events: DataFrame, kind: str) -> DataFrame:
     """Event-time twins: tumbling 1 h rate, sliding 24 h / 1 h per sender,
     30-minute sessions per sender, de-duplication of transaction ids within
-    the watermark.  Runs to completion; returns the written result."""
-    _, src = replay_source(spark, events, files)
-    src = src.withWatermark("ts", "2 hours")
+    the watermark.  All files are one batch, so no event is late; returns the written result."""
+    src = with_closing_event(events, ["transaction_id", "ts", "sender_account", "amount", "is_fraud"]).withWatermark("ts", "2 hours")
+    n = F.count(F.lit(1)).alias("n")
     if kind == "tumbling":
-        agg = src.groupBy(F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n"),
-                                                         F.sum("is_fraud").alias("frauds"))
+        agg = src.groupBy(F.window("ts", "1 hour")).agg(n, F.sum("is_fraud").alias("frauds"))
     elif kind == "sliding":
-        agg = src.groupBy("sender_account", F.window("ts", "24 hours", "1 hour")).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount_sum"))
+        agg = src.groupBy("sender_account", F.window("ts", "24 hours", "1 hour")).agg(n, F.sum("amount").alias("amount_sum"))
     elif kind == "session":
-        agg = src.groupBy("sender_account", F.session_window("ts", "30 minutes")).agg(
-            F.count(F.lit(1)).alias("n"))
+        agg = src.groupBy("sender_account", F.session_window("ts", "30 minutes")).agg(n)
     elif kind == "dedup":
-        agg = src.dropDuplicatesWithinWatermark(["transaction_id"])
+        agg = src.dropDuplicatesWithinWatermark(["transaction_id"]).where("transaction_id is not null")
     else:
         raise ValueError(kind)
+    spark = events.sparkSession
     out = scratch_path(spark, f"stream-{kind}")
-    ck = scratch_path(spark, f"stream-{kind}-ckpt")
     q = (agg.writeStream.outputMode("append").format("parquet").option("path", out)
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+         .option("checkpointLocation", scratch_path(spark, f"stream-{kind}-ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out)
