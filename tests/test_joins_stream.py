@@ -15,11 +15,28 @@ def test_topk_paths_agree(spark):
     corpus = e.where(F.col("label") <= 3)
     a = J.topk_similar(e, corpus, 3, "ip", q_id="vec_id", c_id="vec_id", exclude_self=True)
     b = J.topk_similar(e, corpus, 3, "ip", q_id="vec_id", c_id="vec_id", exclude_self=True,
-                       broadcast_rows=0, block_rows=7, query_chunk_rows=13)
+                       broadcast_bytes=0, block_rows=7, query_chunk_rows=13)
     norm = lambda df: sorted((r.query_id, r.match_id, r.rank, round(r.score, 9)) for r in df.collect())
     assert norm(a) == norm(b)
 
 
+def test_topk_with_an_offset_and_ties(spark):
+    import numpy as np
+    pick = np.random.default_rng(1)
+    for offset in (0.0, 1e6):
+        c, q = pick.uniform(0, 0.01, (400, 4)) + offset, pick.uniform(0, 0.01, (50, 4)) + offset
+        cd = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "id long, vec array<double>")
+        qd = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id long, vec array<double>")
+        for kw in ({}, {"broadcast_bytes": 0, "block_rows": 90}):
+            got = {(r.query_id, r["rank"]): r.match_id for r in J.topk_similar(qd, cd, 3, "l2", **kw).collect()}
+            for i in range(50):
+                d = np.round(np.sqrt(((q[i] - c) ** 2).sum(axis=1)) * 1e9)
+                assert [got[i, k] for k in (1, 2, 3)] == np.lexsort((np.arange(400), d))[:3].tolist()
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(1000)], "id long, vec array<double>")
+    got = J.topk_similar(same.limit(100), same, 3, "l2", exclude_self=True).collect()
+    assert len(got) == 300 and {r.match_id for r in got} == {0, 1, 2, 3}
+
+
 def _split(spark, n):
     """The events table as a folder of n files."""
     from vigilo.session import scratch_path

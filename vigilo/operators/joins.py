@@ -55,60 +55,65 @@ def membership(df: DataFrame, history: DataFrame, keys: list[str], out: str,
     return df.join(h, keys, "left").withColumn(out, F.col("_seen").isNull().cast("int")).drop("_seen")
 
 
-def _score_block(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
-    """Similarity-as-higher-is-better matrix for a query block."""
-    if metric == "ip":
-        return q @ c.T
-    # negative squared Euclidean distance
-    return -(np.sum(q * q, axis=1)[:, None] - 2 * (q @ c.T) + np.sum(c * c, axis=1)[None, :])
-
-
-def _topk_rows(qids, q, cids, c, k, metric, exclude_self, chunk=2048):
-    out_q, out_c, out_s = [], [], []
-    kk = min(k + (1 if exclude_self else 0), len(cids))
-    if kk == 0 or len(qids) == 0:
-        return pd.DataFrame({"query_id": [], "match_id": [], "_sim": []})
-    for s in range(0, len(qids), chunk):
-        qq, qi = q[s:s + chunk], qids[s:s + chunk]
-        sim = _score_block(qq, c, metric)
-        if exclude_self:
-            sim = np.where(qi[:, None] == cids[None, :], -np.inf, sim)
-        # keep every candidate tied (within float noise) with the k-th best,
-        # so the exact final ranking decides ties by id
-        kth = -np.partition(-sim, kk - 1, axis=1)[:, kk - 1]
-        tol = 1e-9 * np.maximum(np.abs(kth), 1.0)
-        rows, cols = np.nonzero(sim >= (kth - tol)[:, None])
-        if metric == "l2":   # exact distances for the kept candidates (no cancellation)
-            diff = qq[rows] - c[cols]
-            vals = -np.sum(diff * diff, axis=1)
+#: Size of a block of similarities in a task, in numbers.
+BLOCK_CELLS = 4_000_000
+
+
+def _topk_rows(qids, q, cids, c, k, metric, exclude_self):
+    """The k best corpus rows of each query by (score to nine decimals, id).  A matrix product finds candidates
+    with a margin for its rounding error; their scores are summed anew, pair by pair."""
+    found = []
+    if len(cids) and len(qids):
+        centre = c.mean(axis=0) if metric == "l2" else np.zeros(c.shape[1])  # a common offset would cancel digits
+        cc = c - centre
+        c2 = np.sum(cc * cc, axis=1)
+        kk = min(k + (1 if exclude_self else 0), len(cids))
+        step = max(1, BLOCK_CELLS // len(cids))
+        for s in range(0, len(qids), step):
+            qq, qi = q[s:s + step] - centre, qids[s:s + step]
+            sim = qq @ cc.T
+            q2 = np.sum(qq * qq, axis=1)
+            if metric == "l2":
+                sim = 2 * sim - q2[:, None] - c2[None, :]
             if exclude_self:
-                vals = np.where(qi[rows] == cids[cols], -np.inf, vals)
-        else:
-            vals = sim[rows, cols]
-        keep = np.isfinite(vals)
-        out_q.append(qi[rows[keep]])
-        out_c.append(cids[cols[keep]])
-        out_s.append(vals[keep])
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "match_id": np.concatenate(out_c),
-                         "_sim": np.concatenate(out_s)})
+                sim[qi[:, None] == cids[None, :]] = -np.inf
+            margin = 1e-14 * c.shape[1] * (q2 + c2.max(initial=0)) + 1e-18
+            kth = -np.partition(-sim, kk - 1, axis=1)[:, kk - 1]
+            rows, cols = np.nonzero(sim >= np.where(np.isfinite(kth), kth - np.sqrt(np.maximum(-kth, 0)) * 4e-9 - 4e-9 - margin, -np.finfo(float).max)[:, None])
+            if metric == "l2":
+                score = np.sqrt(np.sum((q[s + rows] - c[cols]) ** 2, axis=1))
+            else:
+                score = np.sum(q[s + rows] * c[cols], axis=1)
+            key = np.round(score * 1e9) * (1 if metric == "l2" else -1)
+            order = np.lexsort((cids[cols], key, rows))
+            rows, cols, score = rows[order], cols[order], score[order]
+            first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            found.append((qi[rows[first]], cids[cols[first]], score[first]))
+    cat = lambda i, t: np.concatenate([f[i] for f in found]) if found else np.zeros(0, t)
+    return pd.DataFrame({"query_id": cat(0, np.int64), "match_id": cat(1, np.int64), "score": cat(2, float)})
 
 
 def topk_similar(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
                  q_id: str = "id", q_vec: str = "vec", c_id: str = "id", c_vec: str = "vec",
-                 exclude_self: bool = False, broadcast_rows: int = 200_000,
+                 exclude_self: bool = False, broadcast_bytes: int = 64 << 20,
                  block_rows: int = 50_000, query_chunk_rows: int = 200_000) -> DataFrame:
     """Exact k nearest corpus rows per query.  Output: query_id, match_id,
-    score (distance for ``l2``, inner product for ``ip``), rank (1..k, ties
-    broken by match id)."""
+    score (distance for ``l2``, inner product for ``ip``), rank (1..k, scores
+    equal to nine decimals by match id).
+
+    Every query leaves a task with k rows for each corpus block at most, ties
+    included.  A corpus of up to ``broadcast_bytes`` is sent whole; a larger one meets
+    the queries in blocks."""
     spark = queries.sparkSession
     qd = queries.select(F.col(q_id).cast("long").alias("query_id"),
                         F.col(q_vec).cast("array<double>").alias("qv"))
     cd = corpus.select(F.col(c_id).cast("long").alias("match_id"),
                        F.col(c_vec).cast("array<double>").alias("cv"))
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("match_id", T.LongType()),
-                           T.StructField("_sim", T.DoubleType())])
-    n_corpus = cd.count()
-    if n_corpus <= broadcast_rows:
+                           T.StructField("score", T.DoubleType())])
+    size = cd.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("cv")).alias("dim")).first()
+    n_corpus = size.n
+    if n_corpus * (size.dim or 0) * 8 <= broadcast_bytes:
         # bounded by the check above; collected once and shipped as a broadcast
         pc = cd.toPandas()
         cids = pc["match_id"].to_numpy(np.int64)
@@ -137,7 +142,7 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l
 
         def score_group(qpdf, cpdf):
             if len(qpdf) == 0 or len(cpdf) == 0:
-                return pd.DataFrame({"query_id": [], "match_id": [], "_sim": []})
+                return _topk_rows([], None, [], None, k, metric, exclude_self)
             qm = np.array(qpdf["qv"].tolist(), dtype=np.float64)
             cm = np.array(cpdf["cv"].tolist(), dtype=np.float64)
             return _topk_rows(qpdf["query_id"].to_numpy(np.int64), qm,
@@ -145,8 +150,6 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l
 
         cand = (qb.groupBy("_blk", "_qc").cogroup(cb.groupBy("_blk", "_qc"))
                   .applyInPandas(score_group, schema))
-    sc = F.sqrt(F.greatest(-F.col("_sim"), F.lit(0.0))) if metric == "l2" else F.col("_sim")
-    cand = cand.withColumn("score", sc)
     # equal scores up to float noise rank by match id (deterministic ties)
     key = F.round(F.col("score") * F.lit(1e9)) / F.lit(1e9)
     w = Window.partitionBy("query_id").orderBy(key.asc() if metric == "l2" else key.desc(), "match_id")

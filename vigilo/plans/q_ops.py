@@ -10,12 +10,14 @@ from ..functions import bands as BD
 from ..functions import features as FT
 from ..functions import text as TX
 from ..operators import joins as J
+from ..operators import ml as ML
 from ..operators import past as P
 from ..operators import profile as PR
 from ..operators import queue as QU
 from ..operators.order import global_index, sample_stratified, split_flag
 from ..operators.profile import r6
 from ..operators.ranks import quantile_list
+from ..session import stored
 from ..sources.adapters import txn_events
 from ..sources.tables import read_table
 from .q_metrics import SCORED_SQL, scored
@@ -85,21 +87,33 @@ KNN_FEATS = ["amount", "velocity_score", "geo_anomaly_score", "spending_deviatio
 LEH = "((transaction_id % 2147483647) * 48271 + 42) % 2147483647"
 
 
-@register("join_knn", _ev_with(f"""
+CASES_PER_LABEL = 3000
+# corpus: the stratified sample; features are scaled by the corpus, so the means cancel in a distance
+NEAR_SQL = f"""
 , corpus AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY {LEH}, transaction_id) AS rn
-                           FROM txn_events) WHERE rn <= 50)
+                           FROM txn_events) WHERE rn <= {CASES_PER_LABEL})
+, st AS (SELECT {", ".join(f"CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS s_{c}" for c in KNN_FEATS)} FROM corpus)
 , d AS (SELECT q.transaction_id AS query_id, c.transaction_id AS match_id,
-               sqrt(pow(q.amount - c.amount, 2) + pow(q.velocity_score - c.velocity_score, 2)
-                    + pow(q.geo_anomaly_score - c.geo_anomaly_score, 2)
-                    + pow(q.spending_deviation_score - c.spending_deviation_score, 2)) AS dist
-        FROM txn_events q, corpus c)
-SELECT query_id, match_id, round(dist, 6) AS score, CAST(rk AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), match_id) AS rk FROM d) WHERE rk <= 3"""))
+               sqrt({" + ".join(f"pow(q.{c} / s_{c} - c.{c} / s_{c}, 2)" for c in KNN_FEATS)}) AS dist
+        FROM txn_events q, corpus c, st)
+, t AS (SELECT query_id, arg_min({{'m': match_id, 'd': dist}}, (round(dist, 9), match_id), 3) AS top FROM d GROUP BY query_id)
+, nn AS (SELECT query_id, top[i].m AS match_id, round(top[i].d, 6) AS score, CAST(i AS INTEGER) AS rank
+         FROM t, range(1, 4) r(i) WHERE top[i].m IS NOT NULL)"""
+
+
+def _nearest_cases(spark, sf):
+    """The three nearest cases of every transaction in a sample of 3000 for each label, features scaled."""
+    d = txn_events(spark, sf)
+    corpus = stored(sample_stratified(d, "is_fraud", CASES_PER_LABEL, "transaction_id"), "cases")
+    vec = F.array(*[F.col(f"{c}_z") for c in KNN_FEATS])
+    scaled = [ML.scale_pop(x, corpus, KNN_FEATS, "_z").select("transaction_id", vec.alias("vec")) for x in (d, corpus)]
+    return corpus, J.topk_similar(*scaled, 3, "l2", q_id="transaction_id", c_id="transaction_id")
+
+
+@register("join_knn", _ev_with(NEAR_SQL + "\nSELECT query_id, match_id, score, rank FROM nn"))
 def q_join_knn(spark, sf):
-    d = txn_events(spark, sf).withColumn("vec", F.array(*[F.col(c).cast("double") for c in KNN_FEATS]))
-    corpus = sample_stratified(d, "is_fraud", 50, "transaction_id")
-    out = J.topk_similar(d, corpus, 3, "l2", q_id="transaction_id", c_id="transaction_id")
-    return out.select("query_id", "match_id", r6("score").alias("score"), "rank")
+    _, nn = _nearest_cases(spark, sf)
+    return nn.select("query_id", "match_id", r6("score").alias("score"), "rank")
 
 
 @register("join_cosine_topk", """
@@ -539,28 +553,16 @@ def q_brief_render(spark, sf):
                     F.length(TX.brief_next_step(F.col("band"))).alias("next_step_len"))
 
 
-@register("case_retrieval", _ev_with(f"""
-, corpus AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY {LEH}, transaction_id) AS rn
-                           FROM txn_events) WHERE rn <= 50)
-, d AS (SELECT q.transaction_id AS query_id, c.transaction_id AS match_id, c.is_fraud,
-               sqrt(pow(q.amount - c.amount, 2) + pow(q.velocity_score - c.velocity_score, 2)
-                    + pow(q.geo_anomaly_score - c.geo_anomaly_score, 2)
-                    + pow(q.spending_deviation_score - c.spending_deviation_score, 2)) AS dist
-        FROM txn_events q, corpus c)
-, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), match_id) AS rk FROM d)
-SELECT query_id, string_agg(CASE WHEN is_fraud = 1 THEN 'Fraud' ELSE 'Legitimate' END, '|' ORDER BY rk) AS labels,
-       string_agg(CAST(match_id AS VARCHAR), '|' ORDER BY rk) AS cases
-FROM r WHERE rk <= 3 GROUP BY query_id"""))
+@register("case_retrieval", _ev_with(NEAR_SQL + """
+SELECT query_id, rank, match_id, score AS distance, CASE WHEN is_fraud = 1 THEN 'Fraud' ELSE 'Legitimate' END AS label,
+       amount, payment_channel, device_used, transaction_type
+FROM nn JOIN corpus ON match_id = transaction_id"""))
 def q_case_retrieval(spark, sf):
-    d = txn_events(spark, sf).withColumn("vec", F.array(*[F.col(c).cast("double") for c in KNN_FEATS]))
-    corpus = sample_stratified(d, "is_fraud", 50, "transaction_id")
-    nn = J.topk_similar(d, corpus, 3, "l2", q_id="transaction_id", c_id="transaction_id")
-    lab = corpus.select(F.col("transaction_id").alias("match_id"), "is_fraud")
-    j = nn.join(lab, "match_id")
-    g = j.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "match_id", "is_fraud"))).alias("c"))
-    return g.select("query_id",
-                    F.array_join(F.transform("c", lambda x: F.when(x["is_fraud"] == 1, "Fraud").otherwise("Legitimate")), "|").alias("labels"),
-                    F.array_join(F.transform("c", lambda x: x["match_id"].cast("string")), "|").alias("cases"))
+    corpus, nn = _nearest_cases(spark, sf)
+    cases = corpus.select(F.col("transaction_id").alias("match_id"), "is_fraud", "amount", "payment_channel", "device_used", "transaction_type")
+    j = nn.join(cases, "match_id")
+    return j.select("query_id", "rank", "match_id", r6("score").alias("distance"),
+                    F.when(F.col("is_fraud") == 1, "Fraud").otherwise("Legitimate").alias("label"), "amount", "payment_channel", "device_used", "transaction_type")
 
 
 # ---- JSON / CSV / timestamps --------------------------------------------
