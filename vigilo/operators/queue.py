@@ -18,8 +18,9 @@ DECISION_LABEL = {"CONFIRM_FRAUD": 1, "FALSE_ALARM": 0, "ESCALATE": -1}
 
 
 def latest(log: DataFrame, key: str, version: str) -> DataFrame:
+    """The newest row of each key; of equal versions the one with the larger hash."""
     cols = [c for c in log.columns if c != key]
-    agg = log.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(version)).alias("_r"))
+    agg = log.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(F.col(version), F.xxhash64(*cols))).alias("_r"))
     return agg.select(key, "_r.*")
 
 

@@ -246,17 +246,45 @@ def q_metric_signal_level(spark, sf):
                     (F.col("ap") < 1.5 * F.col("base_rate")).cast("int").alias("negligible"))
 
 
-@register("metric_material", ev_sql("""
-SELECT round(b.ap - a.ap, 6) AS delta_ap, CAST(b.ap - a.ap >= 0.002 AS INTEGER) AS material
-FROM m a, m2 b""", SCORED_SQL, _ap_sql("score"),
+def _p_at_sql(score, pct):
+    return (f"(SELECT SUM(is_fraud) / COUNT(*) FROM (SELECT is_fraud, row_number() OVER (ORDER BY {score} DESC, transaction_id) AS i, "
+            f"COUNT(*) OVER () AS n FROM scored) WHERE i <= greatest(floor(n * {pct}), 1))")
+
+
+@register("metric_material", ev_sql(f"""
+SELECT round(da, 6) AS delta_ap, round(d1, 6) AS delta_p_at_1, round(d5, 6) AS delta_p_at_5,
+       CAST(da >= 0.002 OR round(d1, 6) >= 0.005 OR round(d5, 6) >= 0.005 AS INTEGER) AS material
+FROM (SELECT b.ap - a.ap AS da, {_p_at_sql("score_fine", 0.01)} - {_p_at_sql("score", 0.01)} AS d1,
+             {_p_at_sql("score_fine", 0.05)} - {_p_at_sql("score", 0.05)} AS d5 FROM m a, m2 b)""", SCORED_SQL, _ap_sql("score"),
     _ap_sql("score_fine").replace("c0 AS", "d0 AS").replace("FROM c0", "FROM d0").replace("c AS (", "d AS (")
     .replace("FROM c ", "FROM d ").replace("m AS (", "m2 AS (")))
 def q_metric_material(spark, sf):
     d = scored(spark, sf)
     a = M.ap_auc(M.score_curve(d, "score")).select(F.col("ap").alias("a"))
     b = M.ap_auc(M.score_curve(d, "score_fine")).select("ap").scalar()
-    delta = b - F.col("a")
-    return a.select(r6(delta).alias("delta_ap"), M.material(delta, F.lit(0.0), F.lit(0.0)).alias("material"))
+    p = []
+    for score in ("score_fine", "score"):
+        t = M.topk(d, [0.01, 0.05], score)
+        p.append([t.agg(F.max(F.when(F.col("pct") == x, F.col("captured") / F.col("k")))).scalar() for x in (0.01, 0.05)])
+    delta, d1, d5 = b - F.col("a"), r6(p[0][0] - p[1][0]), r6(p[0][1] - p[1][1])
+    return a.select(r6(delta).alias("delta_ap"), d1.alias("delta_p_at_1"), d5.alias("delta_p_at_5"), M.material(delta, d1, d5).alias("material"))
+
+
+CLASSES_SQL = "(VALUES (0), (1)) k(class)"
+
+
+@register("metric_class_report", ev_sql(f"""
+SELECT CAST(class AS INTEGER) AS class, count_if(p = class AND y = class) AS hits, count_if(y = class) AS support,
+       round(count_if(p = class AND y = class) / nullif(count_if(p = class), 0), 6) AS precision,
+       round(count_if(p = class AND y = class) / nullif(count_if(y = class), 0), 6) AS recall
+FROM (SELECT CAST(score >= 0.5 AS INTEGER) AS p, is_fraud AS y FROM scored), {CLASSES_SQL} GROUP BY class""", SCORED_SQL))
+def q_metric_class_report(spark, sf):
+    """Precision, recall and support of each class at 0.5."""
+    d = scored(spark, sf).select((F.col("score") >= 0.5).cast("int").alias("p"), F.col("is_fraud").alias("y"))
+    g = d.groupBy("p", "y").agg(F.count(F.lit(1)).alias("n")).withColumn("class", F.explode(F.array(F.lit(0), F.lit(1))))
+    hit, said, own = (F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) for c in ((F.col("p") == F.col("class")) & (F.col("y") == F.col("class")), F.col("p") == F.col("class"), F.col("y") == F.col("class")))
+    g = g.groupBy("class").agg(hit.alias("hits"), own.alias("support"), said.alias("said"))
+    return g.select("class", "hits", "support", r6(F.try_divide("hits", "said")).alias("precision"), r6(F.try_divide("hits", "support")).alias("recall"))
 
 
 # ---- sampling / ordering (§2.7) -----------------------------------------

@@ -103,10 +103,15 @@ def q_model_dummy(spark, sf):
     return M.ap_auc(M.score_curve(v)).select(r6("ap").alias("ap"))
 
 
-def _fit_eval(spark, sf, kind, **params):
+def _fit_eval(spark, sf, kind, balanced=False, **params):
     g = fs1(spark, sf)
     tr, va = g.where(F.col("is_train") == 1), g.where(F.col("is_train") == 0)
-    model = ML.fit_pipeline(tr, FS1_NUM, CATS, kind, **params)
+    weight = None
+    if balanced:  # both labels weigh the same
+        rate = tr.agg(F.avg("is_fraud")).first()[0] or 0.5
+        weight = "_w"
+        tr = tr.withColumn("_w", F.when(F.col("is_fraud") == 1, F.lit(0.5 / max(rate, 1e-9))).otherwise(F.lit(0.5 / max(1 - rate, 1e-9))))
+    model = ML.fit_pipeline(tr, FS1_NUM, CATS, kind, weight=weight, **params)
     sc = ML.score(model, va, "score")
     m = M.ap_auc(M.score_curve(sc), [])
     return m.select(F.lit(kind).alias("model"), r6("ap").alias("ap"), r6("roc_auc").alias("roc_auc"),
@@ -115,12 +120,12 @@ def _fit_eval(spark, sf, kind, **params):
 
 @register("model_logreg")
 def q_model_logreg(spark, sf):
-    return _fit_eval(spark, sf, "logreg", maxIter=30)
+    return _fit_eval(spark, sf, "logreg", balanced=True, maxIter=1000)
 
 
 @register("model_rf")
 def q_model_rf(spark, sf):
-    return _fit_eval(spark, sf, "rf", numTrees=20, maxDepth=6)
+    return _fit_eval(spark, sf, "rf", numTrees=50, maxDepth=10)
 
 
 @register("model_gbt")
@@ -242,7 +247,8 @@ def q_retrain_feedback(spark, sf):
     qlog, fb = _queue_logs(spark, sf)
     lab = fb.select("transaction_id", feedback_label(F.col("analyst_decision")).alias("fb_label")).where(
         F.col("fb_label").isin(0, 1))
-    fbrows = (g.join(lab, "transaction_id").drop("is_fraud").withColumnRenamed("fb_label", "is_fraud"))
+    # feedback on rows of the scored split stays out of training
+    fbrows = (g.where(F.col("is_train") == 1).join(lab, "transaction_id").drop("is_fraud").withColumnRenamed("fb_label", "is_fraud"))
     fbrows = FT.serve_defaults(fbrows, FS1_NUM, CATS).withColumn(
         "_rep", F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("_rep")
     base = g.where(F.col("is_train") == 1)

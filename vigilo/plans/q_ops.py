@@ -238,14 +238,17 @@ def q_sink_queue_upsert(spark, sf):
 
 
 @register("feedback_submit", ev_sql("""
-SELECT f.transaction_id, f.analyst_decision, st.status, round(st.amount, 6) AS amount
-FROM fb f JOIN st USING (transaction_id)""", SCORED_SQL, QUEUE_SQL))
+SELECT f.transaction_id, f.analyst_decision, st.status, round(st.amount, 6) AS amount, coalesce(st.transaction_id IS NOT NULL, false) AS known
+FROM (SELECT transaction_id, analyst_decision FROM fb UNION ALL SELECT -transaction_id - 1, analyst_decision FROM fb) f
+LEFT JOIN st ON f.transaction_id = st.transaction_id""", SCORED_SQL, QUEUE_SQL))
 def q_feedback_submit(spark, sf):
+    """Feedback with the queue's payload; ids the queue doesn't know (here: negative ones) stay, without payload."""
     qlog, fb = _queue_logs(spark, sf)
-    st = QU.queue_state(qlog, fb)
-    j = fb.select("transaction_id", "analyst_decision").join(st.select("transaction_id", "status", "amount"),
-                                                             "transaction_id")
-    return j.select("transaction_id", "analyst_decision", "status", r6("amount").alias("amount"))
+    st = QU.queue_state(qlog, fb).select("transaction_id", "status", "amount", F.lit(True).alias("known"))
+    own = fb.select("transaction_id", "analyst_decision")
+    unknown = own.select((-F.col("transaction_id") - 1).alias("transaction_id"), "analyst_decision")
+    j = own.unionByName(unknown).join(st, "transaction_id", "left")
+    return j.select("transaction_id", "analyst_decision", "status", r6("amount").alias("amount"), F.coalesce("known", F.lit(False)).alias("known"))
 
 
 @register("join_queue_feedback", ev_sql("""
@@ -716,3 +719,35 @@ def q_agg_history_diag(spark, sf):
         d = P.rolling(d, [e], w, {o: ("count", None)})
     from ..operators.metrics import history_diagnostics
     return history_diagnostics(d, [o for _, _, o in HIST])
+
+
+INTERACTIONS = {"geo_x_velocity": "geo_anomaly_score * velocity_score", "geo_x_deviation": "geo_anomaly_score * spending_deviation_score",
+                "velocity_x_deviation": "velocity_score * spending_deviation_score"}
+INTERACTION_SQL = [
+    GI_SQL,
+    "u AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, round({e}, 6) AS x, is_fraud, global_index < floor(_total * 0.8) AS tr FROM gi" for n, e in INTERACTIONS.items()) + ")",
+    "p AS (SELECT feature, quantile_cont(x, 0.9) AS p90 FROM u WHERE tr GROUP BY feature)",
+    """c0 AS (SELECT feature, way, x * way AS s, COUNT(*) AS n, SUM(is_fraud) AS pos FROM u, (VALUES (1), (-1)) w(way) WHERE NOT tr GROUP BY 1, 2, 3)""",
+    """c AS (SELECT *, SUM(n) OVER o AS cn, SUM(pos) OVER o AS cp, SUM(pos) OVER (PARTITION BY feature, way) AS P FROM c0
+           WINDOW o AS (PARTITION BY feature, way ORDER BY s DESC))""",
+    "ap AS (SELECT feature, max(a) AS best_ap FROM (SELECT feature, way, SUM(pos / P * (cp / cn)) AS a FROM c GROUP BY 1, 2) GROUP BY feature)"]
+
+
+@register("agg_interaction_diag", ev_sql("""
+SELECT u.feature, round(any_value(best_ap), 6) AS best_ap, round(quantile_cont(x, 0.99), 6) AS p99, max(x) AS max,
+       round(avg(CASE WHEN x >= p90 THEN is_fraud END), 6) AS top_decile_rate
+FROM u JOIN p USING (feature) JOIN ap USING (feature) WHERE NOT tr GROUP BY u.feature""", *INTERACTION_SQL))
+def q_agg_interaction_diag(spark, sf):
+    """Of each interaction on the validation rows: the better direction's average precision, p99, max, and the
+    label rate at or above the train rows' 90th percentile."""
+    from ..operators import metrics as M
+    from ..operators.ranks import quantiles
+    d = _split(spark, sf, "geo_anomaly_score", "velocity_score", "spending_deviation_score", "is_fraud")
+    u = d.select("is_train", "is_fraud", F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), r6(F.expr(e)).alias("x")) for n, e in INTERACTIONS.items()])))
+    p90 = quantiles(u.where("is_train = 1"), ["x"], [0.9], ["feature"]).select("feature", F.col("q")[0].alias("p90"))
+    u = stored(u.where("is_train = 0"), "interactions")
+    ways = u.withColumn("way", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("s", F.col("x") * F.col("way"))
+    ap = M.ap_auc(M.score_curve(ways, "s", by=["feature", "way"]), ["feature", "way"]).groupBy("feature").agg(r6(F.max("ap")).alias("best_ap"))
+    p99 = quantiles(u, ["x"], [0.99], ["feature"]).select("feature", r6(F.col("q")[0]).alias("p99"))
+    g = u.join(p90, "feature").groupBy("feature").agg(F.max("x").alias("max"), r6(F.avg(F.when(F.col("x") >= F.col("p90"), F.col("is_fraud")))).alias("top_decile_rate"))
+    return g.join(ap, "feature").join(p99, "feature").select("feature", "best_ap", "p99", "max", "top_decile_rate")
