@@ -35,7 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     nameless = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1))
     rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), nameless))
     found = materialise(near_duplicates(rows, shingle=4, max_bits=4, doc_id=key).select(F.col("doc_id").alias(key), "component_id"), "near-duplicates")
-    own = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    # merged at every size, so that what is shuffled grows as the documents do
+    own = found.where(F.col(key) == F.col("component_id")).select(key).distinct().hint("merge")
     repeated = materialise(found.groupBy(key).count().where("count > 1").select(key), "repeated-ids")
     kept = rows.join(own, key, "left_semi")
     if repeated.isEmpty():

@@ -228,21 +228,25 @@ class Model:
 def choose_landmarks(texts: list[bytes], toxic: np.ndarray, most: int, least: int, background: int) -> tuple[list[bytes], int]:
     """Units that explain toxic documents, best first, then harmless ones; and the number of the former."""
     held: list[set] = [set() for _ in texts]
+    same: dict[bytes, bytes] = {}  # one object for each unit
     for doc, _, words in units(texts):
         for d, w in zip(doc.tolist(), words):
             if LENGTH <= len(w) <= LONGEST:
-                held[d].add(w)
+                held[d].add(same.setdefault(w, w))
+    del same
     bad, good = Counter(), Counter()
     for d, words in enumerate(held):
         (bad if toxic[d] else good).update(words)
     ratio = max(1, toxic.sum()) / max(1, (~toxic).sum())
     worth = {w for w, n in bad.items() if n >= least and n > 3 * ratio * good[w]}
+    held = [words & worth for words in held]
     weight, out = {d: 1.0 for d in range(len(texts)) if toxic[d]}, []
     while len(out) < most and worth:
         gain: dict[bytes, float] = dict.fromkeys(worth, 0.0)
         for d, x in weight.items():
-            for w in held[d] & worth:
-                gain[w] += x
+            for w in held[d]:
+                if w in gain:
+                    gain[w] += x
         best = max(gain, key=lambda w: (gain[w] - 3 * ratio * good[w], w))
         if gain[best] - 3 * ratio * good[best] < least / 2:
             break
