@@ -44,7 +44,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-@query("op9_benchmark_decontamination")
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP9_SQL = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark),
+bk as (select item_id, w, least(10, len(w)) as k from b where len(w) > 0),
+bw as (select distinct item_id, k, array_to_string(w[j:j + k - 1], ' ') as win from (select *, unnest(range(1, len(w) - k + 2)) as j from bk)),
+dw as (select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as win
+       from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from bw) where len(w) >= k)),
+h as (select doc_id, item_id, i, dw.k from dw join bw on dw.k = bw.k and dw.win = bw.win),
+p as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + k)) as place from h) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids
+      from (select distinct doc_id, item_id from h) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join p on d.doc_id = p.doc_id left join t on d.doc_id = t.doc_id
+"""
+
+
+@query("op9_benchmark_decontamination", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -73,7 +91,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op10_embedding_near_dup")
+OP10_SQL = """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as x from embeddings),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.x, b.x) >= 0.93),
+r(vec_id, other) as (select vec_id, vec_id from v union select r.vec_id, l.b from r join l on r.other = l.a),
+c as (select vec_id, min(other) as component_id from r group by vec_id),
+n as (select a as vec_id, count(*) as n from l group by a)
+select c.vec_id, coalesce(n, 0) as n_links, component_id, c.vec_id = component_id as kept from c left join n on c.vec_id = n.vec_id
+"""
+
+
+@query("op10_embedding_near_dup", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_dups import near_duplicate_vectors
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
