@@ -40,7 +40,7 @@ def test_kernel():
         assert abs(subsequences(padded([a, b"zzzzzzzzz"]), padded([b, b"q"]))[0] - brute_kernel(a, b)) < 1e-9
     marks = Landmarks([b"idiot", b"worthless"])
     k = marks.kernel([b"idiot", b"idxiot", b"ixdxixoxt", b"nothing", b"xx" * 30 + b"idiot", b"", b"a"])
-    assert abs(k[0, 0] - 1) < 1e-9 and k[1, 0] > 0.4 and k[2, 0] > 0.005 and (k[3] == 0).all() and k[4, 0] > 0.05 and (k[5:] == 0).all()
+    assert abs(k[0, 0] - 1) < 1e-9 and k[1, 0] > 0.4 and k[2, 0] > 0.005 and (k[3] == 0).all() and k[4, 0] > 0 and (k[5:] == 0).all()
 
 
 def test_units():
