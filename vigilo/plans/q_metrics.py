@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators.order import global_index, sample_n, sample_stratified, time_blocks
 from ..operators.profile import r6
+from ..operators.ranks import quantile_list
 from ..sources.adapters import txn_events
 from .registry import ev_sql, register
 
@@ -63,14 +64,22 @@ def q_metric_lift(spark, sf):
                     r6(F.col("ap") / F.col("base_rate")).alias("rel_lift"))
 
 
+# a score with gaps, filled with its own median
+FILLED_SQL = [SCORED_SQL.replace("scored AS", "scored0 AS"),
+              """scored AS (SELECT *, coalesce(gap, (SELECT median(CASE WHEN transaction_id % 7 <> 0 THEN score END) FROM scored0)) AS filled
+                 FROM (SELECT *, CASE WHEN transaction_id % 7 <> 0 THEN score END AS gap FROM scored0))"""]
+
+
 @register("metric_ap_bidir", ev_sql("""
 SELECT round(greatest(a.ap, b.ap), 6) AS best_ap, CASE WHEN a.ap >= b.ap THEN 'higher' ELSE 'lower' END AS direction
-FROM m a, m2 b""", SCORED_SQL, _ap_sql("score"),
-    _ap_sql("-score").replace("c0 AS", "d0 AS").replace("FROM c0", "FROM d0").replace("c AS (", "d AS (")
+FROM m a, m2 b""", *FILLED_SQL, _ap_sql("filled"),
+    _ap_sql("-filled").replace("c0 AS", "d0 AS").replace("FROM c0", "FROM d0").replace("c AS (", "d AS (")
     .replace("FROM c ", "FROM d ").replace("m AS (", "m2 AS (")))
 def q_metric_ap_bidir(spark, sf):
-    d = scored(spark, sf).withColumn("neg", -F.col("score"))
-    a = M.ap_auc(M.score_curve(d, "score")).select(F.col("ap").alias("a"))
+    """The better direction's average precision of a score whose nulls take its own median."""
+    d = scored(spark, sf).withColumn("gap", F.when(F.col("transaction_id") % 7 != 0, F.col("score")))
+    d = d.withColumn("filled", F.coalesce("gap", quantile_list(d, "gap", [0.5])[0])).withColumn("neg", -F.col("filled"))
+    a = M.ap_auc(M.score_curve(d, "filled")).select(F.col("ap").alias("a"))
     b = M.ap_auc(M.score_curve(d, "neg")).select(F.col("ap").alias("b")).scalar()
     return a.select(r6(F.greatest("a", b)).alias("best_ap"),
                     F.when(F.col("a") >= b, "higher").otherwise("lower").alias("direction"))
@@ -325,7 +334,11 @@ def q_sort_time(spark, sf):
                         ["ts", "transaction_id"], total=None).select("transaction_id", "global_index")
 
 
-@register("shuffle_labels")
+@register("shuffle_labels", ev_sql("""
+SELECT r.transaction_id, r.ts, r.amount, l.is_fraud
+FROM (SELECT *, row_number() OVER (ORDER BY ts, transaction_id) AS i FROM txn_events) r
+JOIN (SELECT is_fraud, row_number() OVER (ORDER BY ((transaction_id % 2147483647) * 48271 + 7) % 2147483647, transaction_id) AS i FROM txn_events) l
+  ON r.i = l.i"""))
 def q_shuffle_labels(spark, sf):
     from ..operators.order import shuffle_labels
     d = txn_events(spark, sf).select("transaction_id", "ts", "amount", "is_fraud")

@@ -12,6 +12,7 @@ from ..operators import ml as ML
 from ..operators import past as P
 from ..operators.order import global_index, shuffle_labels, split_flag
 from ..operators.profile import r6
+from ..session import stored
 from ..sources.adapters import txn_events
 from .registry import ev_sql, register
 
@@ -133,7 +134,8 @@ def q_model_gbt(spark, sf):
     return _fit_eval(spark, sf, "gbt", maxIter=20, maxDepth=4)
 
 
-@register("prep_assemble")
+@register("prep_assemble", ev_sql("SELECT transaction_id, CAST((SELECT " + str(len(FS1_NUM)) + " + "
+    + " + ".join(f"COUNT(DISTINCT {c})" for c in CATS) + f" FROM gi WHERE {TRAIN}) AS INTEGER) AS n_features FROM txn_events", GI_SQL))
 def q_prep_assemble(spark, sf):
     from pyspark.ml import Pipeline
     g = fs1(spark, sf)
@@ -164,7 +166,7 @@ def q_model_calibrate(spark, sf):
 def q_model_grid(spark, sf):
     """Product grid on the TIME split (train prefix → validation), best by AP."""
     g = fs1(spark, sf)
-    tr, va = g.where(F.col("is_train") == 1).cache(), g.where(F.col("is_train") == 0).cache()
+    tr, va = (stored(g.where(F.col("is_train") == t), "split") for t in (1, 0))
     est = ML.make_model("gbt")
     grid = ParamGridBuilder().addGrid(est.maxDepth, [3, 5]).addGrid(est.stepSize, [0.1, 0.3]).build()
     rows = None
@@ -181,7 +183,7 @@ def q_model_grid(spark, sf):
 def q_experiment_runner(spark, sf):
     """Feature-set × model table; the best row is the one with max AP."""
     g = fs1(spark, sf)
-    tr, va = g.where(F.col("is_train") == 1).cache(), g.where(F.col("is_train") == 0).cache()
+    tr, va = (stored(g.where(F.col("is_train") == t), "split") for t in (1, 0))
     sets = {"FS0": NUM, "FS1": FS1_NUM}
     rows = None
     for name, cols in sets.items():
@@ -190,7 +192,8 @@ def q_experiment_runner(spark, sf):
             m = M.ap_auc(M.score_curve(ML.score(model, va, "score")))
             r = m.select(F.lit(name).alias("feature_set"), F.lit(kind).alias("model"), r6("ap").alias("ap"))
             rows = r if rows is None else rows.unionByName(r)
-    return rows
+    rows = stored(rows, "experiments")
+    return rows.withColumn("best", F.col("ap") == rows.agg(F.max("ap")).scalar())
 
 
 @register("feature_importance")
@@ -200,6 +203,15 @@ def q_feature_importance(spark, sf):
     return ML.feature_importance(model, g, top=20)
 
 
+@register("feature_importance_family")
+def q_feature_importance_family(spark, sf):
+    """Importances of the forest summed by feature family."""
+    g = fs1(spark, sf)
+    model = ML.fit_pipeline(g.where(F.col("is_train") == 1), FS1_NUM, CATS, "rf", numTrees=50, maxDepth=10)
+    rows = ML.feature_importance(model, g, top=10_000)
+    return rows.groupBy(F.col("family")).agg(r6(F.sum("importance")).alias("importance"), F.count(F.lit(1)).alias("features"))
+
+
 @register("metric_permutation")
 def q_metric_permutation(spark, sf):
     """(AP_real − AP_shuffled) / AP_shuffled with labels permuted by seed."""
@@ -219,7 +231,7 @@ def q_metric_permutation(spark, sf):
 def q_metric_ablation(spark, sf):
     """ΔAP vs the full set for each removed feature group."""
     g = fs1(spark, sf)
-    tr, va = g.where(F.col("is_train") == 1).cache(), g.where(F.col("is_train") == 0).cache()
+    tr, va = (stored(g.where(F.col("is_train") == t), "split") for t in (1, 0))
     groups = {"novelty": [f"is_new_{v}_for_sender" for v in NOVELTY],
               "time": ["hour", "day_of_week", "month", "is_weekend", "is_night"],
               "tslt": ["tslt_abs", "tslt_is_negative", "tslt_is_missing"]}

@@ -571,11 +571,16 @@ def q_case_retrieval(spark, sf):
 # ---- JSON / CSV / timestamps --------------------------------------------
 
 @register("json_unpack", """
-SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), -1) AS k FROM events""")
+SELECT event_id, event_id % 10 <> 0 AS parsed, user_id, round(value, 6) AS value, k FROM (
+  SELECT *, CASE WHEN event_id % 10 <> 0 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events)""")
 def q_json_unpack(spark, sf):
+    """Payloads parsed back; one that can't be parsed (here: every tenth is cut short) falls back to the flat row."""
     d = read_table(spark, sf, "events")
-    p = F.from_json("props", "k INT", {"mode": "PERMISSIVE"})
-    return d.select("event_id", F.coalesce(p["k"], F.lit(-1)).alias("k"))
+    whole = F.to_json(F.struct("event_id", "user_id", "value", F.get_json_object("props", "$.k").cast("int").alias("k")))
+    payload = F.when(F.col("event_id") % 10 == 0, F.substring(whole, 2, 10)).otherwise(whole)
+    d = d.withColumn("p", F.from_json(payload, "event_id LONG, user_id LONG, value DOUBLE, k INT", {"mode": "PERMISSIVE"}))
+    return d.select("event_id", F.col("p.event_id").isNotNull().alias("parsed"), F.coalesce("p.user_id", "user_id").alias("user_id"),
+                    r6(F.coalesce("p.value", "value")).alias("value"), F.col("p.k").alias("k"))
 
 
 @register("json_pack", ev_sql("""
