@@ -266,14 +266,20 @@ def choose_landmarks(texts: list[bytes], toxic: np.ndarray, most: int, least: in
 def train_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, steps: int = 50) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps over the rows within the
     margin; the bias is an unpenalised column."""
-    a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w = weight / weight.sum()
-    ridge = np.diag(np.append(np.full(x.shape[1], penalty), 1e-9))
-    v, inside = np.zeros(a.shape[1]), np.ones(len(a), bool)
+    w, n = weight / weight.sum(), x.shape[1] + 1
+    ridge = np.diag(np.append(np.full(n - 1, penalty), 1e-9))
+    blocks = [slice(lo, lo + 8192) for lo in range(0, len(x), 8192)]
+    wide = lambda s: np.concatenate([x[s], np.ones((len(x[s]), 1))], axis=1, dtype=np.float64)
+    v, inside = np.zeros(n), np.ones(len(x), bool)
     for _ in range(steps):
-        part = a[inside]
-        v = np.linalg.solve((part * w[inside, None]).T @ part + ridge, part.T @ (w[inside] * y[inside]))
-        now = y * (a @ v) < 1
+        left, right = ridge.copy(), np.zeros(n)
+        for s in blocks:
+            a = wide(s) * inside[s, None]
+            aw = a * w[s, None]
+            left += aw.T @ a
+            right += aw.T @ y[s]
+        v = np.linalg.solve(left, right)
+        now = np.concatenate([y[s] * (wide(s) @ v) < 1 for s in blocks])
         if (now == inside).all():
             break
         inside = now
@@ -293,12 +299,15 @@ def train(texts: list[bytes], toxic: np.ndarray, most: int = 64, least: int = 5,
     rows: dict[tuple[int, int], np.ndarray] = {}
     for doc, sentence, words in units(texts, marks.near):
         kinds, at = np.unique(np.array(words, object), return_inverse=True) if words else ([], [])
-        known = marks.kernel(list(kinds))
+        known = marks.kernel(list(kinds)).astype(np.float32)
         for key, i in zip(zip(doc.tolist(), sentence.tolist()), at):
             if known[i].any():
                 rows[key] = rows.get(key, 0) + known[i]
     owner = np.array([d for d, _ in rows] + list(range(len(texts))))  # every document has a sentence without evidence
-    x = np.concatenate([np.array(list(rows.values())).reshape(-1, len(chosen)), np.zeros((len(texts), len(chosen)))]) @ nystroem
+    x = np.zeros((len(owner), nystroem.shape[1]), np.float32)
+    for i, k in enumerate(rows.values()):
+        x[i] = k @ nystroem
+    rows.clear()
     mark = toxic[owner]
     strength = x @ (nystroem.T @ gram[:, :explaining].sum(axis=1))
     for _ in range(rounds):
