@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from vigilo.llm.vector_dups import linked, near_duplicate_vectors, passes_for
+from vigilo.llm.vector_dups import all_links, chance_missed, codes, linked, log_shared, near_duplicate_vectors, passes_for, shared_bits, window_links
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -59,3 +59,56 @@ def test_threshold_and_passes():
     assert linked(u, np.array([[0.93, np.sqrt(1 - 0.93 ** 2)]]), 0.93)[0, 0]
     assert not linked(u, np.array([[0.9299, np.sqrt(1 - 0.9299 ** 2)]]), 0.93)[0, 0]
     assert passes_for(10, 128, 0.93, 0.005) == 8 < passes_for(10 ** 6, 128, 0.93, 0.005) < passes_for(10 ** 9, 128, 0.93, 0.005) < 200
+
+
+def test_crowded_label_loses_no_links(spark):
+    """A label in a narrow cone, and one whose third is a hot group, with planted pairs just above the threshold."""
+    pick = np.random.default_rng(3)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
+    n, pairs, dim = 6000, 200, 64
+    spread = unit(pick.standard_normal((2 * n, dim)))
+    narrow = lambda x, c: unit(np.sqrt(c) * unit(pick.standard_normal(dim)) + np.sqrt(1 - c) * x)
+    x = np.concatenate([narrow(spread[:n], 0.8), narrow(spread[n:n + n // 3], 0.85), spread[n + n // 3:]])
+    label = np.repeat([0, 1], n)
+    at = np.concatenate([pick.choice(n, pairs, False), n + pick.choice(n // 3, pairs, False)])
+    aside = pick.standard_normal((2 * pairs, dim))
+    aside = unit(aside - (aside * x[at]).sum(axis=1, keepdims=True) * x[at])
+    x, label = np.concatenate([x, 0.94 * x[at] + np.sqrt(1 - 0.94 ** 2) * aside]).astype(np.float32), np.concatenate([label, label[at]])
+    classes = spark.createDataFrame([(str(s), i, v.tolist()) for i, (s, v) in enumerate(zip(label, x))], "label string, cid long, vector array<float>").cache()
+    u = unit(x.astype(float))
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.93, 1))) if label[i] == label[j]}
+    parent = list(range(len(x)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    def recall(links):
+        parent[:] = range(len(x))
+        for r in links.collect():
+            parent[root(r.a)] = root(r.b)
+        return np.mean([root(i) == root(j) for i, j in want])
+
+    assert recall(all_links(classes, 0.93, 16, 0.005, 7, block=256)) >= 0.995
+    assert recall(all_links(classes, 0.93, 16, 0.005, 7, block=1 << 14)) == 1
+    passes = passes_for(n, 16, 0.93, 0.005)
+    once = window_links(codes(classes.withColumn("dim", F.size("vector")), passes, 7), passes, 7, 0.93, 16)
+    assert recall(once.where("b is not null")) < 0.97  # passes by size alone are not enough here
+
+
+def test_chance_missed_follows_the_codes():
+    code = np.sort(np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 4096))
+    shared = np.tile(np.arange(1, 65) * np.log(0.88), (4096, 1))
+    even = chance_missed(code, shared, 16, (True, True))
+    hot = chance_missed(np.sort(code >> 20), shared, 16, (True, True))
+    assert (even < 0).all() and even.mean() < 10 * hot.mean() and (chance_missed(code[:10], shared[:10], 16, (True, True)) < -20).all()
+    cut = chance_missed(code, shared, 16, (False, False))
+    assert (cut[:17] == 0).all() and (cut[-17:] == 0).all() and (cut[17:-17] == even[17:-17]).all()
+    assert shared_bits(np.array([0, -1, 5]), np.array([0, 0, 4])).tolist() == [64, 0, 63]
+    u = np.array([[1.0, 0.0, 0.0]])
+    z = np.random.default_rng(2).standard_normal((4000, 3)) * [0, 1, 1]
+    near = 0.93 * u + np.sqrt(1 - 0.93 ** 2) * z / np.sqrt((z * z).sum(axis=1, keepdims=True))
+    sides = np.random.default_rng(4).standard_normal((3, 4000))
+    own = np.mean((near * sides.T).sum(axis=1) * sides[0] > 0)
+    assert abs(own - np.mean([np.exp(log_shared(u, sides[:, i:i + 1], 0.93)[0, 0]) for i in range(4000)])) < 0.02
