@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from vigilo.llm.secrets import KINDS, redact, scan, written
+from vigilo.llm.secrets import FIND, KINDS, redact, scan, written
 
 from .helpers import awkward, empty
 
@@ -67,3 +67,27 @@ def test_awkward_rows(spark):
     assert redact(docs).columns == docs.columns and redact(docs).where("text = '<secret> <secret>'").count() == 2
     assert scan(empty(spark)).count() == 0 and redact(empty(spark)).count() == 0
     assert redact(docs).where(F.col("doc_id").isNull()).count() == 2
+
+
+def test_cheap_tests_fire_wherever_their_patterns_match(spark):
+    """Texts of one part each, as they are, in upper, lower and mixed case."""
+    names = ["user", "username", "login", "client_id", "clientid", "account_id", "accountid", "password", "passwd", "secret", "token", "api_key", "apikey"]
+    plain = [f"{n}{mark} admin_1" for n in names for mark in ("=", ": ", "\" :", "'=")] + [f"DB_{n}=svc_app" for n in names] + ["userName=bob1", "UserName: bob1"]
+    plain += [ACCESS, "0123456789abcdef" * 2, KEY, "https://x.example.com/a", "s3.amazonaws.com", "a-b.s3.amazonaws.com"]
+    texts = [f(t) for t in plain for f in (str, str.upper, str.lower, str.title, str.swapcase)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for kind, (pattern, test, least) in FIND.items():
+        size = F.expr("0") if not least else F.array_max(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.char_length))
+        has = F.col("text").rlike(pattern) & (size >= least)
+        assert df.where(has).count() > 0
+        assert [r.text for r in df.where(has & ~F.col("text").rlike(test)).collect()] == [], kind
+
+
+def test_logins_in_any_case(spark):
+    logins = ["USERNAME=admin", "DB_USERNAME: svc_app", "userName=bob1", "CLIENT_ID=abc1"]
+    df = spark.createDataFrame([(i, f"{t} {KEY} https://x.example.com/a") for i, t in enumerate(logins)], "doc_id long, text string")
+    for r in scan(df).select("doc_id", written("spans").alias("spans")).collect():
+        t = logins[r.doc_id]
+        start, end = (3 if t.startswith("DB_") else 0), len(t)
+        assert r.spans == f"login:{start}:{end},key:{end + 1}:{end + 40},endpoint:{end + 41}:{end + 64}", t
+    assert {r.text for r in redact(df).collect()} == {"<secret> <secret> <secret>", "DB_<secret> <secret> <secret>"}

@@ -60,7 +60,7 @@ FIND = {
     "assign": (ASSIGN, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", 0),
     "access": (ACCESS, r"AKIA[A-Z0-9]{12}", 16),
     "hex": (r"[0-9a-f]{32,}", r"[0-9a-f]{32}", 32),
-    "login": (LOGIN, r"(?i:user|login|client_?id|account_?id)[a-z]*[\"']?\x20*[:=]", 0),
+    "login": (LOGIN, r"""(?i:user(?:name)?|login|client_?id|account_?id)["']?\x20*[:=]""", 0),
     "key": (KEY, KEY, 20),
     "endpoint": (ENDPOINT, r"://|\.amazonaws\.com", 0),
 }
