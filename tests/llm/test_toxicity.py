@@ -76,6 +76,18 @@ def test_gapped_and_inserted_insults():
     assert s[0] > 0.7 and s[1] > 5 * s[2] and s[2] < 0.1 and s[3] < 0.1
 
 
+def test_spaced_insults_pass_the_cheap_test():
+    near = Landmarks([b"idiot", b"worthless"]).near
+    for text in (b"i d i o t", b"i - d - i - o - t", b"i  d  i  o  t", b"id - io - t", b"I, - D , I  - ot", b"w o r - th - le - ss", b"i\td\ti\to\tt"):
+        found = [w for _, _, words in units([b"The rering " + text + b" tion."], near) for w in words]
+        assert found == [bytes(c for c in text.lower() if 97 <= c <= 122)], text
+    assert [w for _, _, words in units([b"a - b - c - d", b"- - - -", b"to be or"], near) for w in words] == []
+    rows = made(1500, 4)
+    model = train([t.encode() for _, t, _ in rows], np.array([x == 1 for _, _, x in rows]))
+    plain, *spaced = model.scores([b"The rering. You idiot and moron are.", b"The rering. You i - d - i - o - t and m  o  r  o  n are.", b"The rering. You id - io - t and mo - ro - n are."])
+    assert plain > 0.7 and all(s > 0.7 for s in spaced)
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(5, None, 1), (1, 1, 0), (None, 1, 1), (2, 0, None)], "doc_id long, quality int, toxic int")

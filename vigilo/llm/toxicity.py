@@ -169,12 +169,14 @@ def units(texts: Iterable[bytes], near=None, size: int = 1 << 20) -> Iterator[tu
         first = np.flatnonzero(~same)
         stretch = np.diff(np.append(first, len(same)))
         run, stretch = first[stretch >= 3], stretch[stretch >= 3]
-        edges = np.stack([run, run + stretch], axis=1).ravel()
-        joined = [np.bitwise_or.reduceat(np.append(x, np.uint64(0)), edges)[::2] if len(run) else x[:0] for x in sets]
+        # runs are tested as the kernel sees them, without the blanks and marks between their letters
+        letters = data.translate(None, DROPPED)
+        spelled = [letters[a:b] for a, b in zip(held[start[run]].tolist(), held[end[run + stretch - 1]].tolist())]
+        joined = pair_sets_of(spelled)
         pick = np.flatnonzero(near(sets) if near else np.ones(len(start), bool))
         runs = np.flatnonzero(near(joined) if near else np.ones(len(run), bool))
         words = [data[a:b].translate(None, DROPPED) for a, b in zip(start[pick].tolist(), end[pick].tolist())]
-        words += [data[start[a]:end[a + n - 1]].translate(None, DROPPED) for a, n in zip(run[runs].tolist(), stretch[runs].tolist())]
+        words += [spelled[i] for i in runs.tolist()]
         where = np.concatenate([pick, run[runs]])
         yield doc[where], sentence[where], words
 
