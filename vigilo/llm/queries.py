@@ -234,3 +234,23 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(rows.withColumn("label", moved), every=50, positives=5, negatives=3, low=(50, 100), high=(95, 100), scale=256)
+
+
+OP11_SQL = r"""
+with d as (select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+v as (select r, doc_id, i, array_to_string(w[i:i + 19], ' ') as s from (select *, unnest(range(1, len(w) - 18)) as i from d)),
+c as (select r, i, s from (select *, rank() over (partition by s order by doc_id nulls last, i) as place from v) where place > 1),
+g as (select distinct r, unnest(range(i, i + 20)) as p from c),
+x as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+k as (select r, string_agg(word, ' ' order by p) as kept, count(*) as n from x anti join g using (r, p) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (r)
+"""
+
+
+@query("op11_substring_dedup", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .substrings import deduplicate
+    found = deduplicate(table(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
