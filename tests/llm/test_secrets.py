@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -91,3 +93,75 @@ def test_logins_in_any_case(spark):
         start, end = (3 if t.startswith("DB_") else 0), len(t)
         assert r.spans == f"login:{start}:{end},key:{end + 1}:{end + 40},endpoint:{end + 41}:{end + 64}", t
     assert {r.text for r in redact(df).collect()} == {"<secret> <secret> <secret>", "DB_<secret> <secret> <secret>"}
+
+
+PARTS = f"user=bob1 password=hunter2222 {KEY} s3.amazonaws.com https://x.example.com/a "
+LONG_TEXTS = {
+    "dotted run": PARTS + "a." * 50_000 + "a",
+    "dotted host": PARTS + "a." * 50_000 + "s3.amazonaws.com",
+    "one letter": PARTS + "a" * 1_000_000,
+    "one letter that is no host": PARTS + "a" * 1_000_000 + ".amazonaws.co",
+    "scheme letters": PARTS + "a+" * 200_000 + "://x",
+    "blanks": "token" + " " * 500_000 + PARTS + "login" + " " * 500_000,
+    "many keywords": PARTS + "token " * 100_000,
+    "hex": PARTS + "0123456789abcdef" * 40_000,
+    "capitals": PARTS + "AKIA" * 100_000,
+    "many secrets": "password=12345678 " * 40_000,
+    "many hosts": PARTS + "s3.amazonaws.com " * 20_000,
+}
+
+
+def test_very_long_texts(spark):
+    """Runs of one kind beside a login, a secret and an endpoint neither end the executor nor take more than time in proportion."""
+    df = spark.createDataFrame(list(enumerate(LONG_TEXTS.values())), "doc_id long, text string")
+    begin = time.time()
+    got = {r.doc_id: r for r in scan(df).select("doc_id", "base", F.size("spans").alias("n"), F.slice("spans", 1, 5).alias("spans")).collect()}
+    for i, text in enumerate(LONG_TEXTS.values()):
+        assert [(s.start, s.kind, s.end) for s in got[i].base] == base(text)
+        if text.startswith(PARTS):
+            assert [KINDS[s.kind] for s in got[i].spans] == ["login", "assign", "key", "endpoint", "endpoint"]
+    clean = {r.doc_id: r.text for r in redact(df).collect()}
+    assert clean[list(LONG_TEXTS).index("many secrets")] == "<secret> " * 40_000
+    assert clean[0] == "<secret> <secret> <secret> <secret> <secret> " + "a." * 50_000 + "a"
+    assert time.time() - begin < 120
+
+
+def test_time_grows_with_the_text(spark):
+    took = {}
+    for size in (1, 2, 4):
+        df = spark.createDataFrame([(0, PARTS + "z" * 300_000 * size + " " + "z." * 100_000 * size)], "doc_id long, text string")
+        begin = time.time()
+        assert scan(df).count() == 1 and scan(df).selectExpr("sum(size(spans))").first()[0] == 5
+        took[size] = time.time() - begin
+    assert took[4] < 4 * took[1] + 10
+
+
+LOGIN = re.compile(r"""(?i:user(?:name)?|login|client_?id|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}""")
+URLS = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]+""")
+HOSTS = re.compile(r"(?<![a-z0-9.-])[a-z0-9.-]+\.amazonaws\.com")
+
+
+def all_spans(text, scope):
+    """Every candidate against every other one."""
+    strong = base(text)
+    urls = [(m.start(), m.end()) for m in URLS.finditer(text)]
+    hosts = [(m.start(), m.end()) for m in HOSTS.finditer(text) if not any(a <= m.start() < b for a, b in urls)]
+    weak = [(m.start(), 3, m.end()) for m in LOGIN.finditer(text)]
+    weak += [(m.start(), 4, m.end()) for m in re.finditer("[A-Za-z0-9+/]{20,}", text) if all(re.search(c, m[0]) for c in ("[A-Z]", "[a-z]", "[0-9]"))]
+    weak += [(a, 5, b) for a, b in urls + hosts]
+    found = list(strong)
+    for start, kind, end in weak:
+        near = {k for a, k, _ in strong + weak if abs(a - start) <= scope}
+        secret, identity, login = bool(near & {0, 2}), 1 in near, 3 in near
+        if {3: secret or (4 in near and 5 in near), 4: identity or (login and 5 in near), 5: (identity or login) and (secret or 4 in near)}[kind]:
+            found.append((start, kind, end))
+    return sorted(found)
+
+
+def test_linking_against_brute_force(spark):
+    rng = random.Random(5)
+    atoms = ["user=bob_1", "login: ann", ACCESS, KEY, "password=abcdefgh12", "token=short", "0123456789abcdef" * 2, "https://x.example.com/a", "s3.amazonaws.com", "db.s3.amazonaws.com.", "éé", "word", "x" * 30, "amqp://s3.amazonaws.com/q"]
+    texts = [" ".join(rng.choice(atoms) + " " * rng.choice((0, 3, 40)) for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in scan(df, scope=60).collect():
+        assert [(s.start, s.kind, s.end) for s in r.spans] == all_spans(texts[r.doc_id], 60), texts[r.doc_id]

@@ -5,7 +5,7 @@ where complementary parts lie within ``scope`` code points of each other in a do
 
 * ``login``: a user or client name, beside a strong secret, or beside a weak one and an endpoint;
 * ``key``: a mixed run of letters and digits, beside an access identifier, or beside a login and an endpoint;
-* ``endpoint``: an address, beside an identifier and a secret of any strength.
+* ``endpoint``: an address (a url, or a host of its own outside of urls), beside an identifier and a secret of any strength.
 
 Parts meet in an interval join: parts are pre-aggregated by document and interval to their first and last place,
 and each candidate meets its own interval and the two beside it, so it meets three rows at most for each role.
@@ -28,7 +28,9 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LOGIN = r"""(?i:user(?:name)?|login|client_?id|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""
 KEY = r"[A-Za-z0-9+/]{20,}"
-ENDPOINT = r"""(?:[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com)"""
+URL = r"""[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]+"""
+#: A run is tried once, from its start; no group is repeated, so Java's matcher doesn't recurse.
+HOST = r"(?<![a-z0-9.-])[a-z0-9.-]+\.amazonaws\.com"
 KINDS = ["assign", "access", "hex", "login", "key", "endpoint"]
 BLOCK = 512
 
@@ -55,6 +57,18 @@ def summed(steps: str) -> str:
     return f"flatten(transform({before}, {inside}))"
 
 
+def outside(hosts: str, urls: str) -> str:
+    """SQL for the urls and those hosts that lie in none: both are in order, so each host needs the last url that starts
+    before it, found among all starts at once."""
+    starts = f"array_sort(concat(transform({urls}, x -> named_struct('start', x.start, 'host', 0, 'end', x.end)), transform({hosts}, x -> named_struct('start', x.start, 'host', 1, 'end', x.end))))"
+    inside = (f"(x, b) -> aggregate(slice(s, b * {BLOCK} + 1, {BLOCK}), named_struct('at', x, 'out', cast(array() as {SPAN})), (a, y) -> named_struct("
+              "'at', if(y.host = 0, greatest(a.at, y.end), a.at), 'out', if(y.host = 0 or y.start >= a.at, array_append(a.out, named_struct('start', y.start, 'end', y.end)), a.out)), a -> a.out)")
+    blocks = f"transform(sequence(0, greatest(0, size(s) - 1) div {BLOCK}), b -> aggregate(slice(s, b * {BLOCK} + 1, {BLOCK}), 0, (a, y) -> if(y.host = 0, greatest(a, y.end), a)))"
+    before = f"aggregate({blocks}, cast(array(0) as array<int>), (a, t) -> array_append(a, greatest(element_at(a, -1), t)))"
+    found = f"transform(array({starts}), s -> flatten(transform({before}, {inside})))[0]"
+    return f"if(size({hosts}) = 0, {urls}, {found})"
+
+
 #: Of each kind: its pattern, a cheap test that a text may have it, and the least size of a match.
 FIND = {
     "assign": (ASSIGN, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", 0),
@@ -62,7 +76,8 @@ FIND = {
     "hex": (r"[0-9a-f]{32,}", r"[0-9a-f]{32}", 32),
     "login": (LOGIN, r"""(?i:user(?:name)?|login|client_?id|account_?id)["']?\x20*[:=]""", 0),
     "key": (KEY, KEY, 20),
-    "endpoint": (ENDPOINT, r"://|\.amazonaws\.com", 0),
+    "url": (URL, r"[a-z0-9+.-]://", 0),
+    "host": (HOST, r"\.amazonaws\.com", 0),
 }
 
 
@@ -75,15 +90,16 @@ def scan(docs: DataFrame, text: str = "text", carry: tuple = ("doc_id",), scope:
     may = {k: F.col("text").rlike(test) for k, (_, test, _) in FIND.items()}
     rows = rows.select(*kept, "text", *[may[k].alias(f"may_{k}") for k in FIND])
     secret, identity = "(may_assign or may_hex or may_key)", "(may_access or may_login)"
-    needed = {"assign": "may_assign", "access": "may_access", "hex": "may_hex", "login": f"may_login and {secret}", "key": f"may_key and {identity}", "endpoint": f"may_endpoint and {secret} and {identity}"}
+    needed = {"assign": "may_assign", "access": "may_access", "hex": "may_hex", "login": f"may_login and {secret}", "key": f"may_key and {identity}", "url": f"may_url and {secret} and {identity}", "host": f"may_host and {secret} and {identity}"}
     none = "cast(array() as array<struct<gap:int,size:int>>)"
     steps = [F.when(F.expr(needed[k]), matches(F.col("text"), FIND[k][0])).otherwise(F.expr(none)).alias(f"steps_{k}") for k in FIND]
     values = F.when(F.col("may_assign"), F.transform(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.char_length)).otherwise(F.expr("cast(array() as array<int>)"))
     keys = F.when(F.expr(needed["key"]), F.transform(F.regexp_extract_all("text", F.lit(KEY), F.lit(0)), mixed)).otherwise(F.expr("cast(array() as array<boolean>)"))
     rows = rows.select(*kept, F.sha2("text", 256).alias("digest"), *steps, values.alias("values"), keys.alias("mixed"))
     rows = rows.select(*kept, "digest", "values", "mixed", *[F.expr(f"if(size(steps_{k}) = 0, cast(array() as {SPAN}), {summed(f'steps_{k}')})").alias(k) for k in FIND])
+    rows = rows.withColumn("endpoint", F.expr(outside("host", "url")))
     keep = {"assign": "filter(assign, (x, i) -> values[i] >= 8)", "key": "filter(key, (x, i) -> mixed[i])"}
-    part = {k: f"transform({keep.get(k) or f'filter({k}, x -> x.end - x.start >= {FIND[k][2]})'}, x -> named_struct('start', x.start, 'kind', {i}, 'end', x.end))" for i, k in enumerate(KINDS)}
+    part = {k: f"transform({keep.get(k) or f'filter({k}, x -> x.end - x.start >= {FIND[k][2] if k in FIND else 0})'}, x -> named_struct('start', x.start, 'kind', {i}, 'end', x.end))" for i, k in enumerate(KINDS)}
     rows = rows.select(*kept, "digest", F.expr(f"array_sort(concat({', '.join(part[k] for k in KINDS[:3])}))").alias("base"), F.expr(f"concat({', '.join(part[k] for k in KINDS[3:])})").alias("weak"))
     rows = materialise(rows, "secret-parts")
     links = materialise(linked(rows.where("size(weak) > 0"), scope), "secret-links")
@@ -125,10 +141,12 @@ def redact(docs: DataFrame, mark: str = "<secret>", scope: int = 256) -> DataFra
     spans, at = free_name(docs, "spans"), list(docs.columns)
     found = scan(docs, "text", tuple(at), scope).toDF(*[f"c{i}" for i in range(len(at))], "base", spans)
     text = f"c{at.index('text')}"
-    merged = (f"aggregate({spans}, cast(array() as {SPAN}), (a, x) -> if(size(a) > 0 and x.start <= element_at(a, -1).end, "
-              "concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))), "
-              "array_append(a, named_struct('start', x.start, 'end', x.end))))")
-    found = found.withColumn("merged", F.expr(merged))
-    pieces = f"transform(merged, (x, i) -> concat(substring({text}, if(i = 0, 0, merged[i - 1].end) + 1, x.start - if(i = 0, 0, merged[i - 1].end)), '{mark}'))"
-    clean = F.expr(f"if(size(merged) = 0, {text}, concat(array_join({pieces}, ''), substring({text}, element_at(merged, -1).end + 1)))")
+    # in blocks of spans: each has the text from the end of all spans before it to the end of its own
+    ends = f"transform(sequence(0, greatest(0, size({spans}) - 1) div {BLOCK}), b -> aggregate(slice({spans}, b * {BLOCK} + 1, {BLOCK}), 0, (a, x) -> greatest(a, x.end)))"
+    found = found.withColumn("ends", F.expr(f"aggregate({ends}, cast(array(0) as array<int>), (a, t) -> array_append(a, greatest(element_at(a, -1), t)))"))
+    parts = f"transform(ends, (e, b) -> substring({text}, e + 1, if(b + 1 < size(ends), ends[b + 1] - e, 0)))"
+    found = found.withColumn("parts", F.expr(parts))
+    blank = (f"aggregate(slice({spans}, b * {BLOCK} + 1, {BLOCK}), named_struct('at', ends[b], 'out', cast(array() as array<string>)), (a, x) -> named_struct('at', greatest(a.at, x.end), 'out', "
+             f"if(x.start > a.at or a.at = 0, array_append(a.out, concat(substring(part, a.at - ends[b] + 1, x.start - a.at), '{mark}')), a.out)), a -> array_join(a.out, ''))")
+    clean = F.expr(f"if(size({spans}) = 0, {text}, concat(array_join(transform(parts, (part, b) -> {blank}), ''), substring({text}, element_at(ends, -1) + 1)))")
     return found.withColumn(text, clean).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(at)])
