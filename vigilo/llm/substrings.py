@@ -23,14 +23,15 @@ all others; rows come out as often as they came; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_rows, filesystem, materialise, shared_dir, text_of, write_whole
@@ -38,127 +39,159 @@ from .common import byte_rows, filesystem, materialise, shared_dir, text_of, wri
 GRAM = 6
 HOT = 2000  # passages of an anchor that may meet in one shard
 SHARD = 2000  # distinct passages of a shard, on average
-SLICE = 1 << 21  # bytes of text that are numbered together
+SLICE = 1 << 20  # bytes of text that are numbered together
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
-MASK = (1 << 64) - 1
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = (1 << 63) - 1  # null ids come last
 
 
-class Hashes(dict):
-    """64-bit numbers of words, remembered for a bounded number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def slices(data: bytes, window: int) -> Iterator[tuple[int, list[bytes]]]:
-    """The words of a text in bounded lists, each with its first word's place; a list starts with the last
-    ``window - 1`` words of the one before."""
-    at, lo, before = 0, 0, []
+def slices(data: bytes, window: int) -> Iterator[tuple[int, bytes]]:
+    """Bounded parts of a text, each with its first word's place; a part starts with the last ``window - 1`` words
+    of the one before."""
+    at, lo, before = 0, 0, b""
     while lo < len(data):
         cut = BLANK.search(data, lo + SLICE) if lo + SLICE < len(data) else None
         hi = cut.start() if cut else len(data)
-        words = before + data[lo:hi].split()
-        yield at, words
-        keep = min(len(words), window - 1)
-        at, before, lo = at + len(words) - keep, words[len(words) - keep:], hi
+        yield at, before + data[lo:hi]
+        if hi < len(data):
+            words = (before + data[lo:hi]).split()
+            keep = min(len(words), window - 1)
+            at, before = at + len(words) - keep, b"".join(w + b" " for w in words[len(words) - keep:])
+        lo = hi
+
+
+_POWERS: list = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``FACTOR`` and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((int(FACTOR), pow(int(FACTOR), -1, 1 << 64))):
+            steps = np.full(2 * n, base, np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.multiply.accumulate(steps)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Numbers of all runs of ``n`` words; a run that passes the end counts as if zeros followed."""
-    out = np.zeros(len(h), np.uint64)
-    for j in range(n):
-        out *= FACTOR
-        out[:len(h) - j] += h[j:]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(29))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def run_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Numbers of the runs ``values[lo:hi]``, alike for equal runs wherever they are."""
+    up, down = powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values.astype(np.uint64) * up[1:], out=total[1:])
+    return mixed((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+
+#: The bytes that part words.
+PARTS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def least_places(g: np.ndarray, width: int) -> np.ndarray:
     """For every place the first place of the least of ``width`` numbers from there on (fewer at the end)."""
-    value, place, have = g.copy(), np.arange(len(g)), 1
+    value, place, have = g.copy(), np.arange(len(g), dtype=np.int32), 1
     while have < width:
         step = min(have, width - have)
-        right, at = value[step:], place[step:]
-        take = right < value[:len(value) - step]
-        value[:len(value) - step] = np.where(take, right, value[:len(value) - step])
-        place[:len(place) - step] = np.where(take, at, place[:len(place) - step])
+        n = max(0, len(value) - step)
+        take = value[step:] < value[:n]
+        value[:n] = np.where(take, value[step:], value[:n])
+        place[:n] = np.where(take, place[step:], place[:n])
         have += step
     return place
 
 
-class Anchored:
-    """Runs of windows that share an anchor, of a list of texts."""
-
-    def __init__(self, window: int):
-        self.window, self.known = window, Hashes()
-
-    def runs(self, texts: list[bytes]) -> Iterator[tuple]:
-        """``(owner, at, words, hashes, anchor, first, size)``, arrays of a bounded part of the texts: the text, its place of the
-        words' first, and for each run of windows the anchor's number, its first window in ``words`` and their number."""
-        parts, size = [], 0
-        for k, text in enumerate(texts):
-            for at, words in slices(text, self.window):
-                if len(words) >= self.window:
-                    parts.append((k, at, words))
-                    size += len(words)
-                if size >= 1 << 19:
-                    yield self._runs(parts)
-                    parts, size = [], 0
-        if parts:
-            yield self._runs(parts)
-
-    def _runs(self, parts: list[tuple]) -> tuple:
-        words = [w for p in parts for w in p[2]]
-        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        length = np.array([len(p[2]) for p in parts])
-        start = np.cumsum(length) - length
-        g = grams(h, GRAM)
-        place = least_places(g, self.window - GRAM + 1)
-        owner = np.repeat(np.arange(len(parts)), length)
-        sound = np.flatnonzero(np.arange(len(words)) + self.window <= (start + length)[owner])
-        edge = np.flatnonzero(np.concatenate([[True], place[sound][1:] != place[sound][:-1]]))
-        first = sound[edge]
-        size = np.diff(np.concatenate([edge, [len(sound)]]))
-        text = np.array([p[0] for p in parts])[owner[first]]
-        offset = np.array([p[1] for p in parts])[owner[first]] - start[owner[first]]
-        return text, offset, words, h, g[place[first]].view(np.int64), first, size
+@dataclass
+class Runs:
+    """Runs of windows that share an anchor, of a part of some texts: for each its text, its first window's place there, its
+    anchor's number, its first word in ``data`` and the number of its windows.  ``start`` and ``end`` are the words' bytes."""
+    data: bytes
+    start: np.ndarray
+    end: np.ndarray
+    hashes: np.ndarray
+    text: np.ndarray
+    at: np.ndarray
+    anchor: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+
+    def words(self, lo: int, n: int) -> bytes:
+        return b" ".join(self.data[self.start[lo]:self.end[lo + n - 1]].split())
+
+
+def runs_of(texts: list[bytes], window: int) -> Iterator[Runs]:
+    parts, size = [], 0
+    for k, text in enumerate(texts):
+        for at, part in slices(text, window):
+            parts.append((k, at, part))
+            size += len(part)
+            if size >= SLICE:
+                yield _runs(parts, window)
+                parts, size = [], 0
+    if parts:
+        yield _runs(parts, window)
+
+
+def _runs(parts: list[tuple], window: int) -> Runs:
+    data = b" ".join(p[2] for p in parts)
+    byte = np.frombuffer(data, np.uint8)
+    blank = PARTS[byte]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
+    start, end = edge[::2], edge[1::2]
+    hashes = run_hashes(byte, start, end)
+    size = np.array([len(p[2]) + 1 for p in parts])
+    owner = np.searchsorted(np.cumsum(size), start, side="right")
+    place = np.arange(len(start))
+    grams = run_hashes(hashes, place, np.minimum(place + GRAM, len(start)))
+    least = least_places(grams, window - GRAM + 1)
+    whole = max(0, len(start) - window + 1)
+    sound = np.flatnonzero(owner[:whole] == owner[window - 1:])
+    edge = np.flatnonzero(np.concatenate([[True], least[sound][1:] != least[sound][:-1]])) if len(sound) else sound
+    first = sound[edge]
+    count = np.diff(np.concatenate([edge, [len(sound)]]))
+    mine = owner[first]
+    before = np.searchsorted(owner, mine)  # the first word of the part
+    return Runs(data, start, end, hashes, np.array([p[0] for p in parts])[mine], np.array([p[1] for p in parts])[mine] + first - before, grams[least[first]].view(np.int64), first, count)
 
 
 class Automaton:
-    """A suffix automaton of passages (lists of word numbers), with the first place of every window."""
+    """A suffix automaton of passages (lists of word numbers).  ``origin`` holds for every state the passage and the end
+    there of the first match that led to it."""
 
     def __init__(self):
-        self.length, self.link, self.next = [0], [-1], [{}]
-
-    def _state(self, length: int, link: int, following: dict) -> int:
-        self.length.append(length)
-        self.link.append(link)
-        self.next.append(following)
-        return len(self.length) - 1
+        self.length, self.link, self.next, self.origin = [0], [-1], [{}], [(0, 0)]
 
     def _split(self, p: int, word: int, q: int) -> int:
-        clone = self._state(self.length[p] + 1, self.link[q], self.next[q].copy())
-        self.link[q] = clone
-        while p >= 0 and self.next[p].get(word) == q:
-            self.next[p][word] = clone
-            p = self.link[p]
+        following, link = self.next, self.link
+        clone = len(self.length)
+        self.length.append(self.length[p] + 1)
+        link.append(link[q])
+        following.append(following[q].copy())
+        self.origin.append(self.origin[q])
+        link[q] = clone
+        while p >= 0 and following[p].get(word) == q:
+            following[p][word] = clone
+            p = link[p]
         return clone
 
-    def add(self, passage: list[int]) -> None:
-        length, link, following = self.length, self.link, self.next
+    def add(self, number: int, passage: list[int]) -> None:
+        length, link, following, origin = self.length, self.link, self.next, self.origin
         last = 0
-        for word in passage:
+        for end, word in enumerate(passage):
             q = following[last].get(word)
             if q is not None:  # known from another passage
                 last = q if length[q] == length[last] + 1 else self._split(last, word, q)
                 continue
-            state = self._state(length[last] + 1, 0, {})
+            state = len(length)
+            length.append(length[last] + 1)
+            link.append(0)
+            following.append({})
+            origin.append((number, end))
             p = last
             while p >= 0:
                 q = following[p].get(word)
@@ -169,71 +202,83 @@ class Automaton:
                 p = link[p]
             last = state
 
-    def window_states(self, passage: list[int], window: int) -> Iterator[tuple[int, int]]:
-        """Matching statistics: ``(end, state)`` for every place where the longest match that ends there has a window's length;
-        the state is the one of its last ``window`` words."""
-        return window_states(self.length, self.link, self.next, passage, window)
-
 
-def window_states(length, link, following, passage: list[int], window: int) -> Iterator[tuple[int, int]]:
-    state, matched = 0, 0
-    for end, word in enumerate(passage):
-        while state and word not in following[state]:
-            state = link[state]
-            matched = length[state]
-        if word in following[state]:
-            state = following[state][word]
-            matched += 1
-        else:
-            matched = 0
-        if matched >= window:
-            while length[link[state]] >= window:
+class Shard:
+    """An automaton for matching statistics, its vocabulary, and for each state of a window's words the first
+    (document, word) where these start."""
+
+    def __init__(self, vocabulary: dict, length: list, link: list, moves: dict, first: dict):
+        self.vocabulary, self.length, self.link, self.moves, self.first = vocabulary, length, link, moves, first
+
+    def window_states(self, words: bytes, window: int) -> Iterator[tuple[int, int]]:
+        """Matching statistics: ``(start, state)`` for every place where the longest match has a window's length; the state
+        is the one of the window's words alone."""
+        moves, link, length, wide = self.moves.get, self.link, self.length, len(self.vocabulary)
+        state, matched = 0, 0
+        for end, word in enumerate(map(self.vocabulary.get, words.split(b" "))):
+            if word is None:
+                state = matched = 0
+                continue
+            to = moves(state * wide + word)
+            while to is None and state:
                 state = link[state]
                 matched = length[state]
-            yield end, state
-
-
-class Shard:
-    """An automaton with its vocabulary and, for each state of a window's words, the first (id, word) where these start."""
-
-    def __init__(self, passages: list[tuple[bytes, int, int]], window: int):
-        """``passages``: words joined by blanks, the first document's id and the place there."""
-        self.vocabulary: dict[bytes, int] = {}
-        self.first: dict[int, tuple[int, int]] = {}
-        number = self.vocabulary.setdefault
-        lists = [[number(w, len(self.vocabulary)) for w in p[0].split(b" ")] for p in passages]
-        made = Automaton()
-        for passage in lists:
-            made.add(passage)
-        self.length, self.link, self.next = made.length, made.link, made.next
-        for passage, (_, doc, at) in zip(lists, passages):
-            for end, state in made.window_states(passage, window):
-                here = doc, at + end - window + 1
-                if here < self.first.get(state, (NO_ID, NO_ID)):
-                    self.first[state] = here
+                to = moves(state * wide + word)
+            if to is None:
+                continue
+            state = to
+            matched += 1
+            if matched >= window:
+                while length[link[state]] >= window:
+                    state = link[state]
+                    matched = length[state]
+                yield end - window + 1, state
 
     def copies(self, words: bytes, doc: int, at: int, window: int) -> int:
         """Bits of the windows of a passage at this place that start earlier elsewhere."""
-        get = self.vocabulary.get
-        passage = [get(w, -1) for w in words.split(b" ")]
-        bits = 0
-        for end, state in window_states(self.length, self.link, self.next, passage, window):
-            start = end - window + 1
-            if self.first.get(state, (NO_ID, NO_ID)) < (doc, at + start):
+        bits, first = 0, self.first
+        for start, state in self.window_states(words, window):
+            if first[state] < (doc, at + start):
                 bits |= 1 << start
         return bits
 
-    def write(self, sink) -> None:
-        """As an Arrow stream: transitions, states and words."""
-        source = np.repeat(np.arange(len(self.next)), [len(x) for x in self.next])
-        flat = lambda values: np.fromiter((v for x in self.next for v in values(x)), np.int32, len(source))
-        tables = [pa.table({"source": pa.array(source.astype(np.int32)), "word": flat(dict.keys), "target": flat(dict.values)}),
-                  pa.table({"length": pa.array(self.length, pa.int32()), "link": pa.array(self.link, pa.int32())}),
-                  pa.table({"word": pa.array(list(self.vocabulary), pa.binary())}),
-                  pa.table({"state": pa.array(list(self.first), pa.int32()), "doc": pa.array([x[0] for x in self.first.values()], pa.int64()), "at": pa.array([x[1] for x in self.first.values()], pa.int64())})]
-        for t in tables:
+    @classmethod
+    def of(cls, passages: list[tuple[bytes, int, int]], window: int) -> tuple[Shard, Automaton]:
+        """``passages``: words joined by blanks, the document's id and the place there, in the order of document and place."""
+        vocabulary: dict[bytes, int] = {}
+        made = Automaton()
+        for i, (words, _, _) in enumerate(passages):
+            made.add(i, [vocabulary.setdefault(w, len(vocabulary)) for w in words.split(b" ")])
+        wide, length, link = len(vocabulary), made.length, made.link
+        first = {}
+        for state, (i, end) in enumerate(made.origin):
+            if length[state] >= window > length[link[state]]:
+                _, doc, at = passages[i]
+                first[state] = doc, at + end - window + 1
+        out = cls(vocabulary, length, link, {}, first)
+        # texts of one id may overlap; then what was added first needn't start first
+        late = [i for i in range(1, len(passages)) if passages[i][1] == passages[i - 1][1] and passages[i][2] < passages[i - 1][2] + window]
+        if late:
+            docs = {passages[i][1] for i in late}
+            out.moves = {state * wide + word: to for state, following in enumerate(made.next) for word, to in following.items()}
+            for words, doc, at in passages:
+                if doc in docs:
+                    for start, state in out.window_states(words, window):
+                        first[state] = min(first[state], (doc, at + start))
+        return out, made
+
+    def write(self, made: Automaton, sink) -> None:
+        """Transitions, states, words and first places as Arrow streams.  Most transitions lead to the next state, so
+        differences are small numbers that compress well."""
+        n = np.fromiter(map(len, made.next), np.int32, len(made.next))
+        source = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        flat = lambda values: np.fromiter((v for x in made.next for v in values(x)), np.int32, len(source))
+        state = np.fromiter(self.first, np.int32, len(self.first))
+        doc, at = (np.fromiter((x[i] for x in self.first.values()), np.int64, len(state)) for i in (0, 1))
+        for t in (pa.table({"word": flat(dict.keys), "step": flat(dict.values) - source}), pa.table({"moves": n, "grown": np.diff(np.array(self.length, np.int32), prepend=np.int32(0)), "link": np.array(self.link, np.int32)}),
+                  pa.table({"word": pa.array(list(self.vocabulary), pa.binary())}), pa.table({"state": np.diff(state, prepend=np.int32(0)), "doc": np.diff(doc, prepend=np.int64(0)), "at": np.diff(at, prepend=np.int64(0))})):
             buffer = pa.BufferOutputStream()
-            with pa.ipc.new_stream(buffer, t.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+            with pa.ipc.new_stream(buffer, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(t)
             body = buffer.getvalue()
             sink.write(len(body).to_bytes(8, "little"))
@@ -246,14 +291,12 @@ class Shard:
             size = int.from_bytes(source.read(8), "little")
             tables.append(pa.ipc.open_stream(pa.py_buffer(source.read(size))).read_all())
         moves, states, words, first = tables
-        out = cls.__new__(cls)
-        out.length, out.link = states["length"].to_pylist(), states["link"].to_pylist()
-        out.next = [{} for _ in out.length]
-        for a, w, b in zip(*(moves[c].to_pylist() for c in ("source", "word", "target"))):
-            out.next[a][w] = b
-        out.vocabulary = {w: i for i, w in enumerate(words["word"].to_pylist())}
-        out.first = dict(zip(first["state"].to_pylist(), zip(first["doc"].to_pylist(), first["at"].to_pylist())))
-        return out
+        vocabulary = {w: i for i, w in enumerate(words["word"].to_pylist())}
+        n = states["moves"].to_numpy()
+        state = np.repeat(np.arange(len(n)), n)
+        key, target = state * len(vocabulary) + moves["word"].to_numpy(), state + moves["step"].to_numpy()
+        at, doc, place = (np.cumsum(first[c].to_numpy()).tolist() for c in ("state", "doc", "at"))
+        return cls(vocabulary, np.cumsum(states["grown"].to_numpy()).tolist(), states["link"].to_pylist(), dict(zip(key.tolist(), target.tolist())), dict(zip(at, zip(doc, place))))
 
 
 def batch_of(columns: list, names: list[str]) -> pa.RecordBatch:
@@ -261,17 +304,23 @@ def batch_of(columns: list, names: list[str]) -> pa.RecordBatch:
 
 
 def anchors(texts: DataFrame, window: int) -> DataFrame:
-    """``h, k, n``: the anchors of each text and how often it has them."""
+    """``h, k, n``: the anchors of each text and how often it has them; of one that it has twice, there is a
+    second row of a text ``~k``, so that an anchor is repeated where its texts differ."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchored = Anchored(window)
         for b in batches:
             key = b.column(0).to_numpy()
-            for text, _, _, _, h, _, _ in anchored.runs([bytes(t) for t in byte_rows(b.column(1))]):
-                pairs, n = np.unique(np.stack([h, key[text]]), axis=1, return_counts=True)
-                for lo in range(0, pairs.shape[1], 65_536):
+            for found in runs_of([bytes(t) for t in byte_rows(b.column(1))], window):
+                order = np.lexsort((found.anchor, found.text))
+                h, k = found.anchor[order], found.text[order]
+                edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])) if len(h) else np.zeros(0, np.int64)
+                n = np.diff(np.concatenate([edge, [len(h)]]))
+                h, k = h[edge], key[k[edge]]
+                twice = n > 1
+                h, k, n = np.concatenate([h, h[twice]]), np.concatenate([k, ~k[twice]]), np.concatenate([n, np.zeros(int(twice.sum()), np.int64)])
+                for lo in range(0, len(h), 65_536):
                     s = slice(lo, lo + 65_536)
-                    yield batch_of([pairs[0, s], pairs[1, s], n[s]], ["h", "k", "n"])
+                    yield batch_of([h[s], k[s], n[s]], ["h", "k", "n"])
 
     return texts.select("k", "text").mapInArrow(task, "h long, k long, n long")
 
@@ -280,49 +329,48 @@ def passages(texts: DataFrame, window: int) -> DataFrame:
     """``g, d, size, words, doc, k, k1, at`` of ``texts(k, k1, doc, text, anchors, hot)``: every run of windows of a repeated
     anchor.  ``g`` says with whom it meets, ``d`` is a digest of its words; a task gives the words of a passage once."""
 
+    def chosen(found: Runs, lists: list) -> np.ndarray:
+        """The runs whose anchor is in their text's list."""
+        text = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        flat = np.concatenate([*lists, np.zeros(0, np.int64)])
+        wanted = np.unique(run_pairs(text, flat))
+        mine = run_pairs(found.text, found.anchor)
+        return np.flatnonzero(wanted[np.searchsorted(wanted, mine).clip(0, len(wanted) - 1)] == mine) if len(wanted) else np.zeros(0, np.int64)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchored, given = Anchored(window), set()
+        given: set = set()
         for b in batches:
             key, key1, doc = (b.column(i).to_numpy() for i in range(3))
-            wanted = [np.sort(np.array(x or [], np.int64)) for x in b.column(4).to_pylist()]
-            hot = [np.sort(np.array(x or [], np.int64)) for x in b.column(5).to_pylist()]
-            for text, offset, words, hashes, h, first, size in anchored.runs([bytes(t) for t in byte_rows(b.column(3))]):
-                code = grams(hashes, window).view(np.int64)
-                rows = []
-                for k in np.unique(text).tolist():
-                    mine = np.arange(np.searchsorted(text, k), np.searchsorted(text, k, side="right"))
-                    for many, some in ((False, wanted[k]), (True, hot[k])):
-                        if len(some):
-                            fit = mine[some[np.searchsorted(some, h[mine]).clip(0, len(some) - 1)] == h[mine]]
-                            rows += [(k, many, i) for i in fit.tolist()]
-                out = []
-                for k, many, i in rows:
-                    lo, n = int(first[i]), int(size[i])
-                    for at, count in ((lo, n),) if not many else ((lo + j, 1) for j in range(n)):
-                        piece = b" ".join(words[at:at + count + window - 1])
-                        d = xxhash.xxh64_intdigest(piece, 1) - (1 << 63)
-                        g = int(code[at]) if many else int(h[i])
-                        new = (g, d) not in given
-                        if new:
-                            if len(given) >= 1 << 19:
-                                given.clear()
-                            given.add((g, d))
-                        out.append((g, d, count, piece if new else None, k, at + int(offset[i])))
-                    if len(out) >= 20_000:
-                        yield made(out, key, key1, doc)
-                        out = []
-                if out:
-                    yield made(out, key, key1, doc)
-
-    def made(rows: list, key, key1, doc) -> pa.RecordBatch:
-        g, d, size, words, k, at = zip(*rows)
-        k = np.array(k)
-        return batch_of([pa.array(g, pa.int64()), pa.array(d, pa.int64()), pa.array(size, pa.int32()), pa.array(words, pa.binary()), key[k], key1[k], doc[k], pa.array(at, pa.int64())],
-                        ["g", "d", "size", "words", "k", "k1", "doc", "at"])
+            some, hot = ([np.array(x or [], np.int64) for x in b.column(i).to_pylist()] for i in (4, 5))
+            for found in runs_of([bytes(t) for t in byte_rows(b.column(3))], window):
+                i, j = chosen(found, some), chosen(found, hot)
+                step = np.arange(found.size[j].sum()) - np.repeat(np.cumsum(found.size[j]) - found.size[j], found.size[j])
+                j = np.repeat(j, found.size[j])
+                lo = np.concatenate([found.first[i], found.first[j] + step])
+                size = np.concatenate([found.size[i], np.ones(len(j), np.int64)])
+                at = np.concatenate([found.at[i], found.at[j] + step])
+                text = np.concatenate([found.text[i], found.text[j]])
+                d = run_hashes(found.hashes, lo, lo + size + window - 1).view(np.int64)
+                g = np.concatenate([found.anchor[i], d[len(i):]])
+                words = []
+                for a, n, pair in zip(lo.tolist(), size.tolist(), zip(g.tolist(), d.tolist())):
+                    new = pair not in given
+                    if new:
+                        if len(given) >= 1 << 19:
+                            given.clear()
+                        given.add(pair)
+                    words.append(found.words(a, n + window - 1) if new else None)
+                for s in (slice(x, x + 20_000) for x in range(0, len(lo), 20_000)):
+                    yield batch_of([g[s], d[s], size[s].astype(np.int32), pa.array(words[s], pa.binary()), key[text[s]], key1[text[s]], doc[text[s]], at[s]], ["g", "d", "size", "words", "k", "k1", "doc", "at"])
 
     return texts.select("k", "k1", "doc", "text", "anchors", "hot").mapInArrow(task, "g long, d long, size int, words binary, k long, k1 long, doc long, at long")
 
 
+def run_pairs(text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Numbers of (text of a batch, anchor)."""
+    return mixed(anchor.view(np.uint64) + text.astype(np.uint64) * FACTOR)
+
+
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """Batches sorted by their first column, the shard, cut into shards."""
     held, key = [], None
@@ -346,10 +394,12 @@ def write_automata(reference: DataFrame, window: int) -> DataFrame:
     folder = shared_dir(reference.sparkSession, "automata")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # automata hold no cycles
         for shard, parts in by_shard(batches):
             rows = [row for b in parts for row in zip(map(bytes, byte_rows(b.column(1))), b.column(2).to_pylist(), b.column(3).to_pylist())]
             file = f"{folder}/{shard % 1000:03d}/{shard}.arrow"
-            write_whole(file, Shard(rows, window).write)
+            made, automaton = Shard.of(rows, window)
+            write_whole(file, lambda sink, made=made, automaton=automaton: made.write(automaton, sink))
             yield batch_of([pa.array([shard], pa.int64()), pa.array([file])], ["shard", "file"])
 
     rows = reference.select("shard", "words", "doc", "at").repartition("shard").sortWithinPartitions("shard", "doc", "at", "words")
@@ -360,6 +410,7 @@ def stream(rows: DataFrame, window: int) -> DataFrame:
     """``g, d, doc, at, bits`` of ``rows(shard, file, g, d, words, doc, at)``: which windows of a passage are copies where it occurs first."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
         held, name = None, None
         for b in batches:
             bits = []
@@ -381,9 +432,9 @@ def copied_spans(docs: DataFrame, window: int) -> DataFrame:
     null) and there the copied windows' runs as (first word, number of windows)."""
     classes = materialise(docs.groupBy("k", "k1").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")), "substring-classes")
     texts = docs.select("k", "text")
-    counted = anchors(texts, window).groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    repeated = materialise(counted.where("a <> b or most > 1").select("h", (F.col("n") > HOT).alias("hot")), "substring-anchors")
-    lists = anchors(texts, window).select("h", "k").join(repeated, "h").groupBy("k").agg(
+    counted = anchors(texts, window).groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.sum("n").alias("n"))
+    repeated = materialise(counted.where("a <> b").select("h", (F.col("n") > HOT).alias("hot")), "substring-anchors")
+    lists = anchors(texts, window).where("n > 0").select("h", "k").join(repeated, "h").groupBy("k").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     lists = materialise(lists, "substring-lists").join(classes.select("k", F.col("k1").alias("_k1"), F.col("doc").alias("_doc")), "k")
     first = docs.join(lists.hint("merge"), "k").where("k1 = _k1 and doc = _doc")
@@ -391,9 +442,9 @@ def copied_spans(docs: DataFrame, window: int) -> DataFrame:
 
     where = F.min(F.struct("doc", "at"))
     distinct = found.groupBy("g", "d").agg(where.alias("first"), F.max("words").alias("words"), F.count("*").alias("n"))
-    distinct = materialise(distinct.select("g", "d", "words", "n", "first.doc", "first.at"), "substring-distinct")
-    alone = distinct.groupBy("g").agg(F.sum("n").alias("n")).where("n = 1").select("g")
-    distinct = materialise(distinct.join(alone, "g", "left_anti"), "substring-reference")
+    # single windows of a hot anchor may turn out to occur once
+    met = F.sum("n").over(Window.partitionBy("g"))
+    distinct = materialise(distinct.select("g", "d", "words", "first.doc", "first.at", met.alias("met")).where("met > 1").drop("met"), "substring-reference")
     shards = max(1, -(-distinct.count() // SHARD))
     reference = distinct.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)))
     files = materialise(write_automata(reference, window), "substring-automata")
