@@ -38,16 +38,17 @@ def duration_us(w: str | int) -> int:
     return w if isinstance(w, int) else DURATIONS[w]
 
 
-def placed(df: DataFrame, keys: list[str], ts: str = "ts", chunks: int | None = None) -> DataFrame:
+def placed(df: DataFrame, keys: list[str], ts: str = "ts", chunks: int | None = None, order: list[str] = ()) -> DataFrame:
     """``df`` stored in ranges of (keys, time), with ``_t`` (microseconds), ``_c`` (the range's number) and ``_span``
-    (whether the row's entity covers several ranges).  Rows of one entity and time share a range.
+    (whether the row's entity covers several ranges).  Rows of one entity and time share a range, unless an
+    ``order`` beyond the time is given: then they may be split too (for positional functions).
 
     Pass the result to several functions of the same entity to place the rows once; ``unplaced`` drops the
     columns."""
     keys = list(keys)
     n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     d = df.withColumn("_t", F.unix_micros(F.col(ts)))
-    d = stored(d.repartitionByRange(n, *keys, "_t").withColumn("_c", F.spark_partition_id().cast("long")), "placed")
+    d = stored(d.repartitionByRange(n, *keys, "_t", *order).withColumn("_c", F.spark_partition_id().cast("long")), "placed")
     k = F.struct(*keys)
     ends = d.groupBy("_c").agg(F.min(k).alias("first"), F.max(k).alias("last"))  # a row per range
     a = ends.select(F.col("_c").alias("a"), F.col("last").alias("_k"))
@@ -252,13 +253,10 @@ def expanding(df: DataFrame, entity: str, value: str, prefix: str,
 
 
 def expanding_median(df: DataFrame, entity: str, value: str, out: str,
-                     ts: str = "ts", order: list[str] = ("transaction_id",)) -> DataFrame:
-    """Median of the entity's past values.  A holistic statistic has no
-    carry, so this is a plain entity window (exact ``percentile`` over the
-    growing ROWS frame); see README for the hot-key caveat."""
-    w = Window.partitionBy(entity).orderBy(F.col(ts), *order).rowsBetween(
-        Window.unboundedPreceding, -1)
-    return df.withColumn(out, F.percentile(F.col(value), F.lit(0.5)).over(w))
+                     ts: str = "ts", order: list[str] = ("transaction_id",), chunks: int | None = None) -> DataFrame:
+    """Median of the entity's past values, split over ranges like the other statistics."""
+    from .order_stats import running_median
+    return running_median(df, [entity], value, out, ts, order, chunks)
 
 
 def deviation(df: DataFrame, value: str, mean: str, std: str | None, median: str | None,
