@@ -49,7 +49,8 @@ def _split(spark, n):
 def test_stream_equals_batch_twin(spark):
     from vigilo.plans.q_metrics import scored
     from vigilo.streaming import job as SJ
-    tables, _ = SJ.run_to_end(SJ.stateful_features(scored(spark, SF, SJ.event_stream(spark, SF))), "t", {"f": lambda b: b})
+    tables, progress = SJ.run_to_end(SJ.stateful_features(scored(spark, SF)), "t", {"f": lambda b: b}, conf=SJ.STATE_CONF)
+    assert sum(p["numInputRows"] > 0 for p in progress) == 4
     st = {r.transaction_id: r for r in tables["f"].collect()}
     d = txn_events(spark, SF).select("transaction_id", "ts", "sender_account", "location")
     d = P.novelty(d, "sender_account", "location", "nov", ties="positional")
@@ -86,7 +87,8 @@ def test_windows_are_complete_and_history_seeds_state(spark):
     from vigilo.streaming import job as SJ
     n = txn_events(spark, SF).count()
     for kind in ("tumbling", "session", "dedup"):
-        w = SJ.stream_windows(scored(spark, SF, SJ.event_stream(spark, SF)), kind)
+        w, progress = SJ.stream_windows(scored(spark, SF), kind)
+        assert SJ.dropped(progress) == 0
         assert (w.count() if kind == "dedup" else w.agg(F.sum("n")).first()[0]) == n
-    tables, _ = SJ.run_to_end(SJ.stateful_features(scored(spark, SF, SJ.event_stream(spark, SF)), scored(spark, SF)), "t", {"f": lambda b: b})
+    tables, _ = SJ.run_to_end(SJ.stateful_features(scored(spark, SF), scored(spark, SF)), "t", {"f": lambda b: b}, conf=SJ.STATE_CONF)
     assert tables["f"].where("is_new_location_for_sender = 1").count() == 0

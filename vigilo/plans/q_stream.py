@@ -18,11 +18,12 @@ def _stream(spark, sf):
     return scored(spark, sf, SJ.event_stream(spark, sf))
 
 
-def _features(spark, sf, history=None, since_us=None, *cols):
-    src = _stream(spark, sf)
+def _features(spark, sf, history=None, since_us=None):
+    """The table replayed in several batches of bounded size."""
+    rows = scored(spark, sf)
     if since_us is not None:
-        src = src.where(F.unix_micros("ts") >= since_us)
-    tables, _ = SJ.run_to_end(SJ.stateful_features(src, history), "features", {"features": lambda b: b})
+        rows = rows.where(F.unix_micros("ts") >= since_us)
+    tables, _ = SJ.run_to_end(SJ.stateful_features(rows, history), "features", {"features": lambda b: b}, conf=SJ.STATE_CONF)
     return tables["features"].drop("epoch")
 
 
@@ -90,7 +91,7 @@ def q_stream_route(spark, sf):
 def q_stream_score(spark, sf):
     """A pipeline fitted on the batch features is saved, loaded and applied inside the stream."""
     model = ML.stream_model(spark, sf)
-    tables, _ = SJ.decisions(SJ.model_score(SJ.stateful_features(_stream(spark, sf)), model))
+    tables, _ = SJ.decisions(SJ.model_score(SJ.stateful_features(scored(spark, sf)), model), conf=SJ.STATE_CONF)
     return tables["decisions"].select("transaction_id", "risk_score", "risk_band", "route")
 
 
@@ -110,7 +111,7 @@ def q_stream_metrics(spark, sf):
 SELECT epoch_us(ts) // 3600000000 * 3600000000 AS start_us, COUNT(*) AS n, CAST(SUM(is_fraud) AS BIGINT) AS frauds
 FROM txn_events GROUP BY 1"""))
 def q_stream_window_tumbling(spark, sf):
-    w = SJ.stream_windows(_stream(spark, sf), "tumbling")
+    w, _ = SJ.stream_windows(scored(spark, sf), "tumbling")
     return w.select(F.unix_micros("window.start").alias("start_us"), "n", "frauds")
 
 
@@ -118,7 +119,7 @@ def q_stream_window_tumbling(spark, sf):
 SELECT sender_account, (epoch_us(ts) // 3600000000 - i) * 3600000000 AS start_us, COUNT(*) AS n, round(SUM(amount), 6) AS amount_sum
 FROM txn_events, range(24) r(i) GROUP BY 1, 2"""))
 def q_stream_window_sliding(spark, sf):
-    w = SJ.stream_windows(_stream(spark, sf), "sliding")
+    w, _ = SJ.stream_windows(scored(spark, sf), "sliding")
     return w.select(S, F.unix_micros("window.start").alias("start_us"), "n", F.round("amount_sum", 6).alias("amount_sum"))
 
 
@@ -130,11 +131,23 @@ FROM (SELECT *, SUM(new) OVER (PARTITION BY {S} ORDER BY t ROWS UNBOUNDED PRECED
             FROM txn_events))
 GROUP BY sender_account, session"""))
 def q_stream_session(spark, sf):
-    w = SJ.stream_windows(_stream(spark, sf), "session")
+    w, _ = SJ.stream_windows(scored(spark, sf), "session")
     return w.select(S, F.unix_micros("session_window.start").alias("start_us"), "n")
 
 
 @register("stream_dedup", ev_sql("SELECT DISTINCT transaction_id FROM txn_events"))
 def q_stream_dedup(spark, sf):
-    twice = _stream(spark, sf).unionByName(_stream(spark, sf))
-    return SJ.stream_windows(twice, "dedup").select("transaction_id")
+    rows = scored(spark, sf)
+    found, _ = SJ.stream_windows(rows.unionByName(rows), "dedup")
+    return found.select("transaction_id")
+
+
+# every fiftieth event comes behind all others; those whose window has closed by then are dropped
+@register("stream_window_late", ev_sql("""
+SELECT start_us, COUNT(*) AS n, CAST(SUM(is_fraud) AS BIGINT) AS frauds
+FROM (SELECT *, epoch_us(ts) // 3600000000 * 3600000000 AS start_us, transaction_id % 50 = 0 AS late FROM txn_events),
+     (SELECT max(epoch_us(ts)) // 1000 * 1000 - 7200000000 AS mark FROM txn_events WHERE transaction_id % 50 <> 0)
+WHERE NOT late OR start_us + 3600000000 > mark GROUP BY 1"""))
+def q_stream_window_late(spark, sf):
+    w, _ = SJ.stream_windows(scored(spark, sf), "tumbling", late="transaction_id % 50 = 0")
+    return w.where("n > 0").select(F.unix_micros("window.start").alias("start_us"), "n", "frauds")

@@ -1,91 +1,38 @@
 """Structured Streaming: per-sender stateful features, scoring, routing.
 
-The given events table is read as a file stream.  The stream is keyed by sender (one
-shuffle); each sender's state keeps its last arrival time, its last 50 (ts, amount)
-and the values it has used for location / channel / device / type, and is dropped
-after a time without events.  Values seen before the stream started come from a
-history table by a stream-static join.  The state function sorts each key's
-micro-batch by (ts, id); the batch twins are the positional window features.
+The given events table is read as a file stream.  Per-sender features come from keyed state (``sender_state``), in
+micro-batches of bounded size; the batch twins are the positional window features.
 
 Every sink writes a folder per epoch and overwrites it, so a batch that is run again
 after a failure leaves its rows once.  The query checkpoints into the session's
 shared checkpoint folder, so a restarted job resumes with its state.
 
-Event-time windows are written in append mode when the watermark passes them.  A
-finite replay ends with one closing event far behind the watermark, so the
-last windows are written too; a running stream needs none.
+Event-time windows are written in append mode when the watermark passes them, which happens while the stream runs; rows that
+come behind the watermark are dropped and counted.  A finite replay ends with one closing event far
+behind the watermark, so the last windows are written too; a running stream needs none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import bands as BD
 from ..functions.features import feat_time_ext
 from ..session import scratch_path
 from ..sources.tables import read_table
+from .sender_state import INPUT, STATE_CONF, VALUES, initial_state, replay, sender_features
 
-HISTORY = 50
-LATEST = "30 days"  # how far an event may lag behind the newest
-IDLE_MS = 90 * 86_400_000  # a sender's state goes after so long without events
-VALUES = ["location", "payment_channel", "device_used", "transaction_type"]
-BASE = ["merchant_category", "spending_deviation_score", "velocity_score", "geo_anomaly_score", "is_fraud", "score"]
 #: Numeric inputs of the stream's model, in order.
 MODEL_COLUMNS = ["amount", "log_amount", "spending_deviation_score", "velocity_score", "geo_anomaly_score", "hour", "day_of_week", "month", "is_weekend",
                  "is_night", "tslt_abs", "tslt_is_negative", *[f"is_new_{v}_for_sender" for v in VALUES]]
 MISSING_TSLT_SCORE = 1e-6
 
-OUT_SCHEMA = ("transaction_id long, sender_account long, ts timestamp, amount double, "
-              + ", ".join(f"{v} string" for v in VALUES)
-              + ", merchant_category string, spending_deviation_score double, velocity_score double, geo_anomaly_score double, is_fraud int, score double, "
-              "stream_tslt double, tslt_is_negative int, history_len int, "
-              + ", ".join(f"is_new_{v}_for_sender int" for v in VALUES))
-STATE_SCHEMA = ("last_ts long, hist_ts array<long>, hist_amt array<double>, "
-                + ", ".join(f"seen_{v} array<string>" for v in VALUES))
-
-
-def _update(key, pdfs, state):
-    if state.hasTimedOut:
-        state.remove()
-        return
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    pdf["_t"] = pdf["ts"].astype("datetime64[us]").astype("int64")
-    pdf = pdf.sort_values(["_t", "transaction_id"], kind="stable").reset_index(drop=True)
-    if state.exists:
-        st = state.get
-        last_ts, hist_ts, hist_amt = st[0], list(st[1]), list(st[2])
-        seen = {v: set(st[3 + i]) for i, v in enumerate(VALUES)}
-    else:
-        last_ts, hist_ts, hist_amt = None, [], []
-        before = pdf.iloc[0]
-        seen = {v: set(before[f"seen_{v}"]) if before[f"seen_{v}"] is not None else set() for v in VALUES}
-    t = pdf["_t"].to_numpy(np.int64)
-    prev = np.concatenate([[last_ts if last_ts is not None else -1], t[:-1]])
-    tslt = (t - prev) / 1e6
-    if last_ts is None:   # first event ever: fall back to the payload's own value
-        tslt[0] = pdf["time_since_last_transaction"].to_numpy(dtype=float)[0]
-    out = pdf[["transaction_id", "sender_account", "ts", "amount", *VALUES, *BASE]].copy()
-    out["stream_tslt"] = pd.Series([None if np.isnan(x) else x for x in tslt], dtype=object)
-    out["tslt_is_negative"] = (np.nan_to_num(tslt, nan=0.0) < 0).astype("int32")
-    out["history_len"] = np.minimum(len(hist_ts) + np.arange(len(pdf)), HISTORY).astype("int32")
-    for v in VALUES:
-        col = pdf[v].astype(str)
-        out[f"is_new_{v}_for_sender"] = (~col.isin(seen[v]) & ~col.duplicated()).astype("int32").to_numpy()
-        seen[v].update(col.unique().tolist())
-    hist_ts = (hist_ts + t.tolist())[-HISTORY:]
-    hist_amt = (hist_amt + pdf["amount"].astype(float).tolist())[-HISTORY:]
-    state.update((int(t[-1]), hist_ts, hist_amt, *[sorted(seen[v]) for v in VALUES]))
-    state.setTimeoutTimestamp(int(t[-1]) // 1000 + IDLE_MS)
-    yield out
-
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
     """The events table as a stream of its files."""
@@ -97,19 +44,11 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None
     return reader.parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
 
 
-def seen_values(history: DataFrame) -> DataFrame:
-    """A row per sender with the distinct values it has used: the state to start from."""
-    return history.groupBy("sender_account").agg(*[F.collect_set(v).alias(f"seen_{v}") for v in VALUES])
-
-
-def stateful_features(events: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """The stream with its per-sender state columns and the base features."""
-    if history is not None:
-        events = events.join(seen_values(history), "sender_account", "left")
-    else:
-        events = events.withColumns({f"seen_{v}": F.lit(None).cast("array<string>") for v in VALUES})
-    events = events.select("transaction_id", "sender_account", "ts", "amount", "time_since_last_transaction", *VALUES, *BASE, *[f"seen_{v}" for v in VALUES])
-    out = events.withWatermark("ts", LATEST).groupBy("sender_account").applyInPandasWithState(_update, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+def stateful_features(events: DataFrame, history: DataFrame | None = None, batches: int | None = None) -> DataFrame:
+    """The table's events as a stream with their per-sender columns and the base features; values that senders used
+    in ``history``, a table of earlier events, are not new."""
+    before = None if history is None else initial_state(history, with_times=False)
+    out = sender_features(replay(events.select(*INPUT), batches), before)
     return feat_time_ext(out, "ts").withColumns({"log_amount": F.log1p("amount"), "tslt_abs": F.coalesce(F.abs("stream_tslt"), F.lit(0.0))})
 
 
@@ -127,7 +66,20 @@ def routed(df: DataFrame, score: str | Column = "risk_score") -> DataFrame:
     return df.withColumns({"route": BD.band(c, BD.ROUTES), "risk_band": BD.band(c, BD.BANDS_STREAM)})
 
 
-def run_to_end(stream: DataFrame, name: str, sinks: dict[str, Callable[[DataFrame], DataFrame]], checkpoint: str | None = None, out: dict[str, str] | None = None):
+@contextmanager
+def configured(spark: SparkSession, conf: dict | None):
+    """Settings of the session for the time of a query."""
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_to_end(stream: DataFrame, name: str, sinks: dict[str, Callable[[DataFrame], DataFrame]], checkpoint: str | None = None, out: dict[str, str] | None = None, conf: dict | None = None):
     """Run over all that is there now; the written tables and the query's progress reports.
 
     A batch is kept while its sinks are written, and each sink overwrites the batch's own folder."""
@@ -142,18 +94,19 @@ def run_to_end(stream: DataFrame, name: str, sinks: dict[str, Callable[[DataFram
         finally:
             batch.unpersist()
 
-    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or scratch_path(spark, f"stream-{name}-ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with configured(spark, conf):
+        q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or scratch_path(spark, f"stream-{name}-ckpt"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     return {k: spark.read.parquet(v) for k, v in out.items()}, q.recentProgress
 
 
-def decisions(stream: DataFrame, score: str = "risk_score"):
+def decisions(stream: DataFrame, score: str = "risk_score", conf: dict | None = None):
     """Routing with its two sinks, all decisions and the review queue, and the progress reports."""
     cols = ["transaction_id", F.col(score).alias("risk_score"), "risk_band"]
     return run_to_end(routed(stream, score), "decisions", {
         "decisions": lambda b: b.select(*cols, "route"),
-        "queue": lambda b: b.where("route = 'REVIEW_QUEUED'").select(*cols)})
+        "queue": lambda b: b.where("route = 'REVIEW_QUEUED'").select(*cols)}, conf=conf)
 
 
 def batch_metrics(decided: DataFrame, progress: list) -> DataFrame:
@@ -166,21 +119,13 @@ def batch_metrics(decided: DataFrame, progress: list) -> DataFrame:
                                                   (F.col("rows") * 1000 / F.greatest("ms", F.lit(1.0))).alias("events_per_second"))
 
 
-def with_closing_event(events: DataFrame, columns: list[str], far: str = "2200-01-01") -> DataFrame:
-    """The stream and, behind it, one event (all null but its time) that moves the watermark past all windows."""
-    spark = events.sparkSession
-    path = scratch_path(spark, "stream-close")
-    schema = events.select(*columns).schema
-    one = spark.range(1).select(*[F.lit(far).cast("timestamp").alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
-    one.write.parquet(path)
-    return events.select(*columns).unionByName(spark.readStream.schema(one.schema).parquet(path))
-
+def stream_windows(events: DataFrame, kind: str, batches: int | None = None, late: str | None = None) -> tuple[DataFrame, list]:
+    """Event-time twins: tumbling 1 h rate, sliding 24 h / 1 h per sender, 30-minute sessions per sender, de-duplication of
+    transaction ids within the watermark of 2 h.
 
-def stream_windows(events: DataFrame, kind: str) -> DataFrame:
-    """Event-time twins: tumbling 1 h rate, sliding 24 h / 1 h per sender,
-    30-minute sessions per sender, de-duplication of transaction ids within
-    the watermark.  All files are one batch, so no event is late; returns the written result."""
-    src = with_closing_event(events, ["transaction_id", "ts", "sender_account", "amount", "is_fraud"]).withWatermark("ts", "2 hours")
+    The table's rows come in several batches in the order of time, those that fulfil ``late`` behind all others.  Gives the written
+    result, with the batch that wrote each row, and the progress reports, which count the dropped rows."""
+    src = replay(events.select("transaction_id", "ts", "sender_account", "amount", "is_fraud"), batches, late, closing=True).withWatermark("ts", "2 hours")
     n = F.count(F.lit(1)).alias("n")
     if kind == "tumbling":
         agg = src.groupBy(F.window("ts", "1 hour")).agg(n, F.sum("is_fraud").alias("frauds"))
@@ -192,9 +137,11 @@ def stream_windows(events: DataFrame, kind: str) -> DataFrame:
         agg = src.dropDuplicatesWithinWatermark(["transaction_id"]).where("transaction_id is not null")
     else:
         raise ValueError(kind)
-    spark = events.sparkSession
-    out = scratch_path(spark, f"stream-{kind}")
-    q = (agg.writeStream.outputMode("append").format("parquet").option("path", out)
-         .option("checkpointLocation", scratch_path(spark, f"stream-{kind}-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    # an empty batch after the last file writes the windows that the closing event has passed
+    tables, progress = run_to_end(agg, kind, {"rows": lambda b: b}, conf={"spark.sql.streaming.noDataMicroBatches.enabled": "true"})
+    return tables["rows"], progress
+
+
+def dropped(progress: list) -> int:
+    """Rows (of aggregations: groups of a task's rows) that came behind the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
