@@ -27,7 +27,7 @@ import gc
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -250,11 +250,12 @@ class Shard:
         for i, (words, _, _) in enumerate(passages):
             made.add(i, [vocabulary.setdefault(w, len(vocabulary)) for w in words.split(b" ")])
         wide, length, link = len(vocabulary), made.length, made.link
+        size, shorter = np.array(length), np.array(link)
         first = {}
-        for state, (i, end) in enumerate(made.origin):
-            if length[state] >= window > length[link[state]]:
-                _, doc, at = passages[i]
-                first[state] = doc, at + end - window + 1
+        for state in np.flatnonzero((size >= window) & (size[shorter] < window)).tolist():
+            i, end = made.origin[state]
+            _, doc, at = passages[i]
+            first[state] = doc, at + end - window + 1
         out = cls(vocabulary, length, link, {}, first)
         # texts of one id may overlap; then what was added first needn't start first
         late = [i for i in range(1, len(passages)) if passages[i][1] == passages[i - 1][1] and passages[i][2] < passages[i - 1][2] + window]
@@ -272,7 +273,7 @@ class Shard:
         differences are small numbers that compress well."""
         n = np.fromiter(map(len, made.next), np.int32, len(made.next))
         source = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        flat = lambda values: np.fromiter((v for x in made.next for v in values(x)), np.int32, len(source))
+        flat = lambda values: np.fromiter(chain.from_iterable(map(values, made.next)), np.int32, len(source))
         state = np.fromiter(self.first, np.int32, len(self.first))
         doc, at = (np.fromiter((x[i] for x in self.first.values()), np.int64, len(state)) for i in (0, 1))
         for t in (pa.table({"word": flat(dict.keys), "step": flat(dict.values) - source}), pa.table({"moves": n, "grown": np.diff(np.array(self.length, np.int32), prepend=np.int32(0)), "link": np.array(self.link, np.int32)}),
@@ -296,7 +297,7 @@ class Shard:
         state = np.repeat(np.arange(len(n)), n)
         key, target = state * len(vocabulary) + moves["word"].to_numpy(), state + moves["step"].to_numpy()
         at, doc, place = (np.cumsum(first[c].to_numpy()).tolist() for c in ("state", "doc", "at"))
-        return cls(vocabulary, np.cumsum(states["grown"].to_numpy()).tolist(), states["link"].to_pylist(), dict(zip(key.tolist(), target.tolist())), dict(zip(at, zip(doc, place))))
+        return cls(vocabulary, np.cumsum(states["grown"].to_numpy()).tolist(), states["link"].to_numpy().tolist(), dict(zip(key.tolist(), target.tolist())), dict(zip(at, zip(doc, place))))
 
 
 def batch_of(columns: list, names: list[str]) -> pa.RecordBatch:
@@ -432,9 +433,10 @@ def copied_spans(docs: DataFrame, window: int) -> DataFrame:
     null) and there the copied windows' runs as (first word, number of windows)."""
     classes = materialise(docs.groupBy("k", "k1").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")), "substring-classes")
     texts = docs.select("k", "text")
-    counted = anchors(texts, window).groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.sum("n").alias("n"))
+    anchored = materialise(anchors(texts, window), "substring-anchored")
+    counted = anchored.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.sum("n").alias("n"))
     repeated = materialise(counted.where("a <> b").select("h", (F.col("n") > HOT).alias("hot")), "substring-anchors")
-    lists = anchors(texts, window).where("n > 0").select("h", "k").join(repeated, "h").groupBy("k").agg(
+    lists = anchored.where("n > 0").select("h", "k").join(repeated, "h").groupBy("k").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     lists = materialise(lists, "substring-lists").join(classes.select("k", F.col("k1").alias("_k1"), F.col("doc").alias("_doc")), "k")
     first = docs.join(lists.hint("merge"), "k").where("k1 = _k1 and doc = _doc")
