@@ -7,11 +7,13 @@ the threshold that shares these bits is met.  From that follows the chance that
 neighbour.  Vectors with a chance of at most ``miss`` are settled; the others go through further rounds of
 passes with wider windows, and where that would cost more than comparing all that are left of a label, they are
 compared block against block.  A pair is lost only if both ends are settled without having met, so the bound holds
-for crowded labels and hot groups as well.  Labels of up to a block are compared whole.
+for crowded labels and hot groups as well.  A label that fits into one window is that window.
 
 Windows are bounded, groups are not: the direct links of a vector are counted afterwards within its
-component, block against block, so a group larger than the window loses none.  Equal vectors of a label are one
-class from the start and counted by their number.
+component, so a group larger than the window loses none.  Of a large component the vectors within half the threshold's angle
+of its centre link with each other by the triangle inequality, and are counted without being compared; only pairs with one
+that lies farther out are, block against block.  Equal vectors of a label are one class from the start and
+counted by their number.
 
 Defined results: a vector that is null, all zero, or has a null or non-finite component, or whose label is null,
 links with nothing and is its own component; vectors of different lengths don't link; repeated rows come out as
@@ -21,7 +23,7 @@ often as they came and link with each other; of a component without ids the id i
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import acos, ceil, erf, log, log2, pi, sqrt
+from math import acos, ceil, cos, erf, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +46,9 @@ def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def linked(u: np.ndarray, v: np.ndarray, least: float) -> np.ndarray:
     """Which rows of u and v have a cosine of at least ``least``; doubtful ones are summed anew, pair by pair."""
-    cos = u @ v.T
-    out = cos >= least
-    for i, j in zip(*np.nonzero(np.abs(cos - least) < SLACK)):
+    likeness = u @ v.T
+    out = likeness >= least
+    for i, j in zip(*np.nonzero(np.abs(likeness - least) < SLACK)):
         a, b = u[i], v[j]
         out[i, j] = float((a * b).sum()) / float(np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())) >= least
     return out
@@ -248,11 +250,11 @@ def block_links(rows: DataFrame, least: float, block: int) -> DataFrame:
 def all_links(classes: DataFrame, least: float, window: int, miss: float, seed: int, block: int = 4096, more: int = 8) -> DataFrame:
     """Links ``(a, b)`` that span the verified pairs of each label, but for those lost with a chance of at most ``miss``."""
     active = classes.select("label", F.size("vector").alias("dim"), "cid", "vector", F.lit(0.0).alias("missed"))
-    found, spent, turn = None, 0, 0
+    found, spent, turn, first = None, 0, 0, window
     while True:
         sizes = materialise(active.groupBy("label", "dim").agg(F.count("*").alias("size")), "vector-labels")
         largest = sizes.agg(F.max("size")).first()[0] or 0
-        whole = max(block, 8 * spent)  # what is left of a label is compared whole where passes have cost an eighth of that
+        whole = max(first, 8 * spent)  # what is left of a label is compared whole where passes have cost an eighth of that
         rows = active.join(sizes, ["label", "dim"])
         pairs = block_links(rows.where(F.col("size") <= whole), least, block)
         open_ = rows.where(F.col("size") > whole)
@@ -271,11 +273,47 @@ def all_links(classes: DataFrame, least: float, window: int, miss: float, seed:
         window, turn = min(4 * window, block), turn + 1
 
 
+def cores(members: DataFrame, least: float, block: int) -> DataFrame:
+    """``members`` with ``core``: whether the vector is one of a component of more than a block and lies so near to its
+    centre that it links with all others that do."""
+    size = materialise(members.groupBy("root").agg(F.count("*").alias("size")), "vector-sizes")
+    large = size.where(F.col("size") > block).select("root")
+    if large.isEmpty():
+        return members.withColumn("core", F.lit(False))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                _, u = unit_rows(b.column(1))
+                root, at = np.unique(b.column(0).to_numpy(), return_inverse=True)
+                total = np.zeros((len(root), u.shape[1]))
+                np.add.at(total, at, u)
+                yield pa.record_batch([pa.array(np.repeat(root, u.shape[1])), pa.array(np.tile(np.arange(u.shape[1]), len(root))), pa.array(total.ravel())], names=["root", "i", "x"])
+
+    of = members.join(large, "root", "left_semi")
+    parts = of.select("root", "vector").mapInArrow(lambda batches: sums(x for b in batches for x in by_length(b, 1)), "root long, i long, x double")
+    centre = parts.groupBy("root", "i").agg(F.sum("x").alias("x")).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c"))
+    centre = materialise(centre.select("root", F.col("c.x").alias("centre")), "vector-centres")
+    near = cos(max(0.0, acos(least) / 2 - 1e-6))
+
+    def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in by_length(whole, 1):
+                if b.num_rows:
+                    _, u = unit_rows(b.column(1))
+                    _, c = unit_rows(b.column(2))
+                    yield pa.record_batch([b.column(0), pa.array((u * c).sum(axis=1) >= near)], names=["cid", "core"])
+
+    flagged = of.join(centre.where(F.exists("centre", lambda x: x != 0)), "root").select("cid", "vector", "centre").mapInArrow(flags, "cid long, core boolean")
+    flagged = materialise(flagged.where("core"), "vector-cores")
+    return members.join(flagged, "cid", "left").select(*members.columns, F.coalesce("core", F.lit(False)).alias("core"))
+
+
 def direct_links(members: DataFrame, least: float, block: int = 512) -> DataFrame:
     """``cid, links``: how many vectors of other classes of its component each class links with.
 
-    ``members(root, cid, n, vector)``; larger components are cut into blocks, and every two blocks meet in a group
-    of their own.  A group gives counts, not pairs."""
+    ``members(root, cid, n, vector)``; components are cut into blocks, their core and the rest apart, and every two blocks but two
+    of the core meet in a group of their own.  A group gives counts, not pairs."""
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         side, root, cid, n = (b.column(i).to_numpy() for i in range(1, 5))
         _, u = unit_rows(b.column(5))
@@ -287,8 +325,17 @@ def direct_links(members: DataFrame, least: float, block: int = 512) -> DataFram
             total[s] = (linked(u[s], u, least) & meet & other) @ n
         return pa.record_batch([pa.array(cid), pa.array(total)], names=["cid", "links"])
 
-    groups = block_groups(members, ["root"], block, ["cid", "n", "vector"], "vector-blocks")
-    return groups.mapInArrow(lambda batches: by_group(batches, 5, count), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
+    rows = materialise(cores(members, least, block), "vector-members-cored")
+    sizes = rows.groupBy("root").agg(F.ceil(F.count_if(~F.col("core")) / block).cast("int").alias("outer"), F.ceil(F.count_if("core") / block).cast("int").alias("inner"), F.sum(F.when(F.col("core"), F.col("n"))).alias("held"))
+    rows = rows.join(materialise(sizes, "vector-blocks"), "root")
+    own = F.when(F.col("core"), F.col("outer") + F.pmod(F.xxhash64("cid"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("cid"), F.col("outer"))).cast("int")
+    others = F.expr("slice(sequence(0, outer + inner), 1, if(core, outer, outer + inner))")  # a core meets no core
+    met = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    g = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("g")
+    met = met.select(g, F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), F.xxhash64(F.lit(1), "root").alias("key"), "cid", "n", "vector").repartition("g").sortWithinPartitions("g")
+    pairs = met.mapInArrow(lambda batches: by_group(batches, 5, count), "cid long, links long")
+    told = rows.where("core").select("cid", (F.col("held") - F.col("n")).alias("links"))
+    return pairs.unionByName(told).groupBy("cid").agg(F.sum("links").alias("links"))
 
 
 def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, window: int = 128, miss: float = 0.005, seed: int = 7, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
