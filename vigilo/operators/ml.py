@@ -102,54 +102,22 @@ def score(model, df: DataFrame, out: str = "fraud_probability") -> DataFrame:
     return model.transform(df).withColumn(out, vector_to_array(F.col("probability"))[1])
 
 
-def calibrate_sigmoid(train: DataFrame, num: list[str], cats: list[str], folds: int = 3,
-                      kind: str = "gbt", label: str = "is_fraud", id_col: str = "transaction_id",
-                      **params):
-    """Platt scaling, ``folds``-fold: per fold fit the model on the other
-    folds and a 1-feature logistic regression on its held-out margin; the
-    calibrated score is the mean of the fold calibrators.  Folds by hash."""
-    models = []
-    d = train.withColumn("_fold", F.pmod(F.xxhash64(id_col), F.lit(folds)))
-    for f in range(folds):
-        base = fit_pipeline(d.where(F.col("_fold") != f), num, cats, kind, label, **params)
-        held = base.transform(d.where(F.col("_fold") == f)).withColumn(
-            "_margin", vector_to_array("rawPrediction")[1])
-        cal = Pipeline(stages=[VectorAssembler(inputCols=["_margin"], outputCol="_mv"),
-                               LogisticRegression(featuresCol="_mv", labelCol=label,
-                                                  predictionCol="_cp", probabilityCol="_cprob",
-                                                  rawPredictionCol="_craw")]).fit(
-            held.select("_margin", label))
-        models.append((base, cal))
-    return models
-
-
-def score_calibrated(models, df: DataFrame, out: str = "calibrated") -> DataFrame:
-    cols = []
-    d = df
-    for i, (base, cal) in enumerate(models):
-        s = base.transform(d).withColumn("_margin", vector_to_array("rawPrediction")[1])
-        s = cal.transform(s.drop("features", "rawPrediction", "probability", "prediction",
-                                 *[c for c in s.columns if c.endswith("_idx") or c.endswith("_oh")]))
-        d = s.withColumn(f"_c{i}", vector_to_array("_cprob")[1]).drop("_margin", "_mv", "_cp", "_cprob", "_craw")
-        cols.append(F.col(f"_c{i}"))
-    mean = cols[0]
-    for c in cols[1:]:
-        mean = mean + c
-    return d.withColumn(out, mean / len(cols)).drop(*[f"_c{i}" for i in range(len(cols))])
+def feature_importance(model, df: DataFrame, top: int = 20) -> DataFrame:
+    """``importance_table`` of a fitted pipeline."""
+    return importance_table(model.stages[-1], model.transform(df.limit(0)), top)
 
 
-def feature_importance(model, df: DataFrame, top: int = 20) -> DataFrame:
-    """Top-``top`` (feature, importance) from a fitted pipeline: tree
+def importance_table(model, matrix: DataFrame, top: int = 20) -> DataFrame:
+    """Top-``top`` (feature, importance) from a fitted model: tree
     importances or |coefficients|, names from the assembled vector's ML
     attribute metadata (schema only, no job), plus the feature family."""
     from ..functions.features import feature_family_expr
-    last = model.stages[-1]
-    imp = (last.featureImportances.toArray() if hasattr(last, "featureImportances")
-           else abs(last.coefficients.toArray()))
-    meta = model.transform(df.limit(0)).schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
+    imp = (model.featureImportances.toArray() if hasattr(model, "featureImportances")
+           else abs(model.coefficients.toArray()))
+    meta = matrix.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
     names = {a["idx"]: a["name"] for group in meta.values() for a in group}
     rows = sorted(((names.get(i, f"f{i}"), float(v)) for i, v in enumerate(imp)), key=lambda x: -x[1])[:top]
-    out = df.sparkSession.createDataFrame(rows, "feature string, importance double")  # ≤ top rows
+    out = matrix.sparkSession.createDataFrame(rows, "feature string, importance double")  # ≤ top rows
     return out.withColumn("family", feature_family_expr(F.col("feature")))
 
 

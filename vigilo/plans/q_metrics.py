@@ -299,7 +299,7 @@ def q_metric_class_report(spark, sf):
 # ---- sampling / ordering (§2.7) -----------------------------------------
 
 def _lehmer_sql(seed):
-    return f"((transaction_id % 2147483647) * 48271 + {seed}) % 2147483647"
+    return f"(((transaction_id % 2147483647) * 48271 + {seed}) % 2147483647 * 48271 + {seed}) % 2147483647"
 
 
 @register("sample_stratified", ev_sql(f"""
@@ -337,7 +337,7 @@ def q_sort_time(spark, sf):
 @register("shuffle_labels", ev_sql("""
 SELECT r.transaction_id, r.ts, r.amount, l.is_fraud
 FROM (SELECT *, row_number() OVER (ORDER BY ts, transaction_id) AS i FROM txn_events) r
-JOIN (SELECT is_fraud, row_number() OVER (ORDER BY ((transaction_id % 2147483647) * 48271 + 7) % 2147483647, transaction_id) AS i FROM txn_events) l
+JOIN (SELECT is_fraud, row_number() OVER (ORDER BY (((transaction_id % 2147483647) * 48271 + 7) % 2147483647 * 48271 + 7) % 2147483647, transaction_id) AS i FROM txn_events) l
   ON r.i = l.i"""))
 def q_shuffle_labels(spark, sf):
     from ..operators.order import shuffle_labels

@@ -3,10 +3,10 @@ permutation / ablation (§2.10).  Models are rows-only checks."""
 
 from __future__ import annotations
 
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from ..functions import features as FT
+from ..operators import boosting as B
 from ..operators import metrics as M
 from ..operators import ml as ML
 from ..operators import past as P
@@ -129,9 +129,20 @@ def q_model_rf(spark, sf):
     return _fit_eval(spark, sf, "rf", numTrees=50, maxDepth=10)
 
 
+def matrix(spark, sf, num=None, keep=("transaction_id",), g=None):
+    """The feature table assembled once, with its fitted encoder."""
+    return B.assembled(fs1(spark, sf) if g is None else g, num or FS1_NUM, CATS, keep=keep)
+
+
 @register("model_gbt")
 def q_model_gbt(spark, sf):
-    return _fit_eval(spark, sf, "gbt", maxIter=20, maxDepth=4)
+    """The reference's comparison: 100 rounds, and 300 and 500 with early stop; the rounds kept, AP and AUC on the later split."""
+    m, _ = matrix(spark, sf)
+    configs = list(B.COMPARISON.items())
+    models = B.side_by_side([lambda c=c: B.fit(m, c) for _, c in configs])
+    names = [{"model": f"gbt_{n}", "rounds": n, "rounds_kept": x.getNumTrees} for (n, _), x in zip(configs, models)]
+    found = B.compared(m, models, names)
+    return found.select("model", "rounds", "rounds_kept", r6("ap").alias("ap"), r6("roc_auc").alias("roc_auc"), r6("base_rate").alias("base_rate"))
 
 
 @register("prep_assemble", ev_sql("SELECT transaction_id, CAST((SELECT " + str(len(FS1_NUM)) + " + "
@@ -146,61 +157,60 @@ def q_prep_assemble(spark, sf):
 
 @register("score_batch")
 def q_score_batch(spark, sf):
-    g = fs1(spark, sf)
-    model = ML.fit_pipeline(g.where(F.col("is_train") == 1), FS1_NUM, CATS, "logreg", maxIter=20)
-    return ML.score(model, g.where(F.col("is_train") == 0), "fraud_probability").select(
-        "transaction_id", "fraud_probability")
+    """The later split scored by the comparison's model of 100 rounds."""
+    m, _ = matrix(spark, sf)
+    return B.probability(B.fit(m, B.COMPARISON[100]), m.where("is_train = 0"), "fraud_probability").select("transaction_id", "fraud_probability")
 
 
 @register("model_calibrate")
 def q_model_calibrate(spark, sf):
-    g = fs1(spark, sf)
-    models = ML.calibrate_sigmoid(g.where(F.col("is_train") == 1), FS1_NUM, CATS, folds=3, kind="gbt",
-                                  maxIter=10, maxDepth=3)
-    sc = ML.score_calibrated(models, g.where(F.col("is_train") == 0).select(
-        "transaction_id", "is_fraud", *FS1_NUM, *CATS))
-    return sc.select("transaction_id", "calibrated")
+    """Platt scaling in three folds of the comparison's model of 100 rounds."""
+    m, _ = matrix(spark, sf)
+    return B.calibrated(m, B.COMPARISON[100], folds=3).select("transaction_id", "calibrated")
 
 
 @register("model_grid")
 def q_model_grid(spark, sf):
-    """Product grid on the TIME split (train prefix → validation), best by AP."""
-    g = fs1(spark, sf)
-    tr, va = (stored(g.where(F.col("is_train") == t), "split") for t in (1, 0))
-    est = ML.make_model("gbt")
-    grid = ParamGridBuilder().addGrid(est.maxDepth, [3, 5]).addGrid(est.stepSize, [0.1, 0.3]).build()
-    rows = None
-    for i, pm in enumerate(grid):
-        params = {p.name: v for p, v in pm.items()}
-        model = ML.fit_pipeline(tr, FS1_NUM, CATS, "gbt", maxIter=10, **params)
-        m = M.ap_auc(M.score_curve(ML.score(model, va, "score")))
-        r = m.select(F.lit(i).alias("config"), F.lit(str(params)).alias("params"), r6("ap").alias("ap"))
-        rows = r if rows is None else rows.unionByName(r)
-    return rows
+    """All 64 configurations of the reference's grid, 500 rounds with early stop each, on one stored matrix; best by AP."""
+    m, _ = matrix(spark, sf)
+    grid = B.tuning_grid()
+    # bounds on leaves and on depth often come to the same depth: such configurations share a fit
+    alike = {c.fitted_as: c for c in grid}
+    fitted = dict(zip(alike, B.side_by_side([lambda c=c: B.fit(m, c) for c in alike.values()])))
+    models = [fitted[c.fitted_as] for c in grid]
+    names = [{"leaves": c.leaves, "depth": c.depth, "step": c.step, "min_rows": c.min_rows, "penalty": c.penalty, "weight": c.weight, "rounds_kept": x.getNumTrees} for c, x in zip(grid, models)]
+    rows = stored(B.compared(m, models, names), "grid").withColumn("ap", r6("ap"))
+    return rows.select("config", *names[0], "ap", (F.col("ap") == rows.agg(F.max("ap")).scalar()).alias("best"))
 
 
 @register("experiment_runner")
 def q_experiment_runner(spark, sf):
-    """Feature-set × model table; the best row is the one with max AP."""
-    g = fs1(spark, sf)
-    tr, va = (stored(g.where(F.col("is_train") == t), "split") for t in (1, 0))
-    sets = {"FS0": NUM, "FS1": FS1_NUM}
+    """Feature set x model table; the best row is the one with the largest AP."""
+    g = stored(fs1(spark, sf), "experiment-rows")
+    fits, names = [], []
+    for name, cols in {"FS0": NUM, "FS1": FS1_NUM}.items():
+        m, _ = matrix(spark, sf, cols, g=g)
+        balanced = B.weighted(m, "ratio", "is_fraud", "is_train").where("is_train = 1")
+        kinds = {"logreg": lambda t=balanced: ML.make_model("logreg", weight="_w", maxIter=1000).fit(t),
+                 "rf": lambda t=balanced: ML.make_model("rf", weight="_w", numTrees=50, maxDepth=10).fit(t),
+                 **{f"gbt_{n}": (lambda c=c, m=m: B.fit(m, c)) for n, c in B.COMPARISON.items()}}
+        for kind, work in kinds.items():
+            fits.append((m, work))
+            names.append({"feature_set": name, "model": kind})
+    models = B.side_by_side([w for _, w in fits])
     rows = None
-    for name, cols in sets.items():
-        for kind in ("logreg", "gbt"):
-            model = ML.fit_pipeline(tr, cols, CATS, kind, maxIter=10)
-            m = M.ap_auc(M.score_curve(ML.score(model, va, "score")))
-            r = m.select(F.lit(name).alias("feature_set"), F.lit(kind).alias("model"), r6("ap").alias("ap"))
-            rows = r if rows is None else rows.unionByName(r)
-    rows = stored(rows, "experiments")
+    for fs in ("FS0", "FS1"):
+        mine = [i for i, n in enumerate(names) if n["feature_set"] == fs]
+        r = B.compared(fits[mine[0]][0], [models[i] for i in mine], [names[i] for i in mine])
+        rows = r if rows is None else rows.unionByName(r)
+    rows = stored(rows.select("feature_set", "model", r6("ap").alias("ap")), "experiments")
     return rows.withColumn("best", F.col("ap") == rows.agg(F.max("ap")).scalar())
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf):
-    g = fs1(spark, sf)
-    model = ML.fit_pipeline(g.where(F.col("is_train") == 1), FS1_NUM, CATS, "gbt", maxIter=10)
-    return ML.feature_importance(model, g, top=20)
+    m, _ = matrix(spark, sf)
+    return ML.importance_table(B.fit(m, B.COMPARISON[100]), m, top=20)
 
 
 @register("feature_importance_family")
@@ -214,45 +224,44 @@ def q_feature_importance_family(spark, sf):
 
 @register("metric_permutation")
 def q_metric_permutation(spark, sf):
-    """(AP_real − AP_shuffled) / AP_shuffled with labels permuted by seed."""
-    g = fs1(spark, sf)
-    tr, va = g.where(F.col("is_train") == 1), g.where(F.col("is_train") == 0)
-    real = M.ap_auc(M.score_curve(ML.score(ML.fit_pipeline(tr, FS1_NUM, CATS, "logreg", maxIter=20), va, "score")))
-    sh = shuffle_labels(tr.drop("global_index", "_total"), "is_fraud", ["ts", "transaction_id"], "transaction_id")
-    fake = M.ap_auc(M.score_curve(ML.score(ML.fit_pipeline(sh, FS1_NUM, CATS, "logreg", maxIter=20), va, "score")))
-    f = fake.select("ap").scalar()
-    gap = (F.col("ap") - f) / f * 100
-    return real.select(r6("ap").alias("ap_real"), r6(f).alias("ap_shuffled"), r6(gap).alias("gap_pct"),
-                       F.when(gap > 20, "real signal").when(gap > 5, "weak signal").otherwise("no signal")
-                       .alias("verdict"))
+    """(AP_real - AP_shuffled) / AP_shuffled of the audit's model of 100 rounds, with the labels permuted by seed."""
+    m, _ = matrix(spark, sf, NUM, keep=("transaction_id", "ts"))
+    tr, va = m.where("is_train = 1"), m.where("is_train = 0")
+    sh = shuffle_labels(tr, "is_fraud", ["ts", "transaction_id"], "transaction_id")
+    sh = stored(sh.select(*m.columns).unionByName(va), "shuffled")
+    models = B.side_by_side([lambda x=x: B.fit(x, B.AUDIT) for x in (m, sh)])
+    found = B.compared(m, models, [{"labels": "real"}, {"labels": "shuffled"}])
+    at = lambda name: F.max(F.when(F.col("labels") == name, F.col("ap")))
+    gap = (F.col("ap_real") - F.col("ap_shuffled")) / F.col("ap_shuffled") * 100
+    return found.agg(at("real").alias("ap_real"), at("shuffled").alias("ap_shuffled")).select(
+        r6("ap_real").alias("ap_real"), r6("ap_shuffled").alias("ap_shuffled"), r6(gap).alias("gap_pct"),
+        F.when(gap > 20, "real signal").when(gap > 5, "weak signal").otherwise("no signal").alias("verdict"))
 
 
 @register("metric_ablation")
 def q_metric_ablation(spark, sf):
-    """ΔAP vs the full set for each removed feature group."""
-    g = fs1(spark, sf)
-    tr, va = (stored(g.where(F.col("is_train") == t), "split") for t in (1, 0))
-    groups = {"novelty": [f"is_new_{v}_for_sender" for v in NOVELTY],
+    """ΔAP vs the full set for each removed feature group, by the audit's model."""
+    g = stored(fs1(spark, sf), "ablation-rows")
+    groups = {"none": [], "novelty": [f"is_new_{v}_for_sender" for v in NOVELTY],
               "time": ["hour", "day_of_week", "month", "is_weekend", "is_night"],
               "tslt": ["tslt_abs", "tslt_is_negative", "tslt_is_missing"]}
-
-    def ap(cols):
-        return M.ap_auc(M.score_curve(ML.score(ML.fit_pipeline(tr, cols, CATS, "logreg", maxIter=20), va, "score")))
-
-    full = ap(FS1_NUM).select("ap").scalar()
+    tables = [matrix(spark, sf, [c for c in FS1_NUM if c not in cols], g=g)[0] for cols in groups.values()]
+    models = B.side_by_side([lambda m=m: B.fit(m, B.AUDIT) for m in tables])
     rows = None
-    for name, cols in groups.items():
-        r = ap([c for c in FS1_NUM if c not in cols]).select(
-            F.lit(name).alias("removed"), r6(F.col("ap") - full).alias("delta_ap"))
+    for name, m, model in zip(groups, tables, models):
+        r = B.compared(m, [model], [{"removed": name}]).select("removed", "ap")
         rows = r if rows is None else rows.unionByName(r)
+    rows = stored(rows, "ablation")
+    full = rows.where("removed = 'none'").agg(F.max("ap")).scalar()
     d = F.col("delta_ap")
-    return rows.withColumn("impact", F.when(d < -0.003, "high").when(d < -0.0005, "medium").otherwise("none"))
+    return rows.where("removed <> 'none'").select("removed", r6(F.col("ap") - full).alias("delta_ap")).withColumn(
+        "impact", F.when(d < -0.003, "high").when(d < -0.0005, "medium").otherwise("none"))
 
 
 @register("retrain_feedback")
 def q_retrain_feedback(spark, sf):
     """Feedback payloads → labels (ESCALATE dropped) → serving defaults →
-    base ∪ feedback × 3 → refit one PipelineModel → score validation."""
+    base ∪ feedback × 3 → encode and refit 300 rounds → score validation."""
     from ..operators.queue import feedback_label
     from .q_ops import _queue_logs
     g = fs1(spark, sf)
@@ -263,7 +272,7 @@ def q_retrain_feedback(spark, sf):
     fbrows = (g.where(F.col("is_train") == 1).join(lab, "transaction_id").drop("is_fraud").withColumnRenamed("fb_label", "is_fraud"))
     fbrows = FT.serve_defaults(fbrows, FS1_NUM, CATS).withColumn(
         "_rep", F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("_rep")
-    base = g.where(F.col("is_train") == 1)
-    train = base.select(*FS1_NUM, *CATS, "is_fraud").unionByName(fbrows.select(*FS1_NUM, *CATS, "is_fraud"))
-    model = ML.fit_pipeline(train, FS1_NUM, CATS, "logreg", maxIter=20)
-    return ML.score(model, g.where(F.col("is_train") == 0), "score").select("transaction_id", "score")
+    cols = ["transaction_id", *FS1_NUM, *CATS, "is_fraud"]
+    rows = g.select(*cols, "is_train").unionByName(fbrows.select(*cols, F.lit(1).alias("is_train")))
+    m, _ = matrix(spark, sf, g=rows)
+    return B.probability(B.fit(m, B.RETRAIN), m.where("is_train = 0")).select("transaction_id", "score")

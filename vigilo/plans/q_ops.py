@@ -84,7 +84,7 @@ def q_join_membership_anti(spark, sf):
 
 
 KNN_FEATS = ["amount", "velocity_score", "geo_anomaly_score", "spending_deviation_score"]
-LEH = "((transaction_id % 2147483647) * 48271 + 42) % 2147483647"
+LEH = "(((transaction_id % 2147483647) * 48271 + 42) % 2147483647 * 48271 + 42) % 2147483647"
 
 
 CASES_PER_LABEL = 3000
