@@ -1,3 +1,4 @@
+import zlib
 import random
 
 import numpy as np
@@ -96,3 +97,14 @@ def test_awkward_rows(spark):
     model = train([t.encode() for _, t, _ in made(300)], np.array([x == 1 for _, _, x in made(300)]))
     got = score(docs, model, ("doc_id", "score"))
     assert got.count() == docs.count() and score(empty(spark), model).count() == 0
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    from vigilo.llm.toxicity import labelled_sample
+    docs = spark.range(60).selectExpr("id as doc_id", "repeat('word ', 100 * cast(1 + id % 7 as int)) as text")
+    labels = spark.range(60).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    whole, few = (labelled_sample(docs, labels, 50, n) for n in (1 << 20, 8000))
+    assert len(whole) == sum(1 for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1)
+    assert 0 < len(few) < len(whole) and set(few) <= set(whole)
+    for label in (0, 1):
+        assert sum(len(t) for t, y in few if y == label) <= 4000

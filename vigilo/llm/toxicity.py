@@ -12,7 +12,9 @@ documents are negative, and of a toxic document the sentence scored worst is the
 training a few times over.  Landmarks are units that tell toxic from harmless training documents, each chosen
 for the toxic ones that the earlier leave unexplained, and the harmless units most like them.
 
-The fit uses at most ``rows`` labelled documents of each label, those with the smallest hash.  Defined results:
+The fit uses at most ``rows`` labelled documents of each label, those with the smallest hash, and of them only as many whole
+ones as come to ``most_bytes`` together.  A unit must occur in ``least`` toxic documents of the sample to be a landmark: in
+one of 60, but 2 at least and 5 at most.  Defined results:
 null and empty texts have the bias as their only evidence; a missing sentence counts as one without units;
 repeated rows are scored alike; without labels of both kinds every score is 0; an empty table gives no rows.
 """
@@ -25,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_rows, materialise, text_of
@@ -33,6 +35,7 @@ from .resample import SPACE, pieces
 
 DECAY, LENGTH, POWER = 0.9, 2, 4
 LONGEST = 24
+SHARE = 0.6  # of a landmark's neighbouring pairs that a unit like it has at least
 #: Bytes that belong to a unit: letters, digits and all beyond ASCII, in lower case.
 KEPT = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 DROPPED = bytes(c for c in range(256) if not KEPT[c])
@@ -106,7 +109,7 @@ class Landmarks:
 
     def __post_init__(self):
         self.sets = pair_sets_of(self.units, (1,))
-        self.need = [np.ceil(0.6 * np.bitwise_count(x)).astype(np.uint8).clip(min=2) for x in self.sets]
+        self.need = [np.ceil(SHARE * np.bitwise_count(x)).astype(np.uint8).clip(min=2) for x in self.sets]
         self.own = self_kernel(self.units)
 
     def like(self, j: int, sets: list[np.ndarray]) -> np.ndarray:
@@ -288,8 +291,9 @@ def train_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: flo
     return v[:-1], float(v[-1])
 
 
-def train(texts: list[bytes], toxic: np.ndarray, most: int = 64, least: int = 5, background: int = 16, rounds: int = 3) -> Model | None:
+def train(texts: list[bytes], toxic: np.ndarray, most: int = 64, least: int | None = None, background: int = 16, rounds: int = 3) -> Model | None:
     """Fit on labelled documents; None if nothing tells the labels apart."""
+    least = least or max(2, min(5, int(toxic.sum()) // 60))
     chosen, explaining = choose_landmarks(texts, toxic, most, least, background)
     if not chosen or toxic.all() or not toxic.any():
         return None
@@ -350,20 +354,24 @@ def fold(doc_id):
     return F.crc32(doc_id.cast("string")) % 3
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> list:
-    """Texts and labels to learn from, at most ``rows`` of each label, none of them held out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int) -> list:
+    """Texts and labels to learn from, at most ``rows`` of each label and half of ``most_bytes``, none of them held out."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     own = own.where(fold(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     take = [own.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for t in (0, 1)]
     chosen = materialise(take[0].unionByName(take[1]), "toxic-sample")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return sorted((r.text, r.toxic) for r in texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").toLocalIterator())
+    texts = materialise(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "toxic-texts")
+    # sizes of the bounded sample alone are ranked
+    earlier = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    few = texts.select("doc_id", "toxic", F.octet_length("text").alias("size")).withColumn("all", F.sum("size").over(earlier)).where(F.col("all") <= most_bytes // 2).select("doc_id")
+    return sorted((r.text, r.toxic) for r in texts.join(few, "doc_id").select("text", "toxic").toLocalIterator())
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 2000) -> Model | None:
-    """Learn from at most ``rows`` labelled documents of each label; equal texts count once."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 2000, most_bytes: int = 32 << 20) -> Model | None:
+    """Learn from at most ``rows`` labelled documents of each label and ``most_bytes``; equal texts count once."""
     sample: dict[str, int] = {}
-    for text, toxic in labelled_sample(docs, labels, rows):
+    for text, toxic in labelled_sample(docs, labels, rows, most_bytes):
         sample[text] = max(toxic, sample.get(text, 0))
     return train([t.encode() for t in sample], np.array(list(sample.values()), bool).reshape(-1)) if sample else None
 
