@@ -22,7 +22,8 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator scores under 0.7, learned from the stage's own documents."""
+    """Documents that the toxicity operator scores under 0.7, learned from the stage's own documents.  Null and empty texts
+    have no evidence but the bias; repeated rows are scored alike and stay or go together."""
     bound_batches(spark)
     return harmless(docs, table(spark, sf_dir, "labels"), threshold=0.7)
 
@@ -46,7 +47,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of ten benchmark words occurs."""
+    """Documents in which no window of ten benchmark words occurs.  Null and empty texts have no words and stay; repeated
+    rows stay or go together."""
     bound_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10)
 
@@ -59,7 +61,8 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in sequences of 2048 tokens."""
+    """The documents' pieces and their places in sequences of 2048 tokens.  Null and empty texts have the end id as their
+    only token; each of repeated rows has pieces of its own."""
     bound_batches(spark)
     return packed_documents(docs)
 
