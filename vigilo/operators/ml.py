@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import quantile_list
+from .ranks import quantile_list, quantiles
 
 
 def impute_median(df: DataFrame, fit: DataFrame, cols: list[str]) -> DataFrame:
@@ -62,6 +62,17 @@ def onehot_columns(df: DataFrame, fit: DataFrame, col: str) -> DataFrame:
         f"{col}_idx", f"{col}_oh")
 
 
+def case_vectors(df: DataFrame, fit: DataFrame, num: list[str], cats: list[str], id_col: str) -> DataFrame:
+    """The id and ``vec``: imputed and scaled numbers, then 0/1 places of the categories that ``fit`` holds (sorted; a
+    value it doesn't hold has none).  Needs categories of few values, as they go through the driver."""
+    medians = quantiles(fit, num, [0.5]).agg(F.map_from_entries(F.collect_list(F.struct("column", F.col("q")[0])))).scalar()
+    fill = lambda x: x.withColumns({c: F.coalesce(F.col(c), medians[c]) for c in num})
+    d = impute_mode(scale_pop(fill(df), fill(fit), num), fit, cats)
+    known = fit.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cats]).first()  # as an encoder's labels: few values
+    place = [F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0)) for c in cats for v in known[c]]
+    return d.select(id_col, F.array(*num, *place).alias("vec"))
+
+
 def imbalance_weight(label: Column, neg_over_pos: Column, mode: str = "ratio") -> Column:
     """Positive-class weight: neg/pos ratio, its square root, or 1."""
     w = {"ratio": neg_over_pos, "sqrt": F.sqrt(neg_over_pos), "none": F.lit(1.0)}[mode]

@@ -10,6 +10,7 @@ from ..functions import bands as BD
 from ..functions import features as FT
 from ..functions import text as TX
 from ..operators import joins as J
+from ..operators import knn as K
 from ..operators import ml as ML
 from ..operators import past as P
 from ..operators import profile as PR
@@ -18,7 +19,7 @@ from ..operators.order import global_index, sample_stratified, split_flag
 from ..operators.profile import r6
 from ..operators.ranks import quantile_list
 from ..session import stored
-from ..sources.adapters import txn_events
+from ..sources.adapters import CATEGORICALS, txn_events
 from ..sources.tables import read_table
 from .q_metrics import SCORED_SQL, scored
 from .q_profile import _ev_with
@@ -83,36 +84,72 @@ def q_join_membership_anti(spark, sf):
     return out.select("transaction_id")
 
 
-KNN_FEATS = ["amount", "velocity_score", "geo_anomaly_score", "spending_deviation_score"]
+NOVELTY4 = ["location", "device_used", "payment_channel", "transaction_type"]
+
+
+def _ev_flags(spark, sf):
+    d = FT.feat_base(txn_events(spark, sf))
+    for v in NOVELTY4:
+        d = P.novelty(d, S, v, f"is_new_{v}_for_sender", ties="strict")
+    return d
+
+
+NOV_SQL = "nov AS (SELECT *, " + ", ".join(
+    f"CAST(rank() OVER (PARTITION BY {S}, {v} ORDER BY ts) = 1 AS INTEGER) AS is_new_{v}_for_sender"
+    for v in NOVELTY4) + ", CAST(hour(ts) BETWEEN 0 AND 5 AS INTEGER) AS is_night, " \
+    "CAST(time_since_last_transaction IS NULL AS INTEGER) AS tslt_is_missing FROM txn_events)"
+
+
 LEH = "(((transaction_id % 2147483647) * 48271 + 42) % 2147483647 * 48271 + 42) % 2147483647"
 
 
 CASES_PER_LABEL = 3000
-# corpus: the stratified sample; features are scaled by the corpus, so the means cancel in a distance
+CASE_NUM = ["amount", "log_amount", "spending_deviation_score", "velocity_score", "geo_anomaly_score", "hour", "day_of_week", "month",
+            "is_weekend", "is_night", "tslt_abs", "tslt_is_negative", *[f"is_new_{v}_for_sender" for v in NOVELTY4]]
+CASE_SHOWN = ["amount", "payment_channel", "device_used", "transaction_type"]
+# Vectors as the models see them: nulls to the median (most frequent value), numbers scaled, a place per known category; all
+# fitted on the rows with a time since the last transaction.  Two known categories that differ are 2 apart, squared.
 NEAR_SQL = f"""
+, {NOV_SQL}
+, feats AS (SELECT *, ln(1 + amount) AS log_amount, hour(ts) AS hour, isodow(ts) - 1 AS day_of_week, month(ts) AS month,
+                   CAST(isodow(ts) >= 6 AS INTEGER) AS is_weekend, abs(time_since_last_transaction) AS tslt_abs,
+                   CAST(coalesce(time_since_last_transaction < 0, false) AS INTEGER) AS tslt_is_negative FROM nov)
+, fitted AS (SELECT * FROM feats WHERE tslt_is_missing = 0)
+, med AS (SELECT {", ".join(f"median({c}) AS m_{c}" for c in CASE_NUM)}, {", ".join(f"list_sort(list(DISTINCT {c})) AS known_{c}" for c in CATEGORICALS)} FROM fitted)
+, usual AS (SELECT {", ".join(f"(SELECT {c} FROM fitted WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1) AS u_{c}" for c in CATEGORICALS)})
+, imp AS (SELECT transaction_id, tslt_is_missing, {", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in CASE_NUM)},
+                 {", ".join(f"CASE WHEN list_contains(known_{c}, coalesce({c}, u_{c})) THEN coalesce({c}, u_{c}) END AS {c}" for c in CATEGORICALS)}
+          FROM feats, med, usual)
+, st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS s_{c}" for c in CASE_NUM)} FROM imp WHERE tslt_is_missing = 0)
+, vecs AS (SELECT transaction_id, [{", ".join(f"({c} - m_{c}) / s_{c}" for c in CASE_NUM)}]::DOUBLE[{len(CASE_NUM)}] AS v, {", ".join(CATEGORICALS)} FROM imp, st)
 , corpus AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY {LEH}, transaction_id) AS rn
                            FROM txn_events) WHERE rn <= {CASES_PER_LABEL})
-, st AS (SELECT {", ".join(f"CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS s_{c}" for c in KNN_FEATS)} FROM corpus)
-, d AS (SELECT q.transaction_id AS query_id, c.transaction_id AS match_id,
-               sqrt({" + ".join(f"pow(q.{c} / s_{c} - c.{c} / s_{c}, 2)" for c in KNN_FEATS)}) AS dist
-        FROM txn_events q, corpus c, st)
+, cv AS (SELECT vecs.* FROM vecs SEMI JOIN corpus USING (transaction_id))
+, d AS (SELECT q.transaction_id AS query_id, c.transaction_id AS match_id, sqrt(pow(array_distance(q.v, c.v), 2)
+               {"".join(f" + CASE WHEN q.{c} = c.{c} THEN 0 ELSE CAST(q.{c} IS NOT NULL AS INTEGER) + CAST(c.{c} IS NOT NULL AS INTEGER) END" for c in CATEGORICALS)}) AS dist
+        FROM vecs q, cv c)
 , t AS (SELECT query_id, arg_min({{'m': match_id, 'd': dist}}, (round(dist, 9), match_id), 3) AS top FROM d GROUP BY query_id)
 , nn AS (SELECT query_id, top[i].m AS match_id, round(top[i].d, 6) AS score, CAST(i AS INTEGER) AS rank
          FROM t, range(1, 4) r(i) WHERE top[i].m IS NOT NULL)"""
 
 
-def _nearest_cases(spark, sf):
-    """The three nearest cases of every transaction in a sample of 3000 for each label, features scaled."""
-    d = txn_events(spark, sf)
+def _case_rows(spark, sf):
+    """Every transaction with the columns of the case search, written once."""
+    d = _ev_flags(spark, sf).select("transaction_id", "is_fraud", "tslt_is_missing", *[F.col(c).cast("double") for c in CASE_NUM], *CATEGORICALS)
+    return stored(d, "case-rows")
+
+
+def _nearest_cases(d):
+    """The three nearest cases of every transaction in a sample of 3000 for each label, by the whole preprocessed vector."""
     corpus = stored(sample_stratified(d, "is_fraud", CASES_PER_LABEL, "transaction_id"), "cases")
-    vec = F.array(*[F.col(f"{c}_z") for c in KNN_FEATS])
-    scaled = [ML.scale_pop(x, corpus, KNN_FEATS, "_z").select("transaction_id", vec.alias("vec")) for x in (d, corpus)]
-    return corpus, J.topk_similar(*scaled, 3, "l2", q_id="transaction_id", c_id="transaction_id")
+    vectors = stored(ML.case_vectors(d, d.where("tslt_is_missing = 0"), CASE_NUM, CATEGORICALS, "transaction_id"), "case-vectors")
+    found = K.nearest(vectors, vectors.join(corpus.select("transaction_id"), "transaction_id", "left_semi"), 3, q_id="transaction_id", c_id="transaction_id")
+    return corpus, found.select("query_id", "match_id", "score", "rank")
 
 
 @register("join_knn", _ev_with(NEAR_SQL + "\nSELECT query_id, match_id, score, rank FROM nn"))
 def q_join_knn(spark, sf):
-    _, nn = _nearest_cases(spark, sf)
+    _, nn = _nearest_cases(_case_rows(spark, sf))
     return nn.select("query_id", "match_id", r6("score").alias("score"), "rank")
 
 
@@ -404,22 +441,6 @@ def q_text_tx_render(spark, sf):
         "amount", "merchant_category", "location", "device_used").alias("doc"))
 
 
-NOVELTY4 = ["location", "device_used", "payment_channel", "transaction_type"]
-
-
-def _ev_flags(spark, sf):
-    d = FT.feat_base(txn_events(spark, sf))
-    for v in NOVELTY4:
-        d = P.novelty(d, S, v, f"is_new_{v}_for_sender", ties="strict")
-    return d
-
-
-NOV_SQL = "nov AS (SELECT *, " + ", ".join(
-    f"CAST(rank() OVER (PARTITION BY {S}, {v} ORDER BY ts) = 1 AS INTEGER) AS is_new_{v}_for_sender"
-    for v in NOVELTY4) + ", CAST(hour(ts) BETWEEN 0 AND 5 AS INTEGER) AS is_night, " \
-    "CAST(time_since_last_transaction IS NULL AS INTEGER) AS tslt_is_missing FROM txn_events)"
-
-
 def _ev_sql_lines():
     lines = [f"CASE WHEN tslt_is_missing = 1 THEN '{TX.EVIDENCE['tslt_is_missing']}' END"]
     for v in ["location", "device_used", "payment_channel", "transaction_type"]:
@@ -561,7 +582,7 @@ SELECT query_id, rank, match_id, score AS distance, CASE WHEN is_fraud = 1 THEN
        amount, payment_channel, device_used, transaction_type
 FROM nn JOIN corpus ON match_id = transaction_id"""))
 def q_case_retrieval(spark, sf):
-    corpus, nn = _nearest_cases(spark, sf)
+    corpus, nn = _nearest_cases(_case_rows(spark, sf))
     cases = corpus.select(F.col("transaction_id").alias("match_id"), "is_fraud", "amount", "payment_channel", "device_used", "transaction_type")
     j = nn.join(cases, "match_id")
     return j.select("query_id", "rank", "match_id", r6("score").alias("distance"),
