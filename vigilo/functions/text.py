@@ -71,6 +71,36 @@ BRIEF = {
 }
 
 
+# Explanation of a flagged and of an unflagged transaction, and the caveats.
+EXPLANATION = {
+    "Why This Was Flagged": "This transaction was selected for review based on its risk band and the listed structured evidence. Retrieved neighbors include historical labels for context only and are nearest-neighbor examples, not causal proof of fraud.",
+    "Why This Was Not Escalated": "This transaction was not escalated because it falls into the TSLT-missing structural bucket, which historically showed near-zero fraud in the training/validation data. This dependency may reflect a data artifact and should be monitored for drift.",
+}
+CAVEATS = [
+    "1. The underlying ML model is a weak ranking signal and high rank does not guarantee fraud.",
+    "2. Similar historical cases are nearest-neighbor retrieval examples, not causal proof.",
+    "3. The listed features are evidence for review routing, not definitive fraud indicators.",
+]
+NEXT_STEP_TITLE, CAVEATS_TITLE = "Suggested Analyst Next Step", "Caveats"
+
+
+def brief_explanation(band: Column) -> Column:
+    title = brief_title(band)
+    e = F.lit(None).cast("string")
+    for t, text in EXPLANATION.items():
+        e = F.when(title == t, F.lit(text)).otherwise(e)
+    return e
+
+
+def brief(band: Column, lines: Column, cases: Column) -> Column:
+    """The whole report: title, explanation, evidence, similar cases, next step, caveats.  ``lines`` and ``cases`` are
+    arrays of lines, each in its order; a null or empty one leaves its heading alone.  An unknown band gives null."""
+    listed = lambda head, a: F.concat(F.array(F.lit(head)), F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.concat(F.lit("- "), x)))
+    parts = F.concat(F.array(brief_title(band), brief_explanation(band)), listed("Evidence", lines), listed("Similar Historical Cases", cases),
+                     F.array(F.lit(NEXT_STEP_TITLE), brief_next_step(band), F.lit(CAVEATS_TITLE), *[F.lit(c) for c in CAVEATS]))
+    return F.when(brief_title(band).isNotNull(), F.array_join(parts, "\n"))
+
+
 def brief_title(band: Column) -> Column:
     e = F.lit(None).cast("string")
     for b, (t, _) in BRIEF.items():

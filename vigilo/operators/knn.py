@@ -22,8 +22,6 @@ rows.  Equal distances (to nine decimals) rank by id.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -72,20 +70,30 @@ def lower_bounds(to_pivots: np.ndarray, cell: np.ndarray, lo: np.ndarray, hi: np
     return np.maximum(0, np.maximum(d - hi, lo - d)) - 1e-9 - 1e-12 * (d + hi)
 
 
+def to_boxes(q: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The least distance from each query to any place of each ring's box, a little less, one coordinate at a time."""
+    out = np.zeros((len(q), len(least)))
+    for j in range(q.shape[1]):
+        x = q[:, j, None]
+        out += np.maximum(0, np.maximum(least[:, j] - x, x - most[:, j])) ** 2
+    return np.sqrt(out) * (1 - 1e-12) - 1e-9
+
+
 def local_index(ids: np.ndarray, rows: np.ndarray) -> dict:
-    """Index of a corpus that one task holds: rows sorted by cell and distance, cut into rings of some hundred rows."""
-    pivots = choose_pivots(rows[:SAMPLE], min(PIVOTS, max(1, math.isqrt(len(rows)) // 3)))
+    """Index of a corpus that one task holds: rows sorted by cell and distance, cut into small rings."""
+    pivots = choose_pivots(rows[:SAMPLE], min(PIVOTS, max(1, len(rows) // 16)))
     cell, r = np.zeros(len(rows), np.int64), np.zeros(len(rows))
     for s in range(0, len(rows), 100_000):
         d = distances(rows[s:s + 100_000], pivots)
         cell[s:s + 100_000], r[s:s + 100_000] = d.argmin(axis=1), d.min(axis=1)
     order = np.lexsort((ids, r, cell))
     ids, rows, cell, r = ids[order], rows[order], cell[order], r[order]
-    size = max(64, len(rows) // (4 * len(pivots)))
+    size = max(16, len(rows) // (4 * len(pivots)))
     place = np.arange(len(rows)) - np.searchsorted(cell, cell)
     first = np.nonzero(place % size == 0)[0]
     last = np.append(first[1:], len(rows))
-    return {"ids": ids, "rows": rows, "pivots": pivots, "first": first, "last": last, "cell": cell[first], "lo": r[first], "hi": r[last - 1]}
+    return {"ids": ids, "rows": rows, "pivots": pivots, "first": first, "last": last, "cell": cell[first], "lo": r[first], "hi": r[last - 1],
+            "least": np.minimum.reduceat(rows, first), "most": np.maximum.reduceat(rows, first)}
 
 
 def local_search(qids: np.ndarray, q: np.ndarray, ix: dict, k: int, exclude_self: bool) -> pd.DataFrame:
@@ -94,17 +102,18 @@ def local_search(qids: np.ndarray, q: np.ndarray, ix: dict, k: int, exclude_self
     home, out = to_pivots.argmin(axis=1), []
     for h in np.unique(home):
         mine = np.nonzero(home == h)[0]
-        least = lower_bounds(to_pivots[mine], ix["cell"], ix["lo"], ix["hi"])
+        least = np.maximum(lower_bounds(to_pivots[mine], ix["cell"], ix["lo"], ix["hi"]), to_boxes(q[mine], ix["least"], ix["most"]))
         score, match = np.full((len(mine), k), np.inf), np.full((len(mine), k), -1, np.int64)
-        scored = np.zeros(len(mine), np.int64)
-        for ring in np.lexsort((to_pivots[mine][:, ix["cell"]].mean(axis=0), least.min(axis=0))):
-            near = np.nonzero(least[:, ring] <= score[:, k - 1])[0]
-            if not len(near):
-                continue
-            s, e = ix["first"][ring], ix["last"][ring]
-            got = _topk_rows(near, q[mine[near]], ix["ids"][s:e], ix["rows"][s:e], k, "l2", False) if not exclude_self else \
-                _without_self(near, qids[mine[near]], q[mine[near]], ix["ids"][s:e], ix["rows"][s:e], k)
-            scored[near] += e - s
+        scored, rings, size = np.zeros(len(mine), np.int64), np.lexsort((to_pivots[mine][:, ix["cell"]].mean(axis=0), least.min(axis=0))), 16 * k
+        while len(rings := rings[(least[:, rings] <= score[:, k - 1:]).any(axis=0)]):
+            # the nearest rings left, about twice as many rows each time, for those queries that need any of them
+            held = (ix["last"] - ix["first"])[rings]
+            now, rings, size = rings[held.cumsum() - held < size], rings[held.cumsum() - held >= size], 2 * size
+            near = np.nonzero((least[:, now] <= score[:, k - 1:]).any(axis=1))[0]
+            take = np.concatenate([np.arange(ix["first"][i], ix["last"][i]) for i in now])
+            ids, rows = ix["ids"][take], ix["rows"][take]
+            got = _without_self(near, qids[mine[near]], q[mine[near]], ids, rows, k) if exclude_self else _topk_rows(near, q[mine[near]], ids, rows, k, "l2", False)
+            scored[near] += len(take)
             row = np.concatenate([got["query_id"].to_numpy(np.int64), np.repeat(near, k)])
             sc = np.concatenate([got["score"].to_numpy(), score[near].ravel()])
             ident = np.concatenate([got["match_id"].to_numpy(np.int64), match[near].ravel()])

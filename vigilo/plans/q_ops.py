@@ -12,6 +12,7 @@ from ..functions import text as TX
 from ..operators import joins as J
 from ..operators import knn as K
 from ..operators import ml as ML
+from ..operators import monitors as MO
 from ..operators import past as P
 from ..operators import profile as PR
 from ..operators import queue as QU
@@ -135,7 +136,7 @@ NEAR_SQL = f"""
 
 def _case_rows(spark, sf):
     """Every transaction with the columns of the case search, written once."""
-    d = _ev_flags(spark, sf).select("transaction_id", "is_fraud", "tslt_is_missing", *[F.col(c).cast("double") for c in CASE_NUM], *CATEGORICALS)
+    d = _ev_flags(spark, sf).select("transaction_id", "is_fraud", "tslt_is_missing", *[F.col(c).cast("double").alias(c) for c in CASE_NUM], *CATEGORICALS)
     return stored(d, "case-rows")
 
 
@@ -370,6 +371,68 @@ def q_override_rate(spark, sf):
     return o.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "reviews", r6("override_rate").alias("override_rate"), "escalations")
 
 
+# the rendered transaction stands for a generated brief; phrases that occur in it stand for forbidden ones
+RENDER_PHRASES = ["tokyo", "travel"]
+MONITOR_SQL = [
+    SCORED_SQL, QUEUE_SQL,
+    """g AS (SELECT *, row_number() OVER (ORDER BY ts, transaction_id) - 1 AS global_index, COUNT(*) OVER () AS _total,
+                   strftime(ts, '%Y-%m-%d') AS day, score_fine AS s,
+                   (merchant_category = 'travel' OR location = 'Tokyo') AS violated, CAST(transaction_id % 10 = 0 AS BOOLEAN) AS unparsed FROM scored)""",
+    "ref AS (SELECT * FROM g WHERE global_index < floor(_total * 0.8))", "cur AS (SELECT * FROM g WHERE global_index >= floor(_total * 0.8))",
+    "cuts AS (SELECT quantile_cont(s, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS c FROM ref)",
+    "bins AS (SELECT CAST(unnest(range(10)) AS BIGINT) AS b)",
+    "rb AS (SELECT len(list_filter(c, lambda x: s > x)) AS b, COUNT(*) / (SELECT COUNT(*) FROM ref) AS r FROM ref, cuts GROUP BY 1)",
+    "cb AS (SELECT day, len(list_filter(c, lambda x: s > x)) AS b, COUNT(*) AS k FROM cur, cuts GROUP BY 1, 2)",
+    "days AS (SELECT day, COUNT(*) AS n FROM cur GROUP BY 1)",
+    """psi AS (SELECT day, n, SUM((p - r) * ln(p / r)) AS value FROM (
+         SELECT day, n, greatest(coalesce(k, 0) / n, 1e-4) AS p, greatest(coalesce(rb.r, 0), 1e-4) AS r
+         FROM days CROSS JOIN bins LEFT JOIN rb USING (b) LEFT JOIN cb USING (day, b)) GROUP BY 1, 2)""",
+    """ks AS (SELECT day, any_value(n) AS n, max(abs(fc - fr)) AS value FROM (
+         SELECT day, n, SUM(o) OVER w / n AS fc, SUM(1 - o) OVER w / (SELECT COUNT(*) FROM ref) AS fr
+         FROM (SELECT day, s, 1 AS o FROM cur UNION ALL SELECT x.day, ref.s, 0 FROM ref CROSS JOIN days x) JOIN days USING (day)
+         WINDOW w AS (PARTITION BY day ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY 1)""",
+]
+
+
+@register("monitor_drift", ev_sql("""
+SELECT day, monitor, CAST(n AS BIGINT) AS n, round(value, 6) AS value FROM (
+  SELECT day, 'score_psi' AS monitor, n, value FROM psi
+  UNION ALL SELECT day, 'score_ks', n, value FROM ks
+  UNION ALL SELECT day, 'fraud_rate_drift', COUNT(*), avg(is_fraud) - (SELECT avg(is_fraud) FROM ref) FROM cur GROUP BY 1
+  UNION ALL SELECT day, 'tslt_missing_drift', COUNT(*), avg(CAST(time_since_last_transaction IS NULL AS INTEGER))
+            - (SELECT avg(CAST(time_since_last_transaction IS NULL AS INTEGER)) FROM ref) FROM cur GROUP BY 1
+  UNION ALL SELECT day, 'guardrail_failure_rate', COUNT(*), avg(CAST(violated AS INTEGER)) FROM cur GROUP BY 1
+  UNION ALL SELECT day, 'fallback_rate', COUNT(*), avg(CAST(violated OR unparsed AS INTEGER)) FROM cur GROUP BY 1
+  UNION ALL SELECT strftime(make_timestamp(written_at), '%Y-%m-%d'), 'queue_volume', COUNT(*), COUNT(*) FROM q GROUP BY 1
+  UNION ALL SELECT strftime(make_timestamp(reviewed_at), '%Y-%m-%d'), 'override_rate', COUNT(*), avg(CAST(analyst_decision = 'FALSE_ALARM' AS INTEGER)) FROM fb GROUP BY 1)""",
+                                  *MONITOR_SQL))
+def q_monitor_drift(spark, sf):
+    """One row per day and monitor.  The reference of the drifts is the first 80 % of the rows by time, the days are those
+    after it; queue volume and overrides cover every day of the logs."""
+    d = scored(spark, sf)
+    text = F.concat_ws(" ", "merchant_category", "location", "device_used")
+    violated = F.size(TX.guardrail_violations(text, RENDER_PHRASES)) > 0
+    payload = F.to_json(F.struct("transaction_id", "amount"))
+    payload = F.when(F.col("transaction_id") % 10 == 0, F.substring(payload, 2, 10)).otherwise(payload)
+    unparsed = F.from_json(payload, "transaction_id LONG, amount DOUBLE")["transaction_id"].isNull()
+    d = d.select("transaction_id", "ts", "is_fraud", "score_fine", F.date_format("ts", "yyyy-MM-dd").alias("day"),
+                 F.col("time_since_last_transaction").isNull().alias("tslt_missing"), violated.alias("violated"), (violated | unparsed).alias("fallback"))
+    g = global_index(d, ["ts", "transaction_id"])
+    split = split_flag(F.col("global_index"), F.col("_total"))
+    ref, cur = g.where(split == 1), g.where(split == 0)
+    drift = MO.rates(cur, {"fraud_rate_drift": F.col("is_fraud"), "tslt_missing_drift": F.col("tslt_missing")}, reference=ref)
+    plain = MO.rates(cur, {"guardrail_failure_rate": F.col("violated"), "fallback_rate": F.col("fallback")})
+    qlog, fb = _queue_logs(spark, sf)
+    day = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd").alias("day")
+    volume = QU.latest(qlog, "transaction_id", "written_at").groupBy(day("written_at")).agg(F.count(F.lit(1)).alias("n")).select("day", F.lit("queue_volume").alias("monitor"), "n", F.col("n").cast("double").alias("value"))
+    over = MO.rates(fb.select(day("reviewed_at"), "analyst_decision"), {"override_rate": F.col("analyst_decision") == "FALSE_ALARM"})
+    parts = [f(cur, ref, "score_fine").select("day", F.lit(name).alias("monitor"), "n", "value") for name, f in (("score_psi", MO.psi), ("score_ks", MO.ks))]
+    out = parts[0]
+    for p in [parts[1], drift, plain, volume, over]:
+        out = out.unionByName(p)
+    return out.select("day", "monitor", "n", r6("value").alias("value"))
+
+
 # ---- text / briefs -------------------------------------------------------
 
 # phrases that occur in the synthetic documents (the reference list never does)
@@ -561,20 +624,40 @@ def q_cascade_d(spark, sf):
     return d.select("transaction_id", r6(BD.cascade_d(F.col("score"), F.col("score_fine"), p80)).alias("cascade_score"))
 
 
-def _brief_sql():
-    cases = " ".join(f"WHEN '{b}' THEN {len(t[1])}" for b, t in TX.BRIEF.items())
-    return f"""
-SELECT transaction_id, band, CASE band WHEN 'Low' THEN 'Why This Was Not Escalated' ELSE 'Why This Was Flagged' END AS title,
-       CASE band {cases} END AS next_step_len
-FROM (SELECT transaction_id, CASE WHEN s >= 0.08 THEN 'High' WHEN s >= 0.04 THEN 'Review'
-             WHEN s >= 0.01 THEN 'Medium' ELSE 'Low' END AS band FROM (SELECT *, score_fine * 0.1 AS s FROM scored))"""
+def _chosen(column, texts):
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in texts.items()) + " END"
+
+
+BRIEF_SQL = f"""
+, {SCORED_SQL}
+, shown AS (SELECT query_id, list(printf('%s: distance %.6f, $%.2f via %s (%s, %s)', CASE WHEN is_fraud = 1 THEN 'Fraud' ELSE 'Legitimate' END,
+                   score, amount, payment_channel, transaction_type, device_used) ORDER BY rank) AS cases
+            FROM nn JOIN corpus ON match_id = transaction_id GROUP BY 1)
+, ev AS (SELECT transaction_id, CASE WHEN len(ev) <= 2 AND tslt_is_missing = 0 THEN list_append(ev, '{TX.EVIDENCE['no_anomaly']}') ELSE ev END AS lines
+         FROM (SELECT *, {_ev_sql_lines()} AS ev FROM nov))
+, banded AS (SELECT transaction_id, CASE WHEN s >= 0.08 THEN 'High' WHEN s >= 0.04 THEN 'Review' WHEN s >= 0.01 THEN 'Medium' ELSE 'Low' END AS band
+             FROM (SELECT *, score_fine * 0.1 AS s FROM scored))
+, titled AS (SELECT *, {_chosen("band", {b: t for b, (t, _) in TX.BRIEF.items()})} AS title FROM banded)
+SELECT transaction_id, band, title, concat_ws(chr(10), title, {_chosen("title", TX.EXPLANATION)}, 'Evidence', array_to_string(list_transform(lines, lambda x: '- ' || x), chr(10)),
+       'Similar Historical Cases', array_to_string(list_transform(cases, lambda x: '- ' || x), chr(10)), '{TX.NEXT_STEP_TITLE}',
+       {_chosen("band", {b: n for b, (_, n) in TX.BRIEF.items()})}, '{TX.CAVEATS_TITLE}', {", ".join(f"'{c}'" for c in TX.CAVEATS)}) AS brief
+FROM titled JOIN ev USING (transaction_id) JOIN shown ON query_id = transaction_id"""
 
 
-@register("brief_render", ev_sql(_brief_sql(), SCORED_SQL))
+@register("brief_render", _ev_with(NEAR_SQL + BRIEF_SQL))
 def q_brief_render(spark, sf):
-    d = scored(spark, sf).withColumn("band", BD.band(F.col("score_fine") * 0.1, BD.BANDS_DASHBOARD))
-    return d.select("transaction_id", "band", TX.brief_title(F.col("band")).alias("title"),
-                    F.length(TX.brief_next_step(F.col("band"))).alias("next_step_len"))
+    """The report of every transaction with its evidence and its three nearest cases as text."""
+    d = _case_rows(spark, sf)
+    corpus, nn = _nearest_cases(d)
+    cases = corpus.select(F.col("transaction_id").alias("match_id"), "is_fraud", *CASE_SHOWN)
+    line = F.format_string("%s: distance %.6f, $%.2f via %s (%s, %s)", F.when(F.col("is_fraud") == 1, "Fraud").otherwise("Legitimate"),
+                           r6("score"), "amount", "payment_channel", "transaction_type", "device_used")
+    shown = nn.join(cases, "match_id").groupBy(F.col("query_id").alias("transaction_id")).agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("cases"))
+    flags = {k: F.col(k) for k in ["tslt_is_missing", "is_night"] + [f"is_new_{v}_for_sender" for v in NOVELTY4]}
+    lines = TX.evidence(flags, F.col("hour").cast("int"), F.col("amount"), F.col("payment_channel"), F.col("transaction_type"), F.col("tslt_is_missing"))
+    scores = scored(spark, sf).select("transaction_id", BD.band(F.col("score_fine") * 0.1, BD.BANDS_DASHBOARD).alias("band"))
+    d = d.select("transaction_id", lines.alias("lines")).join(shown, "transaction_id", "left").join(scores, "transaction_id")
+    return d.select("transaction_id", "band", TX.brief_title(F.col("band")).alias("title"), TX.brief(F.col("band"), F.col("lines"), F.col("cases.line")).alias("brief"))
 
 
 @register("case_retrieval", _ev_with(NEAR_SQL + """
@@ -583,7 +666,7 @@ SELECT query_id, rank, match_id, score AS distance, CASE WHEN is_fraud = 1 THEN
 FROM nn JOIN corpus ON match_id = transaction_id"""))
 def q_case_retrieval(spark, sf):
     corpus, nn = _nearest_cases(_case_rows(spark, sf))
-    cases = corpus.select(F.col("transaction_id").alias("match_id"), "is_fraud", "amount", "payment_channel", "device_used", "transaction_type")
+    cases = corpus.select(F.col("transaction_id").alias("match_id"), "is_fraud", *CASE_SHOWN)
     j = nn.join(cases, "match_id")
     return j.select("query_id", "rank", "match_id", r6("score").alias("distance"),
                     F.when(F.col("is_fraud") == 1, "Fraud").otherwise("Legitimate").alias("label"), "amount", "payment_channel", "device_used", "transaction_type")
@@ -672,12 +755,43 @@ def q_sink_predictions(spark, sf):
     return spark.read.parquet(path)
 
 
+HISTORY = [S, "location", "payment_channel", "device_used", "transaction_type"]
+
+
+def _exported(spark, sf):
+    """What scoring needs, saved as one version and loaded again: preprocessor, pairs seen, cases, feature list, rows."""
+    from pyspark.ml import Pipeline
+
+    from ..session import scratch_path
+    from ..sources import artifact
+    d = txn_events(spark, sf)
+    num = ["amount", "velocity_score", "geo_anomaly_score"]
+    tables = {"rows": d.select("transaction_id", "ts", "amount", "location", "is_fraud"), "history": d.select(*HISTORY).distinct(),
+              "cases": sample_stratified(d, "is_fraud", CASES_PER_LABEL, "transaction_id")}
+    base = scratch_path(spark, "artifact")
+    artifact.save(spark, base, tables, {"preprocessor": Pipeline(stages=ML.assembler(num, CATEGORICALS)).fit(d)}, {"features": num + CATEGORICALS})
+    return artifact.load(spark, base)
+
+
 @register("sink_artifact", RT_SQL)
 def q_sink_artifact(spark, sf):
-    b = _roundtrip(spark, sf, "parquet")
+    b = _exported(spark, sf).tables["rows"]
     return b.select("transaction_id", F.unix_micros("ts").alias("ts_us"), "amount", "location", "is_fraud")
 
 
+@register("sink_artifact_cases", _ev_with(f"""
+, corpus AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY {LEH}, transaction_id) AS rn
+                           FROM txn_events) WHERE rn <= {CASES_PER_LABEL})
+, history AS (SELECT DISTINCT {", ".join(HISTORY)} FROM txn_events)
+SELECT transaction_id, is_fraud, 1 + 1 + 1 + 5 AS features, CAST(COUNT(*) AS BIGINT) AS pairs_of_sender FROM corpus JOIN history USING ({S}) GROUP BY 1, 2"""))
+def q_sink_artifact_cases(spark, sf):
+    """The loaded cases that the loaded preprocessor takes, with the number of pairs that the loaded history holds of their sender."""
+    a = _exported(spark, sf)
+    cases = a.models["preprocessor"].transform(a.tables["cases"]).where(F.col("features").isNotNull())
+    pairs = a.tables["history"].groupBy(S).agg(F.count(F.lit(1)).alias("pairs_of_sender"))
+    return cases.join(pairs, S).select("transaction_id", "is_fraud", F.lit(len(a.values["features"])).alias("features"), "pairs_of_sender")
+
+
 # ---- remaining profiling that needs curves --------------------------------
 
 @register("agg_spearman", ev_sql("""
