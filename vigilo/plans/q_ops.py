@@ -739,6 +739,24 @@ def q_src_csv_typed(spark, sf):
     return b.select("transaction_id", F.unix_micros("ts").alias("ts_us"), F.hour("ts").alias("hour"))
 
 
+@register("src_csv_quarantine", ev_sql("""
+SELECT transaction_id, CASE WHEN transaction_id % 50 > 1 THEN amount END AS amount,
+       CASE transaction_id % 50 WHEN 0 THEN 'amount is no double' WHEN 1 THEN 'ts is no timestamp' ELSE 'good' END AS state FROM txn_events"""))
+def q_src_csv_quarantine(spark, sf):
+    """Files of which one row in 50 has no number for its amount and one no time: the good rows typed by inference, the
+    others quarantined."""
+    from ..session import scratch_path
+    from ..sources.csv_files import read_csv
+    path, kind = scratch_path(spark, "csv-mixed"), F.col("transaction_id") % 50
+    d = txn_events(spark, sf).select("transaction_id", F.when(kind == 1, "soon").otherwise(F.col("ts").cast("string")).alias("ts"),
+                                     F.when(kind == 0, "n/a").otherwise(F.col("amount").cast("string")).alias("amount"), "location")
+    d.write.option("header", True).csv(path)
+    good, bad = read_csv(spark, path)
+    out = good.select("transaction_id", "amount", F.lit("good").alias("state"))
+    first = F.split("record", ",")[0].cast("long")
+    return out.unionByName(bad.select(first.alias("transaction_id"), F.lit(None).cast("double").alias("amount"), F.col("reason").alias("state")))
+
+
 @register("sink_csv", RT_SQL)
 def q_sink_csv(spark, sf):
     return q_src_csv(spark, sf)
