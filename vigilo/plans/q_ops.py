@@ -266,6 +266,23 @@ def q_queue_upsert(spark, sf):
     return q.select("transaction_id", "written_at", r6("risk_score").alias("risk_score"), "risk_band")
 
 
+@register("queue_compaction", ev_sql("""
+SELECT transaction_id, written_at, round(risk_score, 6) AS risk_score, risk_band FROM q""", SCORED_SQL, QUEUE_SQL))
+def q_queue_compaction(spark, sf):
+    """The log in three batches, compacted after two, one of them replayed: the latest rows are those of the whole log."""
+    from ..operators import queue_log as QL
+    from ..session import scratch_path
+    qlog, _ = _queue_logs(spark, sf)
+    base, part = scratch_path(spark, "queue"), F.col("transaction_id") % 3
+    QL.append(base, 0, qlog.where(part == 0))
+    QL.append(base, 1, qlog.where(part == 1))
+    QL.compact(spark, base, "transaction_id", "written_at")
+    QL.append(base, 1, qlog.where(part == 1))
+    QL.append(base, 2, qlog.where(part == 2))
+    q = QU.latest(QL.log(spark, base), "transaction_id", "written_at")
+    return q.select("transaction_id", "written_at", r6("risk_score").alias("risk_score"), "risk_band")
+
+
 @register("sink_queue_upsert", ev_sql("""
 SELECT transaction_id, written_at, round(risk_score, 6) AS risk_score, risk_band, status FROM st""",
                                       SCORED_SQL, QUEUE_SQL))

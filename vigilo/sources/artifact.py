@@ -38,11 +38,14 @@ def _sealed(body: str) -> str:
     return f"{body}\n{hashlib.sha256(body.encode()).hexdigest()}\n"
 
 
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if there is no folder."""
+    fs, path = _folder(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
 def _numbers(spark: SparkSession, base: str) -> list[int]:
-    fs, path = _folder(spark, f"{base}/manifests")
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    names = children(spark, f"{base}/manifests")
     return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json") and n[9:-5].isdigit())
 
 
