@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import prefix, quantile_list
+from .ranks import prefix, quantiles
 
 #: Bins between the reference's deciles, and the least share that a bin counts with.
 BINS = 10
@@ -25,11 +25,13 @@ def _values(df: DataFrame, value: str, *keys: str) -> DataFrame:
 
 def psi(df: DataFrame, reference: DataFrame, value: str, day: str = "day") -> DataFrame:
     """Per day: rows and the population stability index over the reference's decile bins, a cut in the lower bin."""
-    cuts = quantile_list(reference, value, [i / BINS for i in range(1, BINS)])
+    # nine cuts and ten shares: plain numbers, as a subquery would be planned again in each place
+    cuts = quantiles(reference, [value], [i / BINS for i in range(1, BINS)]).select("q").first()
+    cuts = [F.lit(c).cast("double") for c in (cuts.q if cuts else [None] * (BINS - 1))]
     place = sum(((F.col("v") > cuts[i]).cast("int") for i in range(BINS - 1)), F.lit(0))
     share = F.array(*[F.greatest(F.sum(F.when(F.col("b") == i, F.col("n")).otherwise(0)) / F.sum("n"), F.lit(FLOOR)) for i in range(BINS)])
-    base = _values(reference, value).withColumn("b", place).agg(share.alias("r")).scalar()
-    days = _values(df, value, day).withColumn("b", place).groupBy(day).agg(F.sum("n").alias("n"), share.alias("p")).withColumn("r", base)
+    base = _values(reference, value).withColumn("b", place).agg(share.alias("r")).first().r
+    days = _values(df, value, day).withColumn("b", place).groupBy(day).agg(F.sum("n").alias("n"), share.alias("p")).withColumn("r", F.array(*[F.lit(x).cast("double") for x in base or [None] * BINS]))
     return days.select(day, "n", sum(((F.col("p")[i] - F.col("r")[i]) * F.log(F.col("p")[i] / F.col("r")[i]) for i in range(BINS)), F.lit(0.0)).alias("value"))
 
 
@@ -47,12 +49,7 @@ def ks(df: DataFrame, reference: DataFrame, value: str, day: str = "day") -> Dat
 
 def rates(df: DataFrame, flags: dict[str, Column], day: str = "day", reference: DataFrame | None = None) -> DataFrame:
     """One row per day and flag: rows with the flag known, and the share where it holds (less the reference's share)."""
-    base = reference.agg(F.struct(*[F.avg(c.cast("double")).alias(k) for k, c in flags.items()])).scalar() if reference is not None else None
+    base = reference.agg(*[F.avg(c.cast("double")).alias(k) for k, c in flags.items()]).first() if reference is not None else None
     aggs = [F.struct(F.lit(k).alias("monitor"), F.count(c).alias("n"), F.avg(c.cast("double")).alias("value")) for k, c in flags.items()]
-    out = df.groupBy(day).agg(F.array(*aggs).alias("m"))
-    if base is not None:
-        out = out.withColumn("base", base)
-        less = F.coalesce(*[F.when(F.col("x.monitor") == k, F.col("base")[k]) for k in flags])
-    else:
-        less = F.lit(0.0)
-    return out.withColumn("x", F.explode("m")).select(day, F.col("x.monitor").alias("monitor"), F.col("x.n").alias("n"), (F.col("x.value") - less).alias("value"))
+    less = F.lit(0.0) if base is None else F.coalesce(*[F.when(F.col("x.monitor") == k, F.lit(base[k]).cast("double")) for k in flags])
+    return df.groupBy(day).agg(F.array(*aggs).alias("m")).withColumn("x", F.explode("m")).select(day, F.col("x.monitor").alias("monitor"), F.col("x.n").alias("n"), (F.col("x.value") - less).alias("value"))
