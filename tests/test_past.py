@@ -80,3 +80,64 @@ def test_std_of_a_large_offset(spark):
         assert abs(last["e_std"] - 0.8175) < 1e-3
     a, b = (col(P.expanding(df, "k", "x", "e", chunks=c), "e_std") for c in (1, 9))
     assert all((x is None and y is None) or abs(x - y) < 1e-6 for x, y in zip(a, b))
+
+
+def hot(spark):
+    """One entity with many rows of one time and of no time, and some small entities, null among them."""
+    rows = spark.range(400).selectExpr("id as transaction_id", "case when id % 5 = 0 then id % 3 when id % 31 = 1 then null else 7 end as e", "id % 11 as a", "case when id % 13 = 0 then null else id % 4 end as b",
+                                       "case when id % 9 = 0 then null when id % 3 = 0 then timestamp_seconds(id) else timestamp_seconds(1000) end as ts", "id * 0.5 as x")
+    return rows
+
+
+def test_ties_of_one_time_lie_in_several_ranges(spark):
+    d = P.placed(hot(spark), ["e"], chunks=12, order=["transaction_id"])
+    assert d.where("e = 7 and ts = timestamp_seconds(1000)").select("_c").distinct().count() > 3
+
+    def feats(chunks):
+        d = P.expanding(hot(spark), "e", "x", "s", chunks=chunks)
+        d = P.unique_so_far(d, "e", "a", "u", chunks=chunks)
+        return {r["transaction_id"]: (r["s_sum"], r["s_count"], r["s_max"], None if r["s_std"] is None else round(r["s_std"], 9), r["u"]) for r in d.collect()}
+
+    want = {}
+    past = {}
+    for r in sorted(hot(spark).collect(), key=lambda r: (r["ts"] is not None, r["ts"] or 0, r["transaction_id"])):
+        seen = past.setdefault(r["e"], [])
+        xs = [float(s["x"]) for s in seen]
+        mean = sum(xs) / len(xs) if xs else None
+        std = None if not xs else round((sum((x - mean) ** 2 for x in xs) / len(xs)) ** 0.5, 9)
+        want[r["transaction_id"]] = (sum(xs) if xs else None, len(xs), max(xs) if xs else None, std, len({s["a"] for s in seen}))
+        seen.append(r)
+    for chunks in (1, 12):
+        got = {k: (v[0] if v[0] is None else float(v[0]), v[1], v[2] if v[2] is None else float(v[2]), v[3], v[4]) for k, v in feats(chunks).items()}
+        for k, w in want.items():
+            g = got[k]
+            assert (g[0], g[1], g[2], g[4]) == (w[0], w[1], w[2], w[4])
+            assert g[3] == w[3] or abs(g[3] - w[3]) < 1e-6
+
+
+@pytest.mark.parametrize("chunks", [1, 12])
+def test_together_equals_one_by_one(spark, chunks):
+    d = hot(spark)
+    many = P.together(d, ["e"], [(["e", "a"], {"na": ("count", None)}, "strict"), (["e", "b"], {"nb": ("count", None), "mb": ("max", F.col("x"))}, "positional"),
+                                 (["e"], {"s": ("sum", F.col("x")), "v": ("var", F.col("x"))}, "strict")], chunks=chunks)
+    one = P.running(d, ["e", "a"], {"na": ("count", None)}, ties="strict")
+    one = P.running(one, ["e", "b"], {"nb": ("count", None), "mb": ("max", F.col("x"))})
+    one = P.running(one, ["e"], {"s": ("sum", F.col("x")), "v": ("var", F.col("x"))}, ties="strict")
+    cut = lambda df: {r["transaction_id"]: (r["na"], r["nb"], r["mb"], r["s"], None if r["v"] is None else round(r["v"], 6)) for r in df.collect()}
+    assert set(many.columns) == set(one.columns) and cut(many) == cut(one)
+
+
+def test_beside_equals_a_chain(spark):
+    d = hot(spark)
+    got = P.beside(d, [(["e"], lambda r: P.seq_index(r, "e", "n")), (["a", "b"], lambda r: P.novelties(r, "a", {"new": "b"}))], keep=["x"])
+    want = P.novelty(P.seq_index(d, "e", "n"), "a", "b", "new").select(got.columns)
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_later_steps_carry_reads_spanning_entities_only(spark):
+    """A filter on ``_span`` passes below the windows of the step before."""
+    d = P.placed(hot(spark), ["e"], chunks=6)
+    d = P.running(d, ["e", "a"], {"n": ("count", None)})
+    plan = d.where("_span")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("Window")].splitlines()
+    assert not [line for line in above if "Filter" in line and "_span" in line]

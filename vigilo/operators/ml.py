@@ -143,9 +143,9 @@ def stream_model(spark, sf: str):
     from ..streaming.job import MODEL_COLUMNS, VALUES
     from . import past as P
     d = scored(spark, sf)
-    for v in VALUES:
-        d = P.novelty(d, "sender_account", v, f"is_new_{v}_for_sender", ties="positional")
-    d = P.running(d, ["sender_account"], {"_last": ("max", F.col("ts"))})
+    sender, flags = "sender_account", {f"is_new_{v}_for_sender": v for v in VALUES}
+    d = P.together(d, [sender], [([sender, v], {o: ("count", None)}, "positional") for o, v in flags.items()] + [([sender], {"_last": ("max", F.col("ts"))}, "positional")])
+    d = d.withColumns({o: (F.col(o) == 0).cast("int") for o in flags})
     gap = (F.unix_micros("ts") - F.unix_micros("_last")) / 1e6
     d = d.withColumn("t", F.when(F.col("_last").isNull(), F.col("time_since_last_transaction")).otherwise(gap))
     d = feat_time_ext(d, "ts").withColumns({"log_amount": F.log1p("amount"), "tslt_abs": F.coalesce(F.abs("t"), F.lit(0.0)), "tslt_is_negative": F.coalesce(F.col("t") < 0, F.lit(False)).cast("int")})

@@ -17,6 +17,11 @@ aggregate of all earlier chunks and stand before the chunk's first row.  Counts,
 sums, maxima, minima and variances (as count, mean and second moment) continue
 across chunks, and results don't depend on where chunks end.
 
+Several features of one entity share a placement and one shuffle: ``together``
+takes their carry rows from the placed rows, and its windows are all partitioned
+by (entity, range) at least.  Features of several entities are computed ``beside``
+each other from narrow rows and joined by the rows' id.
+
 A rolling window is a running sum too: each row enters at its time and leaves
 at its time plus the window's length, so it needs no frame of bounded time and
 is split like any other running sum.
@@ -24,6 +29,8 @@ is split like any other running sum.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,45 +85,85 @@ def running(df: DataFrame, keys: list[str], measures: dict[str, tuple[str, Colum
     Empty past: count 0, others null.  ``chunk_keys``, a subset of the keys,
     places the rows if they aren't placed yet.
     """
-    keys = list(keys)
-    if ties not in ("positional", "strict"):
-        raise ValueError(ties)
-    if bad := [kind for kind, _ in measures.values() if kind not in _KINDS]:
-        raise ValueError(bad[0])
+    return together(df, list(chunk_keys or keys), [(list(keys), measures, ties)], ts, order, include_current, chunks)
+
+
+def together(df: DataFrame, entity: list[str], groups: list[tuple[list[str], dict[str, tuple[str, Column | None]], str]],
+             ts: str = "ts", order: list[str] = ("transaction_id",), include_current: bool = False,
+             chunks: int | None = None) -> DataFrame:
+    """``running`` for several groups ``(keys, measures, ties)`` of one entity, whose keys all hold the entity's.
+
+    The rows are placed once (unless they are already) and shuffled once; no group's result is computed again
+    for another's carry rows.  If all groups are positional, rows of one entity and time may lie in several ranges."""
+    for _, measures, ties in groups:
+        if ties not in ("positional", "strict"):
+            raise ValueError(ties)
+        if bad := [kind for kind, _ in measures.values() if kind not in _KINDS]:
+            raise ValueError(bad[0])
     ours = "_c" not in df.columns
-    d = placed(df, chunk_keys or keys, ts, chunks) if ours else df
+    split = list(order) if all(ties == "positional" for *_, ties in groups) else []
+    d = placed(df, entity, ts, chunks, split) if ours else df
     vcols = {f"_v_{out}": F.lit(1).cast("long") if kind == "count" else expr.cast("double") if kind == "var" else expr
-             for out, (kind, expr) in measures.items()}
-    d = d.withColumns(vcols).withColumn("_carry", F.lit(0))
-    d = d.unionByName(_carry_rows(d, keys, measures), allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_c")
-    if ties == "positional":
-        w = w.orderBy("_t", F.desc("_carry"), *order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    else:
-        w = w.orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+             for _, measures, _ in groups for out, (kind, expr) in measures.items()}
+    rows = d.withColumns(vcols)
+    d = rows.withColumn("_carry", F.lit(0))
+    for keys, measures, _ in groups:
+        d = d.unionByName(_carry_rows(rows, list(keys), measures), allowMissingColumns=True)
+    if len(groups) > 1:
+        d = d.repartition(*entity, "_c")
     outs = {}
     native = F.col("_carry") == 0
-    for out, (kind, _) in measures.items():
-        v = F.col(f"_v_{out}")
-        if kind == "count":
-            outs[out] = F.coalesce(F.sum(v).over(w), F.lit(0)).cast("long")
-        elif kind in ("sum", "max", "min"):
-            outs[out] = getattr(F, kind)(v).over(w)
-        else:  # variance: the chunk's own rows, merged with the carry
-            vn = F.when(native, v)
-            n_b, m_b = F.count(vn).over(w), F.avg(vn).over(w)
-            m2_b = F.var_pop(vn).over(w) * n_b
-            cn, cm, cq = (F.max(F.col(f"_{p}_{out}")).over(w) for p in ("cn", "cm", "cq"))
-            n_a = F.coalesce(cn, F.lit(0))
-            n = n_a + n_b
-            merged = (F.coalesce(cq, F.lit(0.0)) + F.coalesce(m2_b, F.lit(0.0))
-                      + F.coalesce((m_b - cm) * (m_b - cm) * n_a * n_b / n, F.lit(0.0)))
-            outs[out] = F.when(n > 0, F.greatest(merged / n, F.lit(0.0)))
+    for keys, measures, ties in groups:
+        # carry rows of other groups have no values here.  _span depends on the entity; as a key it lets a filter on it
+        # pass below the window, so that a later step's carry rows cost only the entities that have some
+        w = Window.partitionBy(*keys, "_c", "_span")
+        if ties == "positional":
+            w = w.orderBy(F.desc("_carry"), "_t", *order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+        else:
+            w = w.orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+        outs |= {out: _over(out, kind, w, native) for out, (kind, _) in measures.items()}
     d = d.withColumns(outs).where(native)
-    d = d.drop("_carry", *vcols.keys(), *[f"_{p}_{o}" for o, (k, _) in measures.items() if k == "var" for p in ("cn", "cm", "cq")])
+    var = [out for _, measures, _ in groups for out, (kind, _) in measures.items() if kind == "var"]
+    d = d.drop("_carry", *vcols.keys(), *[f"_{p}_{o}" for o in var for p in ("cn", "cm", "cq")])
     return unplaced(d) if ours else d
 
 
+def _over(out: str, kind: str, w, native: Column) -> Column:
+    """A measure over the window of a range's rows and carry rows."""
+    v = F.col(f"_v_{out}")
+    if kind == "count":
+        return F.coalesce(F.sum(v).over(w), F.lit(0)).cast("long")
+    if kind != "var":
+        return getattr(F, kind)(v).over(w)
+    vn = F.when(native, v)  # variance: the range's own rows, merged with the carry
+    n_b, m_b = F.count(vn).over(w), F.avg(vn).over(w)
+    m2_b = F.var_pop(vn).over(w) * n_b
+    cn, cm, cq = (F.max(F.col(f"_{p}_{out}")).over(w) for p in ("cn", "cm", "cq"))
+    n_a = F.coalesce(cn, F.lit(0))
+    n = n_a + n_b
+    merged = (F.coalesce(cq, F.lit(0.0)) + F.coalesce(m2_b, F.lit(0.0))
+              + F.coalesce((m_b - cm) * (m_b - cm) * n_a * n_b / n, F.lit(0.0)))
+    return F.when(n > 0, F.greatest(merged / n, F.lit(0.0)))
+
+
+def beside(df: DataFrame, parts: list[tuple[list[str], Callable[[DataFrame], DataFrame]]],
+           ts: str = "ts", order: list[str] = ("transaction_id",), keep: list[str] = ()) -> DataFrame:
+    """Features of several entities: ``parts`` are (columns, function) and every function gets the rows with only its
+    columns, the time and the order, so no placement stores or shuffles another's columns or results.  What the
+    functions add is joined by ``order``, which must be unique and not null; ``keep`` names columns of ``df`` to keep."""
+    order = list(order)
+    df = df.select(*dict.fromkeys([*order, ts, *keep, *[c for columns, _ in parts for c in columns]]))
+    if len(parts) > 1:
+        df = stored(df, "beside")  # each placement reads its source twice
+    out = df.select(*order, *keep) if keep else None
+    for columns, fn in parts:
+        narrow = df.select(*dict.fromkeys([*order, ts, *columns]))
+        made = fn(narrow)
+        made = made.select(*order, *[c for c in made.columns if c not in narrow.columns])
+        out = made if out is None else out.join(made, order)
+    return out
+
+
 def _carry_rows(d: DataFrame, keys: list[str], measures) -> DataFrame:
     """A row for each (keys, chunk) of an entity that covers several chunks, with the aggregate of its
     earlier chunks.  The prefix over a key has at most a row per chunk."""
@@ -130,7 +177,7 @@ def _carry_rows(d: DataFrame, keys: list[str], measures) -> DataFrame:
     ct = d.where("_span").groupBy(*keys, "_c").agg(*aggs)
     all_ = Window.partitionBy(*keys).orderBy("_c")
     before = all_.rowsBetween(Window.unboundedPreceding, -1)
-    cols = [*[F.col(k) for k in keys], F.col("_c"), (F.col("_least") - 1).alias("_t"), F.lit(1).alias("_carry"), F.count(F.lit(1)).over(before).alias("_before")]
+    cols = [*[F.col(k) for k in keys], F.col("_c"), (F.col("_least") - 1).alias("_t"), F.lit(1).alias("_carry"), F.lit(True).alias("_span"), F.count(F.lit(1)).over(before).alias("_before")]
     for out, (kind, _) in measures.items():
         if kind == "var":
             # moments about the first chunk's mean, so that a large common offset doesn't cancel digits
@@ -212,6 +259,17 @@ def novelty(df: DataFrame, entity: str, value: str, out: str | None = None,
     return d if keep_count else d.drop(tmp)
 
 
+def pair_counts(df: DataFrame, entity: str, values: dict[str, str], ties: str = "positional", **kw) -> DataFrame:
+    """``pair_count`` for several values (name → value column) of one entity at once."""
+    return together(df, [entity], [([entity, v], {out: ("count", None)}, ties) for out, v in values.items()], **kw)
+
+
+def novelties(df: DataFrame, entity: str, values: dict[str, str], ties: str = "strict", **kw) -> DataFrame:
+    """``novelty`` for several values (name → value column) of one entity at once."""
+    d = pair_counts(df, entity, values, ties, **kw)
+    return d.withColumns({out: (F.col(out) == 0).cast("int") for out in values})
+
+
 def unique_so_far(df: DataFrame, entity: str, value: str, out: str,
                   ties: str = "positional", **kw) -> DataFrame:
     """Distinct values of ``value`` seen before this row for the entity.
@@ -220,12 +278,18 @@ def unique_so_far(df: DataFrame, entity: str, value: str, out: str,
     sum of the flag — positional ROWS frame, or strict RANGE frame so a
     value first seen at a tie peer is not counted.
     """
+    return uniques_so_far(df, entity, {out: value}, ties, **kw)
+
+
+def uniques_so_far(df: DataFrame, entity: str, values: dict[str, str], ties: str = "positional", **kw) -> DataFrame:
+    """``unique_so_far`` for several values (name → value column) of one entity at once."""
     ours = "_c" not in df.columns
-    d = placed(df, [entity], kw.get("ts", "ts"), kw.get("chunks")) if ours else df
-    d = running(d, [entity, value], {"_seen": ("count", None)}, ties="positional", **kw)
-    d = d.withColumn("_first", (F.col("_seen") == 0).cast("long"))
-    d = running(d, [entity], {out: ("sum", F.col("_first"))}, ties=ties, **kw)
-    d = d.withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("long")).drop("_seen", "_first")
+    split = list(kw.get("order", ("transaction_id",))) if ties == "positional" else []
+    d = placed(df, [entity], kw.get("ts", "ts"), kw.get("chunks"), split) if ours else df
+    d = together(d, [entity], [([entity, v], {f"_first_{out}": ("count", None)}, "positional") for out, v in values.items()], **kw)
+    first = {out: (F.col(f"_first_{out}") == 0).cast("long") for out in values}
+    d = together(d, [entity], [([entity], {out: ("sum", f) for out, f in first.items()}, ties)], **kw)
+    d = d.withColumns({out: F.coalesce(out, F.lit(0)).cast("long") for out in values}).drop(*[f"_first_{out}" for out in values])
     return unplaced(d) if ours else d
 
 
@@ -289,7 +353,7 @@ def past_label_neighbors(df: DataFrame, entity: str, counterparty: str, out: str
     (strictly earlier) when this entity first met them, counted strictly
     before this row."""
     d = running(df, [counterparty], {"_cp_pos": ("sum", F.col(label))}, ties="strict", **kw)
-    d = d.withColumn("_cp_bad", flag(F.col("_cp_pos") > 0))
+    d = stored(d.withColumn("_cp_bad", flag(F.col("_cp_pos") > 0)), "counterparties")  # the placement reads it twice
     d = placed(d, [entity], kw.get("ts", "ts"), kw.get("chunks"))
     d = running(d, [entity, counterparty], {"_met": ("count", None)}, ties="positional", **kw)
     d = d.withColumn("_new_bad", ((F.col("_met") == 0) & (F.col("_cp_bad") == 1)).cast("long"))

@@ -15,9 +15,8 @@ FLAGS = [f"is_new_{v}_for_sender" for v in NOV] + ["tslt_is_missing", "is_night"
 
 
 def flagship(spark, sf):
-    d = FT.feat_base(txn_events(spark, sf))
-    for v in NOV:
-        d = P.novelty(d, S, v, f"is_new_{v}_for_sender", ties="strict")
+    d = FT.feat_base(txn_events(spark, sf)).select("transaction_id", "ts", S, *NOV, "tslt_is_missing", "is_night", "is_fraud")
+    d = P.novelties(d, S, {f"is_new_{v}_for_sender": v for v in NOV})
     return PR.lift_table(d, FLAGS)
 
 

@@ -30,8 +30,7 @@ CATS = ["transaction_type", "merchant_category", "payment_channel", "device_used
 def fs1(spark, sf):
     """FS1-style table: base features + four strict novelty flags, split by time."""
     d = FT.feat_base(txn_events(spark, sf))
-    for v in NOVELTY:
-        d = P.novelty(d, S, v, f"is_new_{v}_for_sender", ties="strict")
+    d = P.novelties(d, S, {f"is_new_{v}_for_sender": v for v in NOVELTY})
     d = d.withColumn("tslt_abs", F.coalesce("tslt_abs", F.lit(0.0)))
     g = global_index(d, ["ts", "transaction_id"])
     return g.withColumn("is_train", split_flag(F.col("global_index"), F.col("_total")))

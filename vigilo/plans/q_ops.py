@@ -88,11 +88,12 @@ def q_join_membership_anti(spark, sf):
 NOVELTY4 = ["location", "device_used", "payment_channel", "transaction_type"]
 
 
-def _ev_flags(spark, sf):
-    d = FT.feat_base(txn_events(spark, sf))
-    for v in NOVELTY4:
-        d = P.novelty(d, S, v, f"is_new_{v}_for_sender", ties="strict")
-    return d
+def _ev_flags(spark, sf, *columns, running=()):
+    """``columns`` of the transactions with their base features, and the novelty flags and other running measures of the sender."""
+    d = FT.feat_base(txn_events(spark, sf)).select(*dict.fromkeys(["transaction_id", "ts", S, *NOVELTY4, *columns]))
+    flags = {f"is_new_{v}_for_sender": v for v in NOVELTY4}
+    d = P.together(d, [S], [([S, v], {o: ("count", None)}, "strict") for o, v in flags.items()] + [([S], m, "strict") for m in running])
+    return d.withColumns({o: (F.col(o) == 0).cast("int") for o in flags})
 
 
 NOV_SQL = "nov AS (SELECT *, " + ", ".join(
@@ -136,7 +137,8 @@ NEAR_SQL = f"""
 
 def _case_rows(spark, sf):
     """Every transaction with the columns of the case search, written once."""
-    d = _ev_flags(spark, sf).select("transaction_id", "is_fraud", "tslt_is_missing", *[F.col(c).cast("double").alias(c) for c in CASE_NUM], *CATEGORICALS)
+    own = [c for c in CASE_NUM if not c.startswith("is_new_")]
+    d = _ev_flags(spark, sf, "is_fraud", "tslt_is_missing", *own, *CATEGORICALS).select("transaction_id", "is_fraud", "tslt_is_missing", *[F.col(c).cast("double").alias(c) for c in CASE_NUM], *CATEGORICALS)
     return stored(d, "case-rows")
 
 
@@ -188,7 +190,7 @@ def q_union_tagged(spark, sf):
     train = g.where(F.col("is_train") == 1).withColumn("is_test", F.lit(0))
     test = g.where(F.col("is_train") == 0).withColumn("is_test", F.lit(1))
     u = train.unionByName(test)
-    u = P.seq_index(u, S, "sender_tx_index")
+    u = P.seq_index(u.select("transaction_id", "ts", S, "is_test"), S, "sender_tx_index")
     return u.select("transaction_id", "is_test", "sender_tx_index")
 
 
@@ -535,7 +537,7 @@ SELECT transaction_id, array_to_string(CASE WHEN len(ev) <= 2 AND tslt_is_missin
        THEN list_append(ev, '{TX.EVIDENCE['no_anomaly']}') ELSE ev END, '|') AS evidence
 FROM (SELECT *, {_ev_sql_lines()} AS ev FROM nov)""", NOV_SQL))
 def q_evidence_build(spark, sf):
-    d = _ev_flags(spark, sf)
+    d = _ev_flags(spark, sf, "hour", "amount", "tslt_is_missing", "is_night")
     flags = {k: F.col(k) for k in ["tslt_is_missing", "is_night"] + [f"is_new_{v}_for_sender" for v in NOVELTY4]}
     ev = TX.evidence(flags, F.col("hour"), F.col("amount"), F.col("payment_channel"),
                      F.col("transaction_type"), F.col("tslt_is_missing"))
@@ -551,9 +553,9 @@ SELECT transaction_id, r1, r2, r3, r4, r5, r1 + r2 + r3 + r4 + r5 AS rule_score
          RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 1 AS INTEGER) AS r3,
     CAST(amount > 5000 AS INTEGER) AS r4, is_night AS r5 FROM nov)""", NOV_SQL))
 def q_rule_flags(spark, sf):
-    d = _ev_flags(spark, sf)
-    d = d.join(d.groupBy(S).agg(F.avg("amount").alias("_m")), S)
-    d = P.running(d, [S], {"_pf": ("sum", F.col("is_fraud"))}, ties="strict")
+    d = _ev_flags(spark, sf, "amount", "is_fraud", "is_night", running=[{"_pf": ("sum", F.col("is_fraud"))}])
+    mean = txn_events(spark, sf).groupBy(S).agg(F.avg("amount").alias("_m"))
+    d = d.join(mean, S)
     r = {"r1": FT.flag(F.col("amount") > 5 * F.col("_m")), "r2": F.col("is_new_location_for_sender"),
          "r3": FT.flag(F.col("_pf") >= 1), "r4": FT.flag(F.col("amount") > 5000), "r5": F.col("is_night")}
     d = d.withColumns(r)
@@ -890,8 +892,7 @@ FROM ({u}) GROUP BY feature"""
 @register("agg_history_diag", ev_sql(_hist_sql()))
 def q_agg_history_diag(spark, sf):
     d = txn_events(spark, sf).select("transaction_id", "ts", S, "receiver_account", "is_fraud")
-    for e, w, o in HIST:
-        d = P.rolling(d, [e], w, {o: ("count", None)})
+    d = P.beside(d, [([e], lambda rows, e=e, w=w, o=o: P.rolling(rows, [e], w, {o: ("count", None)})) for e, w, o in HIST], keep=["is_fraud"])
     from ..operators.metrics import history_diagnostics
     return history_diagnostics(d, [o for _, _, o in HIST])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import features as FT
@@ -22,6 +24,19 @@ def _li(spark, sf, *cols):
     return txn_lineitem(spark, sf).select("transaction_id", "ts", *cols)
 
 
+def _by_entity(items):
+    """[(entity, column, name)] as {entity: {name: column}}."""
+    found = {}
+    for e, v, o in items:
+        found.setdefault(e, {})[o] = v
+    return found
+
+
+def _beside(d, items, fn):
+    """``fn(rows, entity, {name: column})`` of every entity, beside each other."""
+    return P.beside(d, [([e, *values.values()], lambda rows, e=e, values=values: fn(rows, e, values)) for e, values in _by_entity(items).items()])
+
+
 def rn(part, order="ts, transaction_id"):
     return f"(row_number() OVER (PARTITION BY {part} ORDER BY {order}) - 1)"
 
@@ -29,8 +44,7 @@ def rn(part, order="ts, transaction_id"):
 @register("w_seq_index", ev_sql(f"""
 SELECT transaction_id, {rn(S)} AS sender_tx_index, {rn(R)} AS receiver_tx_index FROM txn_events"""))
 def q_w_seq_index(spark, sf):
-    d = P.seq_index(_ev(spark, sf, S, R), S, "sender_tx_index")
-    d = P.seq_index(d, R, "receiver_tx_index")
+    d = P.beside(_ev(spark, sf, S, R), [([S], lambda rows: P.seq_index(rows, S, "sender_tx_index")), ([R], lambda rows: P.seq_index(rows, R, "receiver_tx_index"))])
     return d.select("transaction_id", "sender_tx_index", "receiver_tx_index")
 
 
@@ -38,8 +52,7 @@ def q_w_seq_index(spark, sf):
 SELECT transaction_id, CAST({rn(S)} = 0 AS INTEGER) AS is_sender_first_tx,
        CAST({rn(R)} = 0 AS INTEGER) AS is_receiver_first_tx FROM txn_events"""))
 def q_w_first_flag(spark, sf):
-    d = P.seq_index(_ev(spark, sf, S, R), S, "_si")
-    d = P.seq_index(d, R, "_ri")
+    d = P.beside(_ev(spark, sf, S, R), [([S], lambda rows: P.seq_index(rows, S, "_si")), ([R], lambda rows: P.seq_index(rows, R, "_ri"))])
     return d.select("transaction_id", (F.col("_si") == 0).cast("int").alias("is_sender_first_tx"),
                     (F.col("_ri") == 0).cast("int").alias("is_receiver_first_tx"))
 
@@ -55,8 +68,7 @@ def _pc_name(e, v):
     f"{rn(f'{e}, {v}')} AS {_pc_name(e, v)}" for e, v in PAIR_VALUES) + " FROM txn_events"))
 def q_w_pair_count(spark, sf):
     d = _ev(spark, sf, S, R, "location", "payment_channel")
-    for e, v in PAIR_VALUES:
-        d = P.pair_count(d, e, v, _pc_name(e, v))
+    d = _beside(d, [(e, v, _pc_name(e, v)) for e, v in PAIR_VALUES], P.pair_counts)
     return d.select("transaction_id", *[_pc_name(e, v) for e, v in PAIR_VALUES])
 
 
@@ -68,8 +80,7 @@ LI_PAIRS = [(S, R), (S, "location"), (S, "merchant_category")]
     for e, v in LI_PAIRS) + " FROM txn_lineitem"))
 def q_w_pair_count_strict(spark, sf):
     d = _li(spark, sf, S, R, "location", "merchant_category")
-    for e, v in LI_PAIRS:
-        d = P.pair_count(d, e, v, _pc_name(e, v), ties="strict")
+    d = P.pair_counts(d, S, {_pc_name(e, v): v for e, v in LI_PAIRS}, ties="strict")
     return d.select("transaction_id", *[_pc_name(e, v) for e, v in LI_PAIRS])
 
 
@@ -86,8 +97,7 @@ def _nov(e, v):
     for e, v in NOV) + " FROM txn_lineitem"))
 def q_w_novelty(spark, sf):
     d = _li(spark, sf, S, R, "location", "payment_channel", "transaction_type", "device_used")
-    for e, v in NOV:
-        d = P.novelty(d, e, v, _nov(e, v), ties="strict")
+    d = _beside(d, [(e, v, _nov(e, v)) for e, v in NOV], partial(P.novelties, ties="strict"))
     return d.select("transaction_id", *[_nov(e, v) for e, v in NOV])
 
 
@@ -95,8 +105,7 @@ def q_w_novelty(spark, sf):
     f"CAST({rn(f'{e}, {v}')} = 0 AS INTEGER) AS {_nov(e, v)}" for e, v in NOV) + " FROM txn_events"))
 def q_w_novelty_positional(spark, sf):
     d = _ev(spark, sf, S, R, "location", "payment_channel", "transaction_type", "device_used")
-    for e, v in NOV:
-        d = P.novelty(d, e, v, _nov(e, v), ties="positional")
+    d = _beside(d, [(e, v, _nov(e, v)) for e, v in NOV], partial(P.novelties, ties="positional"))
     return d.select("transaction_id", *[_nov(e, v) for e, v in NOV])
 
 
@@ -127,8 +136,7 @@ def _uniq_sql(frame_kind):
 
 def _uniq(spark, sf, ties):
     d = _li(spark, sf, S, R, "location")
-    for e, v, o in UNIQ:
-        d = P.unique_so_far(d, e, v, o, ties=ties)
+    d = _beside(d, UNIQ, partial(P.uniques_so_far, ties=ties))
     return d.select("transaction_id", *[o for _, _, o in UNIQ])
 
 
@@ -169,8 +177,8 @@ def q_w_rolling(spark, sf):
     by_key = {}
     for e, w, k, o in ROLL:
         by_key.setdefault(e, {}).setdefault(w, {})[o] = (k, F.col("amount") if k == "sum" else None)
-    for e, windows in by_key.items():
-        d = P.rolling_many(d, [e], windows)
+    d = P.beside(d, [([e, "amount"] if e == S else [e], lambda rows, e=e, windows=windows: P.rolling_many(rows, [e], windows))
+                     for e, windows in by_key.items()])
     return d.select("transaction_id", *[r6(o).alias(o) if k == "sum" else o for e, w, k, o in ROLL])
 
 
@@ -304,10 +312,9 @@ def q_w_target_encode(spark, sf):
     base = _ev(spark, sf, S, "device_hash", "is_fraud")
     gi = global_index(base.select("transaction_id", "ts", "is_fraud"), ["ts", "transaction_id"])
     g = gi.where(split_flag(F.col("global_index"), F.col("_total")) == 1).agg(F.avg("is_fraud")).scalar()
-    d = base
+    d = P.beside(base, [([e, "is_fraud"], lambda rows, e=e, w=w, pre=pre: P.target_encode(rows, e, w, pre, g)) for e, w, pre in TE])
     cols = []
     for e, w, pre in TE:
-        d = P.target_encode(d, e, w, pre, g)
         cols += [f"{pre}_count_{w}", f"{pre}_fraud_count_{w}", r6(f"{pre}_te_{w}").alias(f"{pre}_te_{w}")]
     return d.select("transaction_id", *[F.col(c).cast("bigint") if isinstance(c, str) else c for c in cols])
 
@@ -320,8 +327,8 @@ SELECT transaction_id,
   round((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY {R}))) / {D}, 6) AS receiver_days_since_first_seen
 FROM txn_lineitem"""))
 def q_w_lifecycle(spark, sf):
-    d = P.lifecycle(_li(spark, sf, S, R), S, "sender")
-    d = P.lifecycle(d, R, "receiver", last_seen=False)
+    d = P.beside(_li(spark, sf, S, R), [([S], lambda rows: P.lifecycle(rows, S, "sender")),
+                                        ([R], lambda rows: P.lifecycle(rows, R, "receiver", last_seen=False))])
     cols = ["sender_days_since_first_seen", "sender_days_since_last_seen", "receiver_days_since_first_seen"]
     return d.select("transaction_id", *[r6(c).alias(c) for c in cols])
 
