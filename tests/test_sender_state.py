@@ -1,5 +1,7 @@
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,36 @@ def test_late_rows_are_dropped_and_counted(spark):
 
     d, progress = SJ.stream_windows(rows, "dedup", batches=4, late=late)
     assert SJ.dropped(progress) == rows.count() - d.count() > 0
+
+
+class MapOfStates:
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.rows[key] = value
+
+
+def test_a_call_serves_many_senders():
+    """The senders of a bucket share a call, a frame and an output; each costs a read and a write of its state."""
+    made, state = SS.SenderFeatures(), MapOfStates()
+    made.init(SimpleNamespace(getMapState=lambda *a: state))
+    times = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 10)
+
+    def batch(rows):
+        df = pd.DataFrame([(i, True, s or 0, s is not None, t, 1.0, loc) for i, s, t, loc in rows], columns=["transaction_id", "id_known", "sender_account", "sender_known", "ts_us", "amount", "location"])
+        for c in [*SS.VALUES[1:], *SS.BASE]:
+            df[c] = None
+        df["time_since_last_transaction"], df["bucket"] = 7.0, 0
+        (out,) = made.handleInputRows((0,), iter([df.iloc[:2], df.iloc[2:]]), times)
+        return {r.transaction_id: (r.stream_tslt, r.history_len, r.is_new_location_for_sender) for r in out.itertuples()}
+
+    assert batch([(1, 5, 3_000_000, "a"), (2, None, 0, "a"), (3, 5, 1_000_000, "a"), (4, 0, 0, "b")]) == {1: (2.0, 1, 0), 2: (7.0, 0, 1), 3: (7.0, 0, 1), 4: (7.0, 0, 1)}
+    assert state.calls == 2 * 3
+    assert batch([(5, 5, 4_000_000, "b"), (6, None, 1_000_000, "a")]) == {5: (1.0, 2, 1), 6: (1.0, 1, 0)}
+    assert state.calls == 2 * 3 + 2 * 2
