@@ -141,3 +141,24 @@ def test_later_steps_carry_reads_spanning_entities_only(spark):
     plan = d.where("_span")._jdf.queryExecution().optimizedPlan().toString()
     above = plan[:plan.index("Window")].splitlines()
     assert not [line for line in above if "Filter" in line and "_span" in line]
+
+
+def test_small_entities_are_shuffled_once(spark, monkeypatch):
+    """Without a hot entity no placement is stored and each entity's windows share one shuffle; results are those of ranges."""
+    def feats(chunks=None):
+        d = P.uniques_so_far(hot(spark), "e", {"u": "a", "v": "b"}, ties="strict", chunks=chunks)
+        d = P.expanding(d, "e", "x", "s", chunks=chunks)
+        return P.rolling(d, ["e"], "24h", {"n": ("count", None), "w": ("sum", F.col("x"))}, chunks=chunks)
+
+    def cut(d):
+        return {r["transaction_id"]: (r["u"], r["v"], r["s_sum"], r["s_count"], r["s_max"], None if r["s_std"] is None else round(r["s_std"], 6), r["n"], r["w"]) for r in d.collect()}
+
+    want = cut(feats(7))
+    asked = []
+    place = P.placed
+    monkeypatch.setattr(P, "placed", lambda *a, **kw: asked.append(1) or place(*a, **kw))
+    d = P.uniques_so_far(hot(spark), "e", {"u": "a"}, ties="strict")
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert cut(feats()) == want and not asked
+    monkeypatch.setattr(P, "HOT_ROWS", 50)
+    assert cut(feats()) == want and asked
