@@ -58,3 +58,17 @@ def test_unusable_and_few(spark, kw):
     assert found(knn.nearest(q, c, 3, **kw)) == {0: [0, 5], 3: [5, 0]}
     assert knn.nearest(q, c.limit(0), 3, **kw).count() == 0
     assert knn.nearest(q.limit(0), c, 3, **kw).count() == 0
+
+
+def test_unique_queries_are_ranked_where_they_are_searched(spark):
+    """No shuffle of what was found, also with more corpus rows than groups of columns; an id that comes twice is ranked as one."""
+    pick = np.random.default_rng(5)
+    c = pick.normal(0, 1, (2000, 12))
+    q = np.vstack([c[::40], np.repeat(c[:1], 3, axis=0)])
+    got = knn.nearest(table(spark, q), table(spark, c), 3)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert found(got) == brute(q, c, 3)
+    twice = knn.nearest(table(spark, q).union(table(spark, q[:1])), table(spark, c), 3)
+    one = {r["rank"]: r.match_id for r in twice.where("query_id = 0").collect()}
+    near = brute(q, c, 2)[0]
+    assert one == {1: near[0], 2: near[0], 3: near[1]}
