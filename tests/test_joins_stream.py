@@ -92,3 +92,12 @@ def test_windows_are_complete_and_history_seeds_state(spark):
         assert (w.count() if kind == "dedup" else w.agg(F.sum("n")).first()[0]) == n
     tables, _ = SJ.run_to_end(SJ.stateful_features(scored(spark, SF), scored(spark, SF)), "t", {"f": lambda b: b}, conf=SJ.STATE_CONF)
     assert tables["f"].where("is_new_location_for_sender = 1").count() == 0
+
+
+def test_tasks_of_windows_are_bounded(spark):
+    """A batch's file isn't one task of the sliding windows."""
+    from vigilo.streaming import job as SJ
+    from vigilo.streaming.sender_state import replay
+    rows = spark.range(400).selectExpr("id as transaction_id", "timestamp_seconds(1700000000 + id * 60) as ts", "id % 7 as sender_account", "1.0D as amount", "0 as is_fraud")
+    src = replay(rows, 2).withWatermark("ts", "2 hours")
+    assert "RepartitionByExpression [sender_account" in SJ.windowed(src, "sliding")._jdf.queryExecution().analyzed().toString()

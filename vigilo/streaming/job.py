@@ -26,12 +26,14 @@ from ..functions import bands as BD
 from ..functions.features import feat_time_ext
 from ..session import scratch_path
 from ..sources.tables import read_table
-from .sender_state import INPUT, STATE_CONF, VALUES, initial_state, replay, sender_features
+from .sender_state import BATCH_ROWS, INPUT, STATE_CONF, VALUES, initial_state, replay, sender_features
 
 #: Numeric inputs of the stream's model, in order.
 MODEL_COLUMNS = ["amount", "log_amount", "spending_deviation_score", "velocity_score", "geo_anomaly_score", "hour", "day_of_week", "month", "is_weekend",
                  "is_night", "tslt_abs", "tslt_is_negative", *[f"is_new_{v}_for_sender" for v in VALUES]]
 MISSING_TSLT_SCORE = 1e-6
+#: Rows that a task of the sliding windows takes before they are copied into their 24 windows.
+SLIDING_ROWS = 62_500
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -119,6 +121,21 @@ def batch_metrics(decided: DataFrame, progress: list) -> DataFrame:
                                                   (F.col("rows") * 1000 / F.greatest("ms", F.lit(1.0))).alias("events_per_second"))
 
 
+def windowed(src: DataFrame, kind: str) -> DataFrame:
+    """The aggregation of ``stream_windows`` over a stream of at most ``BATCH_ROWS`` rows a batch."""
+    n = F.count(F.lit(1)).alias("n")
+    if kind == "tumbling":
+        return src.groupBy(F.window("ts", "1 hour")).agg(n, F.sum("is_fraud").alias("frauds"))
+    if kind == "sliding":
+        # a file is one task otherwise, which would hold a group for nearly every row and window; a sender's rows share theirs
+        return src.repartition(-(-BATCH_ROWS // SLIDING_ROWS), "sender_account").groupBy("sender_account", F.window("ts", "24 hours", "1 hour")).agg(n, F.sum("amount").alias("amount_sum"))
+    if kind == "session":
+        return src.groupBy("sender_account", F.session_window("ts", "30 minutes")).agg(n)
+    if kind == "dedup":
+        return src.dropDuplicatesWithinWatermark(["transaction_id"]).where("transaction_id is not null")
+    raise ValueError(kind)
+
+
 def stream_windows(events: DataFrame, kind: str, batches: int | None = None, late: str | None = None) -> tuple[DataFrame, list]:
     """Event-time twins: tumbling 1 h rate, sliding 24 h / 1 h per sender, 30-minute sessions per sender, de-duplication of
     transaction ids within the watermark of 2 h.
@@ -126,17 +143,7 @@ def stream_windows(events: DataFrame, kind: str, batches: int | None = None, lat
     The table's rows come in several batches in the order of time, those that fulfil ``late`` behind all others.  Gives the written
     result, with the batch that wrote each row, and the progress reports, which count the dropped rows."""
     src = replay(events.select("transaction_id", "ts", "sender_account", "amount", "is_fraud"), batches, late, closing=True).withWatermark("ts", "2 hours")
-    n = F.count(F.lit(1)).alias("n")
-    if kind == "tumbling":
-        agg = src.groupBy(F.window("ts", "1 hour")).agg(n, F.sum("is_fraud").alias("frauds"))
-    elif kind == "sliding":
-        agg = src.groupBy("sender_account", F.window("ts", "24 hours", "1 hour")).agg(n, F.sum("amount").alias("amount_sum"))
-    elif kind == "session":
-        agg = src.groupBy("sender_account", F.session_window("ts", "30 minutes")).agg(n)
-    elif kind == "dedup":
-        agg = src.dropDuplicatesWithinWatermark(["transaction_id"]).where("transaction_id is not null")
-    else:
-        raise ValueError(kind)
+    agg = windowed(src, kind)
     # an empty batch after the last file writes the windows that the closing event has passed
     tables, progress = run_to_end(agg, kind, {"rows": lambda b: b}, conf={"spark.sql.streaming.noDataMicroBatches.enabled": "true"})
     return tables["rows"], progress
