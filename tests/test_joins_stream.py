@@ -95,9 +95,13 @@ def test_windows_are_complete_and_history_seeds_state(spark):
 
 
 def test_tasks_of_windows_are_bounded(spark):
-    """A batch's file isn't one task of the sliding windows."""
+    """A batch's file isn't one task of the sliding windows, and state has few partitions however many the session has."""
     from vigilo.streaming import job as SJ
     from vigilo.streaming.sender_state import replay
     rows = spark.range(400).selectExpr("id as transaction_id", "timestamp_seconds(1700000000 + id * 60) as ts", "id % 7 as sender_account", "1.0D as amount", "0 as is_fraud")
     src = replay(rows, 2).withWatermark("ts", "2 hours")
     assert "RepartitionByExpression [sender_account" in SJ.windowed(src, "sliding")._jdf.queryExecution().analyzed().toString()
+    with SJ.configured(spark, {"spark.sql.shuffle.partitions": "48"}):
+        w, progress = SJ.stream_windows(rows.unionByName(rows), "dedup", 2)
+    assert {op["numShufflePartitions"] for p in progress for op in p["stateOperators"]} == {SJ.STATE_PARTS}
+    assert w.count() == 400 == w.select("transaction_id").distinct().count()

@@ -34,6 +34,8 @@ MODEL_COLUMNS = ["amount", "log_amount", "spending_deviation_score", "velocity_s
 MISSING_TSLT_SCORE = 1e-6
 #: Rows that a task of the sliding windows takes before they are copied into their 24 windows.
 SLIDING_ROWS = 62_500
+#: Partitions of the windows' state at most: batches have bounded rows, and each partition costs a commit in every batch.
+STATE_PARTS = 32
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -145,7 +147,11 @@ def stream_windows(events: DataFrame, kind: str, batches: int | None = None, lat
     src = replay(events.select("transaction_id", "ts", "sender_account", "amount", "is_fraud"), batches, late, closing=True).withWatermark("ts", "2 hours")
     agg = windowed(src, kind)
     # an empty batch after the last file writes the windows that the closing event has passed
-    tables, progress = run_to_end(agg, kind, {"rows": lambda b: b}, conf={"spark.sql.streaming.noDataMicroBatches.enabled": "true"})
+    conf = {"spark.sql.streaming.noDataMicroBatches.enabled": "true"}
+    if kind != "sliding":  # its groups are many times the rows
+        parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        conf["spark.sql.shuffle.partitions"] = str(min(parts, STATE_PARTS))
+    tables, progress = run_to_end(agg, kind, {"rows": lambda b: b}, conf=conf)
     return tables["rows"], progress
 
 
